@@ -5,13 +5,17 @@ Score of a record for a prompt, capped at 1:
   the first word closer than 0.7; plus 0.3 x share of contained keywords; plus 0.3 x share
   of prompt words that contain, or are contained in, some word of the record.
 
-Words are compared as distinct strings once, then joined back to the records that hold
-them. A record without any relation to a prompt scores zero, so those pairs are never
-built: only the newest ``k`` records can fill a ranking that has too few.
+Nearly every record gets some score for nearly every prompt, so building the pairs would
+shuffle prompts x records rows. Instead a bounded block of prompts travels to the record
+partitions; each task scores its records and lets only the k best per prompt out. Larger
+request tables are joined block by block. Every string comparison is made once per
+distinct word of a batch.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,100 +25,19 @@ from pyspark.sql import functions as F
 
 from kinmatch import fixed_values as fixed
 from kinmatch.functions import text as tx
-from kinmatch.functions.fuzzy import closeness
+from kinmatch.functions.fuzzy import WordLengthGroups
 from kinmatch.operators.blocks import pair_blocks, rows_within
-from kinmatch.operators.search import char_grams, newest_first, probe_gram
 
 # Fixed values of the score.
 CONTAINED, CLOSE, RATIO, OVERLAP = 0.4, 0.2, 0.3, 0.3
 CLOSE_ABOVE = 0.7
 
-# Up to so many distinct keywords are broadcast to the word lists.
-BROADCAST_KEYWORDS = 4096
-KEYWORD_BLOCK = 1024
-WORD_BLOCK = 50_000
-# Frequent words are spread over so many parts when words are joined to records.
-WORD_PARTS = 8
-
-
-def contained_pairs(needles: DataFrame, words: DataFrame) -> DataFrame:
-    """(needle, word) where the word contains the needle; distinct non-empty strings."""
-    probes = needles.withColumn("_gram", probe_gram(F.col("needle")))
-    grams = words.select("word", F.explode(char_grams(F.col("word"))).alias("_gram"))
-    return (
-        grams.join(probes, "_gram")
-        .filter(F.contains("word", "needle"))
-        .select("needle", "word")
-    )
-
-
-def close_pairs(needles: DataFrame, words: DataFrame) -> DataFrame:
-    """(needle, word, closeness) above 0.7, each distinct pair compared once at most."""
-    schema = "needle string, word string, closeness double"
-    rows = rows_within(needles.select("needle"), BROADCAST_KEYWORDS)
-    if rows is None:
-        return pair_blocks(
-            needles.select("needle"), words.select("word"),
-            left_key="needle", right_key="word",
-            left_rows=KEYWORD_BLOCK, right_rows=WORD_BLOCK,
-            kernel=lambda a, b: _close(a["needle"], b["word"]), schema=schema,
-        )
-    shared = words.sparkSession.sparkContext.broadcast(sorted(r[0] for r in rows))
-
-    def compare(batches):
-        for pdf in batches:
-            yield _close(shared.value, pdf["word"])
-
-    return words.select("word").mapInPandas(compare, schema)
-
-
-class _Spelling:
-    """Lengths, first four characters and character counts of strings, as arrays.
-
-    Characters are counted in 64 places; sharing a place can only raise the overlap, so
-    bounds made from it stay upper bounds.
-    """
-
-    def __init__(self, strings: Sequence[str]):
-        self.length = np.array([len(s) for s in strings], dtype=np.int32)
-        self.start = np.zeros((len(strings), 4), dtype=np.int64)
-        self.counts = np.zeros((len(strings), 64), dtype=np.uint8)
-        for i, s in enumerate(strings):
-            codes = [ord(c) for c in s]
-            self.start[i, : len(codes[:4])] = codes[:4]
-            counts = np.bincount(np.array(codes, dtype=np.int64) % 64, minlength=64)
-            self.counts[i] = np.minimum(counts, 255)
-
-
-def _close(needles: Sequence[str], words: Sequence[str]) -> pd.DataFrame:
-    needles, words = list(needles), list(words)
-    found: list[tuple] = []
-    right = _Spelling(words)
-    for needle, one in zip(needles, _each(_Spelling(needles))):
-        for i in np.nonzero(_may_be_close(one, right))[0]:
-            value = closeness(needle, words[i])
-            if value > CLOSE_ABOVE:
-                found.append((needle, words[i], value))
-    return pd.DataFrame(found, columns=["needle", "word", "closeness"])
-
-
-def _each(spelling: _Spelling):
-    return zip(spelling.length, spelling.start, spelling.counts)
-
-
-def _may_be_close(one, words: _Spelling) -> np.ndarray:
-    """Where even the most favourable pairing of equal characters reaches the limit."""
-    length, start, counts = one
-    if not length:
-        return np.zeros(len(words.length), dtype=bool)
-    used = np.nonzero(counts)[0]
-    overlap = np.minimum(words.counts[:, used], counts[used]).sum(axis=1, dtype=np.int32)
-    if counts.max() == 255 or (words.counts.size and words.counts.max() == 255):
-        overlap = np.minimum(words.length, length)
-    same = (words.start == start) & (start != 0)
-    prefix = np.logical_and.accumulate(same, axis=1).sum(axis=1)
-    jaro = (overlap / length + overlap / np.maximum(words.length, 1) + 1) / 3
-    return (overlap > 0) & (jaro + prefix * 0.1 * (1 - jaro) > CLOSE_ABOVE - 1e-9)
+# Up to so many requests are broadcast; beyond, blocks of these sizes are paired.
+BROADCAST_REQUESTS = 512
+REQUEST_BLOCK = 256
+RECORD_BLOCK = 8192
+# Records scored together in a task.
+RECORDS_PER_STEP = 1000
 
 
 def record_text(score_cols: Sequence[str]):
@@ -122,7 +45,7 @@ def record_text(score_cols: Sequence[str]):
     return F.concat_ws(" ", *[F.nullif(F.lower(c), F.lit("")) for c in score_cols])
 
 
-def keyword_scores(
+def nearest_by_keywords(
     requests: DataFrame,
     records: DataFrame,
     *,
@@ -131,209 +54,215 @@ def keyword_scores(
     keywords_col: str,
     key_col: str,
     score_cols: Sequence[str],
-    order_col: str | None = None,
+    order_col: str | None,
+    k: int = fixed.MAX_RESULTS,
 ) -> DataFrame:
-    """(query, key, age, score) of all pairs that share something."""
-    wanted = _wanted(requests, query_col, prompt_col, keywords_col)
-    age = F.col(order_col) if order_col else F.lit(None).cast("timestamp")
-    texts = records.select(
-        F.col(key_col).alias("key"), age.alias("age"), record_text(score_cols).alias("text")
-    )
-    facts = ["query", "n_keywords", "n_words", "everywhere"]
-    asked_keywords = wanted.select(*facts, F.posexplode("keywords").alias("place", "term"))
-    asked_words = wanted.select(
-        *facts, F.posexplode("distinct_words").alias("place", "counted")
-    ).select(*facts, F.col("counted.word").alias("term"), F.col("counted.n").alias("weight"))
-    features = _record_features(
-        asked_keywords.select(F.col("term").alias("needle")).distinct(),
-        asked_words.select(F.col("term").alias("needle")).distinct(),
-        texts,
-    )
-    asked = asked_keywords.select(
-        *facts, F.lit("keyword").alias("kind"), "term", "place", F.lit(0).alias("weight")
-    ).unionByName(
-        asked_words.select(
-            *facts, F.lit("word").alias("kind"), "term", F.lit(None).cast("int").alias("place"),
-            "weight",
-        )
-    )
-    # features are partitioned by record, and so are the pairs made from them
-    part = F.struct(
-        "place",
-        F.when(F.col("contained"), F.lit(CONTAINED)).otherwise(CLOSE * F.col("close")).alias("value"),
-        F.col("contained").alias("contained"),
-    )
-    pairs = (
-        features.join(asked, ["kind", "term"])
-        .groupBy("query", "key")
-        .agg(
-            F.collect_list(F.when(F.col("kind") == "keyword", part)).alias("parts"),
-            F.sum("weight").alias("common"),
-            *[F.any_value(c).alias(c) for c in ("age", *facts[1:])],
-        )
-    )
-    return pairs.select("query", "key", "age", _score().alias("score"))
-
-
-def _wanted(requests: DataFrame, query_col: str, prompt_col: str, keywords_col: str) -> DataFrame:
-    """Terms of each request, and what every record gets or is divided by.
+    """The ``k`` best records per request: (query, rank, key, score).
 
-    An empty keyword is in every text.
+    Equal scores rank newest first; records scoring zero can fill a ranking.
     """
     no_keywords = F.array().cast("array<string>")
-    terms = requests.select(
+    wanted = requests.select(
         F.col(query_col).alias("query"),
-        F.transform(F.coalesce(keywords_col, no_keywords), lambda k: F.lower(k)).alias("keywords"),
+        F.transform(F.coalesce(keywords_col, no_keywords), lambda w: F.lower(w)).alias("keywords"),
         tx.split_words(F.lower(F.coalesce(prompt_col, F.lit("")))).alias("words"),
     )
-    everywhere = F.filter(
-        F.transform(
-            "keywords",
-            lambda k, i: F.when(
-                k == "",
-                F.struct(
-                    i.alias("place"), F.lit(CONTAINED).alias("value"), F.lit(True).alias("contained")
-                ),
-            ),
-        ),
-        lambda p: p.isNotNull(),
-    )
-    distinct_words = F.transform(
-        F.array_distinct("words"),
-        lambda w: F.struct(
-            w.alias("word"), F.size(F.filter("words", lambda other: other == w)).alias("n")
-        ),
-    )
-    return terms.select(
-        "query",
-        "keywords",
-        F.size("keywords").alias("n_keywords"),
-        F.size("words").alias("n_words"),
-        distinct_words.alias("distinct_words"),
-        everywhere.alias("everywhere"),
-    )
-
-
-def _score():
-    """Parts are added in keyword order, so equal inputs give equal last digits."""
-    parts = F.concat("parts", "everywhere")
-    total = F.aggregate(
-        F.sort_array(parts), F.lit(0.0), lambda s, p: s + p["value"]
-    )
-    hits = F.size(F.filter(parts, lambda p: p["contained"]))
-    ratio = F.when(F.col("n_keywords") > 0, F.try_divide(hits, "n_keywords")).otherwise(0.0)
-    overlap = F.when(F.col("n_words") > 0, F.try_divide("common", "n_words")).otherwise(0.0)
-    return F.least(total + ratio * RATIO + overlap * OVERLAP, F.lit(1.0))
-
-
-def _record_features(keywords: DataFrame, prompt_words: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, kind, term, contained, close, age): what each record has of the asked terms."""
-    spaced = keywords.filter(F.col("needle").rlike(rf"(?U){tx.SPACE}"))
-    plain = keywords.filter((F.col("needle") != "") & ~F.col("needle").rlike(rf"(?U){tx.SPACE}"))
-    # first occurrences in text order
-    postings = texts.select(
-        "key", "age",
-        F.posexplode(F.array_distinct(tx.split_words(F.col("text")))).alias("place", "word"),
+    age = F.col(order_col) if order_col else F.lit(None).cast("timestamp")
+    texts = records.select(
+        F.col(key_col).alias("key"), age.alias("age"), record_text(score_cols).alias("text")
     )
-    words = postings.select("word").distinct()
-
-    none = F.lit(None).cast("double")
-    inside = contained_pairs(plain, words)
-    near = close_pairs(keywords.filter("needle != ''"), words)
-    either_way = contained_pairs(prompt_words, words).unionByName(
-        contained_pairs(
-            words.select(F.col("word").alias("needle")),
-            prompt_words.select(F.col("needle").alias("word")),
-        ).select(F.col("word").alias("needle"), F.col("needle").alias("word"))
+    types = {f.name: f.dataType.simpleString() for f in (*wanted.schema, *texts.schema)}
+    schema = f"query {types['query']}, key {types['key']}, age {types['age']}, score double"
+
+    rows = rows_within(wanted, BROADCAST_REQUESTS)
+    if rows is not None:
+        shared = records.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+
+        def best_of_partition(batches):
+            prompts = PromptBlock(shared.value, k)
+            for pdf in batches:
+                prompts.add(pdf)
+            yield prompts.rows()
+
+        hits = texts.mapInPandas(best_of_partition, schema)
+    else:
+
+        def best_of_blocks(prompts_pdf, records_pdf):
+            block = PromptBlock(list(prompts_pdf[["query", "keywords", "words"]].values), k)
+            block.add(records_pdf)
+            return block.rows()
+
+        hits = pair_blocks(
+            wanted, texts, left_key="query", right_key="key", left_rows=REQUEST_BLOCK,
+            right_rows=RECORD_BLOCK, kernel=best_of_blocks, schema=schema,
+        )
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("age"), "key")
+    ranked = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select(
+        F.col("query").alias(query_col), "rank", F.col("key").alias(key_col), "score"
     )
 
-    def link(pairs, kind, contained, close):
-        return pairs.select(
-            "word", F.lit(kind).alias("kind"), F.col("needle").alias("term"),
-            F.lit(contained).alias("contained"), close.alias("close"),
-        )
 
-    links = (
-        link(inside, "keyword", True, none)
-        .unionByName(link(near, "keyword", False, F.col("closeness")))
-        .unionByName(link(either_way, "word", False, none))
-    )
-    parts = F.explode(F.sequence(F.lit(0), F.lit(WORD_PARTS - 1))).alias("_part")
-    of_records = postings.withColumn(
-        "_part", F.pmod(F.xxhash64("key"), F.lit(WORD_PARTS)).cast("int")
-    ).join(links.select("*", parts), ["word", "_part"])
-
-    across_words = (
-        texts.select("key", F.explode(char_grams(F.col("text"))).alias("_gram"))
-        .join(spaced.withColumn("_gram", probe_gram(F.col("needle"))), "_gram")
-        .join(texts, "key")
-        .filter(F.contains("text", "needle"))
-        .select(
-            "key", "age", F.lit(0).alias("place"), F.lit("keyword").alias("kind"),
-            F.col("needle").alias("term"), F.lit(True).alias("contained"), none.alias("close"),
+class PromptBlock:
+    """Prompts scored against batches of records, with the k best seen per prompt."""
+
+    def __init__(self, requests: Sequence[tuple], k: int):
+        self.k = k
+        self.queries = [r[0] for r in requests]
+        keywords = [list(r[1]) for r in requests]
+        words = [Counter(r[2]) for r in requests]
+        self.keywords = list(dict.fromkeys(w for ws in keywords for w in ws))
+        self.words = list(dict.fromkeys(w for ws in words for w in ws))
+        place = {w: i for i, w in enumerate(self.keywords)}
+        self.keyword_ids = [[place[w] for w in ws] for ws in keywords]
+        place = {w: i for i, w in enumerate(self.words)}
+        self.word_ids = [np.array([place[w] for w in ws], dtype=np.int64) for ws in words]
+        self.word_weights = [np.array(list(ws.values()), dtype=np.int64) for ws in words]
+        self.found: list[pd.DataFrame] = []
+
+    def add(self, records: pd.DataFrame) -> None:
+        for start in range(0, len(records), RECORDS_PER_STEP):
+            part = records.iloc[start : start + RECORDS_PER_STEP]
+            # stable order for equal scores
+            part = part.sort_values("key", kind="stable").sort_values(
+                "age", ascending=False, na_position="last", kind="stable"
+            )
+            self._add(part)
+
+    def _add(self, records: pd.DataFrame) -> None:
+        texts = RecordWords(records["text"].tolist())
+        contained, close = self._keyword_matches(texts)
+        common = texts.records_with(_contained_either_way(self.words, texts.vocabulary), len(self.words))
+        best_rows = []
+        for q, (ids, word_ids, weights) in enumerate(
+            zip(self.keyword_ids, self.word_ids, self.word_weights)
+        ):
+            score = np.zeros(len(records))
+            hits = np.zeros(len(records))
+            for i in ids:
+                score += np.where(contained[i], CONTAINED, CLOSE * close[i])
+                hits += contained[i]
+            if ids:
+                score += hits / len(ids) * RATIO
+            if len(word_ids):
+                score += weights @ common[word_ids] / weights.sum() * OVERLAP
+            score = np.minimum(score, 1.0)
+            top = np.argsort(-score, kind="stable")[: self.k]
+            best_rows.append(
+                pd.DataFrame(
+                    {
+                        "q": q,
+                        "key": records["key"].to_numpy()[top],
+                        "age": records["age"].iloc[top].to_numpy(),
+                        "score": score[top],
+                    }
+                )
+            )
+        if best_rows:
+            self.found.append(pd.concat(best_rows, ignore_index=True))
+        if len(self.found) >= 8:
+            self.found = [self._best()]
+
+    def _keyword_matches(self, texts: RecordWords) -> tuple[np.ndarray, np.ndarray]:
+        """Per keyword and record: is it in the text, and the first close word's closeness."""
+        inside = _contained_in(self.keywords, texts.vocabulary)
+        contained = texts.records_with(inside, len(self.keywords))
+        close = np.zeros((len(self.keywords), texts.n))
+        groups = WordLengthGroups(texts.vocabulary)
+        closeness = np.zeros(len(texts.vocabulary))
+        for i, keyword in enumerate(self.keywords):
+            # only a keyword with white space can lie across words; "" lies everywhere
+            if not keyword or re.search(r"\s", keyword):
+                contained[i] = [keyword in t for t in texts.texts]
+            closeness[:] = 0.0
+            for members, values in groups.closer_than(keyword, CLOSE_ABOVE):
+                closeness[members] = values
+            texts.first_positive(closeness, close[i])
+        return contained, close
+
+    def _best(self) -> pd.DataFrame:
+        rows = pd.concat(self.found, ignore_index=True)
+        rows = rows.sort_values("key", kind="stable").sort_values(
+            ["q", "score", "age"], ascending=[True, False, False], na_position="last", kind="stable"
         )
-    )
-    return (
-        of_records.select("key", "age", "place", "kind", "term", "contained", "close")
-        .unionByName(across_words)
-        .repartition("key")
-        .groupBy("key", "kind", "term")
-        .agg(
-            F.bool_or("contained").alias("contained"),
-            F.min_by("close", F.when(F.col("close").isNotNull(), F.col("place"))).alias("close"),
-            F.any_value("age").alias("age"),
+        return rows.groupby("q", sort=False).head(self.k)
+
+    def rows(self) -> pd.DataFrame:
+        if not self.found:
+            return pd.DataFrame({"query": [], "key": [], "age": [], "score": []})
+        best = self._best()
+        names = pd.Series(self.queries, dtype=object)
+        return pd.DataFrame(
+            {
+                "query": names.iloc[best["q"]].to_numpy(),
+                "key": best["key"].to_numpy(),
+                "age": best["age"].to_numpy(),
+                "score": best["score"].to_numpy(),
+            }
         )
-    )
 
 
-def nearest_by_keywords(
-    requests: DataFrame,
-    records: DataFrame,
-    *,
-    query_col: str,
-    prompt_col: str,
-    keywords_col: str,
-    key_col: str,
-    score_cols: Sequence[str],
-    order_col: str | None,
-    k: int = fixed.MAX_RESULTS,
-) -> DataFrame:
-    """The ``k`` best records per request: (query, rank, key, score).
-
-    Equal scores rank newest first. Records that score zero fill up short rankings.
-    """
-    scores = keyword_scores(
-        requests, records, query_col=query_col, prompt_col=prompt_col,
-        keywords_col=keywords_col, key_col=key_col, score_cols=score_cols, order_col=order_col,
-    )
-    age = F.col(order_col) if order_col else F.lit(None).cast("timestamp")
-    ages = records.select(F.col(key_col).alias("key"), age.alias("age"))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("age"), "key")
-
-    def top(df):
-        return df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-    scored = top(scores).drop("rank")
-
-    # the newest k records, one per place, for every request
-    newest = (
-        ages.orderBy(F.desc("age"), "key")
-        .limit(k)
-        .withColumn("place", F.row_number().over(Window.orderBy(F.desc("age"), "key")))
-    )
-    no_parts = F.array().cast(
-        "array<struct<place:int,value:double,contained:boolean>>"
-    )
-    fillers = (
-        _wanted(requests, query_col, prompt_col, keywords_col)
-        .withColumns({"parts": no_parts, "common": F.lit(0).cast("long")})
-        .select("query", _score().alias("score"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("place"))
-        .join(F.broadcast(newest), "place")
-        .select("query", "key", "age", "score")
-    )
-    both = scored.unionByName(fillers).groupBy("query", "key").agg(
-        F.max("score").alias("score"), F.any_value("age").alias("age")
-    )
-    return top(both).select(
-        F.col("query").alias(query_col), "rank", F.col("key").alias(key_col), "score"
+class RecordWords:
+    """The distinct words of each text in order of first occurrence, as one flat array."""
+
+    def __init__(self, texts: Sequence[str]):
+        self.texts = texts
+        self.n = len(texts)
+        ids: dict[str, int] = {}
+        flat, owner = [], []
+        for i, words in enumerate(dict.fromkeys(t.split()) for t in texts):
+            flat += [ids.setdefault(w, len(ids)) for w in words]
+            owner += [i] * len(words)
+        self.vocabulary = list(ids)
+        self.word = np.array(flat, dtype=np.int64)
+        self.record = np.array(owner, dtype=np.int64)
+
+    def records_with(self, pairs: tuple[np.ndarray, np.ndarray], n_terms: int) -> np.ndarray:
+        """terms x records: does the record hold a word of a (term, word) pair?"""
+        terms, words = pairs
+        out = np.zeros((n_terms, self.n), dtype=bool)
+        mask = np.zeros(len(self.vocabulary), dtype=bool)
+        order = np.argsort(terms, kind="stable")
+        terms, words = terms[order], words[order]
+        bounds = np.flatnonzero(np.diff(terms, prepend=-1))
+        for start, end in zip(bounds, [*bounds[1:], len(terms)]):
+            mask[words[start:end]] = True
+            out[terms[start], self.record[mask[self.word]]] = True
+            mask[words[start:end]] = False
+        return out
+
+    def first_positive(self, value: np.ndarray, out: np.ndarray) -> None:
+        """Per record, the value of its first word whose value is positive."""
+        places = np.nonzero(value[self.word])[0]
+        records, first = np.unique(self.record[places], return_index=True)
+        out[records] = value[self.word[places[first]]]
+
+
+def _contained_in(needles: Sequence[str], words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(needle, word) index pairs where the word contains the needle."""
+    joined = "\n".join(words)
+    starts = np.cumsum([0, *[len(w) + 1 for w in words]])
+    found_needles, found_words = [], []
+    for i, needle in enumerate(needles):
+        if not needle or "\n" in needle:
+            continue
+        places = [m.start() for m in re.finditer(re.escape(needle), joined)]
+        if places:
+            holders = np.unique(np.searchsorted(starts, places, side="right") - 1)
+            found_needles.append(np.full(len(holders), i))
+            found_words.append(holders)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *found_needles]), np.concatenate([none, *found_words])
+
+
+def _contained_either_way(terms: Sequence[str], words: Sequence[str]):
+    """(term, word) index pairs where one contains the other."""
+    inside = _contained_in(terms, words)
+    longest = max(map(len, terms), default=0)
+    short = [i for i, w in enumerate(words) if len(w) <= longest]
+    outside = _contained_in([words[i] for i in short], terms)
+    short = np.array(short, dtype=np.int64)
+    return (
+        np.concatenate([inside[0], outside[1]]),
+        np.concatenate([inside[1], short[outside[0]]]),
     )
