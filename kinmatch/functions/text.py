@@ -64,11 +64,12 @@ def ranked_keywords(
 
     def over_sorted(all_tokens, ordered):
         n = F.size(ordered)
-        # positions in `ordered` where a new token starts
+        # positions in `ordered` where a new token starts, and the end
         starts = F.filter(
             F.sequence(F.lit(0), n - 1),
             lambda i: (i == 0) | (ordered[i] != ordered[F.greatest(i - 1, F.lit(0))]),
         )
+        bounds = F.concat(starts, F.array(n))
         # the same distinct tokens, alphabetical, with their rank of first occurrence
         firsts = F.sort_array(
             F.transform(
@@ -76,23 +77,21 @@ def ranked_keywords(
                 lambda t, i: F.struct(t.alias("token"), i.alias("first")),
             )
         )
-        return let(starts, lambda st: let(firsts, lambda fs: scored(n, st, fs)))
+        return let(bounds, lambda bs: best_first(n.cast("double"), bs, firsts))
 
-    def scored(n, starts, firsts):
+    def best_first(n, bounds, firsts):
         def entry(first, i):
-            end = F.when(i + 1 < F.size(starts), F.get(starts, i + 1)).otherwise(n)
-            count = end - F.get(starts, i)
             token = first["token"]
-            score = count / n + F.least(F.length(token) / F.lit(10.0), F.lit(0.5))
+            share = (bounds[i + 1] - bounds[i]) / n
             return F.struct(
-                (-score).alias("order_score"), first["first"].alias("first"),
-                token.alias("token"), score.alias("score"),
+                (-(share + F.least(F.length(token) / F.lit(10.0), F.lit(0.5)))).alias("minus"),
+                first["first"].alias("first"),
+                token.alias("token"),
             )
 
-        best_first = F.sort_array(F.transform(firsts, entry))
+        ranked = F.slice(F.sort_array(F.transform(firsts, entry)), F.lit(1), limit)
         return F.transform(
-            F.slice(best_first, F.lit(1), limit),
-            lambda e: F.struct(e["token"].alias("token"), e["score"].alias("score")),
+            ranked, lambda e: F.struct(e["token"].alias("token"), (-e["minus"]).alias("score"))
         )
 
     empty = F.expr("cast(array() as array<struct<token:string,score:double>>)")

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions.text import let
 from kinmatch.operators.blocks import rows_within
 
-# Up to so many keywords are tested one after the other in every row.
-LITERAL_KEYWORDS = 256
+# Up to so many keywords become expressions tested in every row.
+LITERAL_KEYWORDS = 16
+# Up to so many are searched in every row by a task-side function, whose substring search
+# is many times faster than the expression; beyond that, joining character runs is.
+SCANNED_KEYWORDS = 4096
 # Up to so many are broadcast.
 BROADCAST_KEYWORDS = 1 << 16
+# Up to so many ranked (keyword, key) rows are broadcast to fetch their records.
+BROADCAST_HITS = 1 << 20
 
 
 def newest_first(order_col: str | None, key_col: str) -> list[Column]:
@@ -97,24 +103,34 @@ def search_keywords(
     limit: int | None = None,
     wildcards: bool = False,
 ) -> DataFrame:
-    """``search_keyword`` for many keywords: (keyword, record columns[, rank]).
+    """``search_keyword`` for many keywords: record columns, keyword[, rank].
 
-    Few keywords are tested row by row. More are joined on a short character run that
-    each match must share, then verified. ``limit`` keeps the newest per keyword.
+    Some thousand keywords are tested row by row. More are joined on a short character run
+    that each match must share, then verified. ``limit`` keeps the newest per keyword.
     """
     wanted = keywords.select(F.col(keyword_col).alias("_keyword")).filter(
         F.col("_keyword").isNotNull()
     ).distinct()
     rows = rows_within(wanted, BROADCAST_KEYWORDS)
-    if rows is not None and len(rows) <= LITERAL_KEYWORDS:
+    literal_limit = SCANNED_KEYWORDS if wildcards else LITERAL_KEYWORDS
+    if rows is not None and len(rows) <= literal_limit:
         found = _test_each(records, sorted(r[0] for r in rows), search_cols, wildcards)
+    elif rows is not None and len(rows) <= SCANNED_KEYWORDS:
+        found = _scan(records, sorted(r[0] for r in rows), search_cols)
     else:
         found = _probe(wanted, records, search_cols, key_col, wildcards, rows is not None)
-    found = found.withColumnRenamed("_keyword", keyword_col)
     if limit is None:
-        return found
-    order = Window.partitionBy(keyword_col).orderBy(*newest_first(order_col, key_col))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+        return found.withColumnRenamed("_keyword", keyword_col)
+    # rank on keys alone; whole records only travel for what is kept
+    order = Window.partitionBy("_keyword").orderBy(*newest_first(order_col, key_col))
+    kept = (
+        found.select("_keyword", key_col, *([order_col] if order_col else []))
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= limit)
+        .select(key_col, F.col("_keyword").alias(keyword_col), "rank")
+    )
+    few = rows is not None and len(rows) * limit <= BROADCAST_HITS
+    return records.join(F.broadcast(kept) if few else kept, key_col)
 
 
 def _test_each(records, keywords: list[str], search_cols, wildcards) -> DataFrame:
@@ -134,8 +150,27 @@ def _test_each(records, keywords: list[str], search_cols, wildcards) -> DataFram
     hits = let(
         contents, lambda texts: F.filter(candidates, lambda c: found_in(texts, c["lowered"]))
     )
-    return records.select("*", F.explode(hits).alias("_hit")).select(
-        *records.columns, F.col("_hit.keyword").alias("_keyword")
+    # the outer form keeps the optimizer from computing the array a second time to test it
+    return (
+        records.select("*", F.explode_outer(hits).alias("_hit"))
+        .filter(F.col("_hit").isNotNull())
+        .select(*records.columns, F.col("_hit.keyword").alias("_keyword"))
+    )
+
+
+def _scan(records, keywords: list[str], search_cols) -> DataFrame:
+    lowered = [(k, k.lower()) for k in keywords]
+    shared = records.sparkSession.sparkContext.broadcast(lowered)
+
+    def find(*columns: pd.Series) -> pd.Series:
+        wanted = shared.value
+        found = [[k for k, low in wanted if any(low in c for c in cells)] for cells in zip(*columns)]
+        return pd.Series(found, dtype=object)
+
+    contents = [F.lower(F.coalesce(c, F.lit(""))) for c in search_cols]
+    hits = F.pandas_udf(find, "array<string>")(*contents)
+    return records.select("*", F.explode_outer(hits).alias("_keyword")).filter(
+        F.col("_keyword").isNotNull()
     )
 
 
@@ -145,7 +180,7 @@ def _probe(wanted, records, search_cols, key_col, wildcards, small) -> DataFrame
         "_gram", _probe_of_pattern(lowered) if wildcards else probe_gram(lowered)
     )
     content = F.concat_ws("\n", *[F.lower(c) for c in search_cols])
-    grams = F.explode(char_grams(content, (0, 1, 2, 3))).alias("_gram")
+    grams = F.explode_outer(char_grams(content, (0, 1, 2, 3))).alias("_gram")
     verified = _any_contains(search_cols, lowered, wildcards)
     if small:
         return (
