@@ -79,7 +79,7 @@ def upsert_changes(base: DataFrame, batch: DataFrame, spec: UpsertSpec) -> DataF
     present = [f for f in spec.fields if f in batch.columns]
 
     rows = _cells(batch, spec, present)
-    rows = rows.join(_touched_records(base, rows, spec, small), "_group", "left")
+    rows = rows.join(_touched_records(base, rows, spec, present, small), "_group", "left")
     rows = rows.withColumn(
         "_in_base", F.coalesce("_in_base", F.lit(False))
     ).withColumn("_segment", F.lit(0) if small else F.floor(F.col(row) / SEGMENT_ROWS))
@@ -173,7 +173,7 @@ def _cells(batch: DataFrame, spec: UpsertSpec, present: Sequence[str]) -> DataFr
 
 
 def _touched_records(
-    base: DataFrame, rows: DataFrame, spec: UpsertSpec, small: bool
+    base: DataFrame, rows: DataFrame, spec: UpsertSpec, present: Sequence[str], small: bool
 ) -> DataFrame:
     """The records whose key the batch names: ``_group``, ``_in_base``, ``_old_<field>``."""
     keys = rows.filter("_key_valid").select("_group").distinct()
@@ -182,7 +182,7 @@ def _touched_records(
         F.lit(True).alias("_in_base"),
         *[
             tx.normalized_cell(F.col(f).cast("string"), f in spec.date_cols).alias(f"_old_{f}")
-            for f in spec.fields
+            for f in present
         ],
     )
     return records.join(F.broadcast(keys) if small else keys, "_group", "left_semi")

@@ -187,6 +187,8 @@ def _nearest_batch(
             left_rows=QUERY_BLOCK, right_rows=RECORD_BLOCK,
             kernel=_block_kernel(k), schema=schema,
         )
+    # pandas hands NaN over as NULL, which would sort first
+    hits = hits.withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
     hits = hits.withColumn("score", vectors.similarity(F.col("distance")))
     if threshold is not None:
         hits = hits.filter(F.col("score") >= threshold)
