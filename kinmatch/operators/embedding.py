@@ -32,9 +32,12 @@ def hashed_terms(size: int = fixed.EMBEDDING_SIZE) -> Callable[[], Model]:
     pattern = re.compile(fixed.TOKEN_PATTERN.replace(r"\p{Nd}", r"\d"))
 
     def factory() -> Model:
+        places: dict[str, int] = {}
+
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), size), dtype=np.float32)
-            places: dict[str, int] = {}
+            if len(places) > 500_000:
+                places.clear()
             for row, content in zip(out, texts):
                 for token, n in Counter(pattern.findall(content.lower())).items():
                     place = places.get(token)

@@ -8,8 +8,8 @@ Score of a record for a prompt, capped at 1:
 Nearly every record gets some score for nearly every prompt, so building the pairs would
 shuffle prompts x records rows. Instead a bounded block of prompts travels to the record
 partitions; each task scores its records and lets only the k best per prompt out. Larger
-request tables are joined block by block. Every string comparison is made once per
-distinct word of a batch.
+request tables are joined block by block. A task compares strings once per distinct word
+and remembers the outcome.
 """
 
 from __future__ import annotations
@@ -37,7 +37,11 @@ BROADCAST_REQUESTS = 512
 REQUEST_BLOCK = 256
 RECORD_BLOCK = 8192
 # Records scored together in a task.
-RECORDS_PER_STEP = 1000
+RECORDS_PER_STEP = 4000
+# Words a task remembers its string comparisons for, before it starts over.
+REMEMBERED_WORDS = 200_000
+# (term, record) hits expanded at a time.
+HITS_PER_STEP = 1 << 22
 
 
 def record_text(score_cols: Sequence[str]):
@@ -119,6 +123,29 @@ class PromptBlock:
         self.word_ids = [np.array([place[w] for w in ws], dtype=np.int64) for ws in words]
         self.word_weights = [np.array(list(ws.values()), dtype=np.int64) for ws in words]
         self.found: list[pd.DataFrame] = []
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start over with no known words."""
+        self.known: dict[str, int] = {}
+        self.compared = 0
+        none = np.zeros(0, dtype=np.int64)
+        # (term, word) pairs, and the closeness of the close ones
+        self.inside = (none, none)
+        self.common = (none, none)
+        self.close = (none, none, np.zeros(0))
+
+    def _compare_new_words(self) -> None:
+        new = list(self.known)[self.compared :]
+        if not new:
+            return
+        inside = _contained_in(self.keywords, new)
+        common = _contained_either_way(self.words, new)
+        close = _close_words(self.keywords, new)
+        for name, (terms, words, *values) in (("inside", inside), ("common", common), ("close", close)):
+            added = (terms, words + self.compared, *values)
+            setattr(self, name, tuple(map(np.concatenate, zip(getattr(self, name), added))))
+        self.compared = len(self.known)
 
     def add(self, records: pd.DataFrame) -> None:
         for start in range(0, len(records), RECORDS_PER_STEP):
@@ -130,9 +157,17 @@ class PromptBlock:
             self._add(part)
 
     def _add(self, records: pd.DataFrame) -> None:
-        texts = RecordWords(records["text"].tolist())
-        contained, close = self._keyword_matches(texts)
-        common = texts.records_with(_contained_either_way(self.words, texts.vocabulary), len(self.words))
+        if len(self.known) > REMEMBERED_WORDS:
+            self._forget()
+        texts = RecordWords(records["text"].tolist(), self.known)
+        self._compare_new_words()
+        contained = texts.records_with(*self.inside, len(self.keywords))
+        for i, keyword in enumerate(self.keywords):
+            # only a keyword with white space can lie across words; "" lies everywhere
+            if not keyword or re.search(r"\s", keyword):
+                contained[i] = [keyword in t for t in texts.texts]
+        close = texts.first_values(*self.close, len(self.keywords))
+        common = texts.records_with(*self.common, len(self.words))
         best_rows = []
         for q, (ids, word_ids, weights) in enumerate(
             zip(self.keyword_ids, self.word_ids, self.word_weights)
@@ -163,23 +198,6 @@ class PromptBlock:
         if len(self.found) >= 8:
             self.found = [self._best()]
 
-    def _keyword_matches(self, texts: RecordWords) -> tuple[np.ndarray, np.ndarray]:
-        """Per keyword and record: is it in the text, and the first close word's closeness."""
-        inside = _contained_in(self.keywords, texts.vocabulary)
-        contained = texts.records_with(inside, len(self.keywords))
-        close = np.zeros((len(self.keywords), texts.n))
-        groups = WordLengthGroups(texts.vocabulary)
-        closeness = np.zeros(len(texts.vocabulary))
-        for i, keyword in enumerate(self.keywords):
-            # only a keyword with white space can lie across words; "" lies everywhere
-            if not keyword or re.search(r"\s", keyword):
-                contained[i] = [keyword in t for t in texts.texts]
-            closeness[:] = 0.0
-            for members, values in groups.closer_than(keyword, CLOSE_ABOVE):
-                closeness[members] = values
-            texts.first_positive(closeness, close[i])
-        return contained, close
-
     def _best(self) -> pd.DataFrame:
         rows = pd.concat(self.found, ignore_index=True)
         rows = rows.sort_values("key", kind="stable").sort_values(
@@ -205,37 +223,68 @@ class PromptBlock:
 class RecordWords:
     """The distinct words of each text in order of first occurrence, as one flat array."""
 
-    def __init__(self, texts: Sequence[str]):
+    def __init__(self, texts: Sequence[str], known: dict[str, int]):
+        """Adds unseen words to ``known``, which numbers them."""
         self.texts = texts
         self.n = len(texts)
-        ids: dict[str, int] = {}
-        flat, owner = [], []
-        for i, words in enumerate(dict.fromkeys(t.split()) for t in texts):
-            flat += [ids.setdefault(w, len(ids)) for w in words]
-            owner += [i] * len(words)
-        self.vocabulary = list(ids)
-        self.word = np.array(flat, dtype=np.int64)
-        self.record = np.array(owner, dtype=np.int64)
-
-    def records_with(self, pairs: tuple[np.ndarray, np.ndarray], n_terms: int) -> np.ndarray:
+        flat, sizes = [], []
+        for words in (dict.fromkeys(t.split()) for t in texts):
+            flat += [known.setdefault(w, len(known)) for w in words]
+            sizes.append(len(words))
+        word = np.array(flat, dtype=np.int64)
+        self.record = np.repeat(np.arange(self.n), sizes)
+        # places of each word in the flat array, ascending
+        self.places = np.argsort(word, kind="stable")
+        self.counts = np.bincount(word, minlength=len(known))
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def _expanded(self, words: np.ndarray):
+        """(pair numbers, places): every place of the word of every pair, in bounded steps."""
+        n = self.counts[words]
+        present = np.nonzero(n)[0]
+        ends = np.cumsum(n[present])
+        step = 0
+        while step < len(present):
+            done = ends[step - 1] if step else 0
+            stop = max(int(np.searchsorted(ends, done + HITS_PER_STEP, side="right")), step + 1)
+            pairs = present[step:stop]
+            sizes = n[pairs]
+            first = np.cumsum(sizes) - sizes
+            offsets = np.repeat(self.starts[words[pairs]] - first, sizes) + np.arange(sizes.sum())
+            yield np.repeat(pairs, sizes), self.places[offsets]
+            step = stop
+
+    def records_with(self, terms: np.ndarray, words: np.ndarray, n_terms: int) -> np.ndarray:
         """terms x records: does the record hold a word of a (term, word) pair?"""
-        terms, words = pairs
         out = np.zeros((n_terms, self.n), dtype=bool)
-        mask = np.zeros(len(self.vocabulary), dtype=bool)
-        order = np.argsort(terms, kind="stable")
-        terms, words = terms[order], words[order]
-        bounds = np.flatnonzero(np.diff(terms, prepend=-1))
-        for start, end in zip(bounds, [*bounds[1:], len(terms)]):
-            mask[words[start:end]] = True
-            out[terms[start], self.record[mask[self.word]]] = True
-            mask[words[start:end]] = False
+        for pairs, places in self._expanded(words):
+            out[terms[pairs], self.record[places]] = True
         return out
 
-    def first_positive(self, value: np.ndarray, out: np.ndarray) -> None:
-        """Per record, the value of its first word whose value is positive."""
-        places = np.nonzero(value[self.word])[0]
-        records, first = np.unique(self.record[places], return_index=True)
-        out[records] = value[self.word[places[first]]]
+    def first_values(self, terms, words, values, n_terms: int) -> np.ndarray:
+        """terms x records: the value of the record's first word among the pairs, or zero."""
+        first = np.full(n_terms * self.n, len(self.places), dtype=np.int64)
+        out = np.zeros(n_terms * self.n)
+        for pairs, places in self._expanded(words):
+            order = np.argsort(places, kind="stable")
+            pairs, places = pairs[order], places[order]
+            cells, at = np.unique(terms[pairs] * self.n + self.record[places], return_index=True)
+            earlier = places[at] < first[cells]
+            cells, at = cells[earlier], at[earlier]
+            first[cells] = places[at]
+            out[cells] = values[pairs[at]]
+        return out.reshape(n_terms, self.n)
+
+
+def _close_words(needles: Sequence[str], words: Sequence[str]):
+    """(needle, word, closeness) of the pairs closer than the limit."""
+    groups = WordLengthGroups(words)
+    none = np.zeros(0, dtype=np.int64)
+    found = [(none, none, np.zeros(0))]
+    for i, needle in enumerate(needles):
+        for members, values in groups.closer_than(needle, CLOSE_ABOVE):
+            found.append((np.full(len(members), i), members, values))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def _contained_in(needles: Sequence[str], words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -81,11 +81,16 @@ def _explained(hits, requests, records, columns: RecordColumns, query_col, small
 
 
 def recommend_by_vector(
-    requests: DataFrame, records: DataFrame, columns: RecordColumns, *, query_col: str
+    requests: DataFrame, records: DataFrame, columns: RecordColumns, *, query_col: str,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Nearest records of prepared requests that have a vector, explained."""
+    """Nearest records of prepared requests that have a vector, explained.
+
+    ``vectors`` may hold the record vectors by key, apart from ``records``.
+    """
     hits, small = _nearest_batch(
-        requests, records, query_col=query_col, key_col=columns.key,
+        requests, records if vectors is None else vectors, query_col=query_col,
+        key_col=columns.key,
         vector_col=columns.vector, k=fixed.MAX_RESULTS,
     )
     hits = hits.select(query_col, "rank", columns.key, "score")
@@ -106,13 +111,15 @@ def recommend_by_keywords(
 
 def recommend(
     requests: DataFrame, records: DataFrame, columns: RecordColumns, *, query_col: str,
-    prompt_col: str,
+    prompt_col: str, vectors: DataFrame | None = None,
 ) -> DataFrame:
     """By vector for requests that have one, by keywords for the others; ``path`` says which."""
     valid = requests.filter(F.col("problem").isNull())
     with_vector = valid.filter(F.col(columns.vector).isNotNull())
     without = valid.filter(F.col(columns.vector).isNull())
-    near = recommend_by_vector(with_vector, records, columns, query_col=query_col)
+    near = recommend_by_vector(
+        with_vector, records, columns, query_col=query_col, vectors=vectors
+    )
     scored = recommend_by_keywords(
         without, records, columns, query_col=query_col, prompt_col=prompt_col
     )

@@ -412,29 +412,38 @@ def _requests(spark, sf) -> DataFrame:
     )
 
 
-def _embedded(df: DataFrame, key: str, text: str, model=None) -> DataFrame:
-    """``df`` with an ``embedding`` column made from ``text``."""
-    vecs = embedding.embed(
+def _vectors(df: DataFrame, key: str, text: str, model=None) -> DataFrame:
+    """(key, embedding) of the texts."""
+    return embedding.embed(
         df, key_col=key, text_col=text, model=model or embedding.hashed_terms(SIZE), size=SIZE
+    ).select(key, "embedding")
+
+
+def _requests_with_vectors(spark, sf, model=None) -> DataFrame:
+    requests = _requests(spark, sf)
+    return requests.join(_vectors(requests, "item_id", "text", model), "item_id", "left")
+
+
+def _nearest_documents(spark, sf) -> tuple[DataFrame, DataFrame]:
+    requests = _requests_with_vectors(spark, sf)
+    records = read_spread(spark, sf, "documents")
+    hits = recommend.recommend_by_vector(
+        requests, records, DOCUMENT_COLUMNS, query_col="item_id",
+        vectors=_vectors(records, "doc_id", "text"),
     )
-    return df.join(vecs.select(key, "embedding"), key, "left")
+    return requests, hits
 
 
 @query
 def recommend_vector(spark, sf):
-    requests = _embedded(_requests(spark, sf), "item_id", "text")
-    records = _embedded(read_spread(spark, sf, "documents"), "doc_id", "text")
-    hits = recommend.recommend_by_vector(requests, records, DOCUMENT_COLUMNS, query_col="item_id")
-    return hits.select(
+    return _nearest_documents(spark, sf)[1].select(
         "item_id", "rank", "doc_id", "score", joined("matched_keywords").alias("matched")
     )
 
 
 @query
 def recommend_documents(spark, sf):
-    requests = _embedded(_requests(spark, sf), "item_id", "text")
-    records = _embedded(read_spread(spark, sf, "documents"), "doc_id", "text")
-    hits = recommend.recommend_by_vector(requests, records, DOCUMENT_COLUMNS, query_col="item_id")
+    requests, hits = _nearest_documents(spark, sf)
     results = recommend.result_documents(
         requests, hits, DOCUMENT_COLUMNS, query_col="item_id", prompt_col="text"
     )
@@ -478,12 +487,12 @@ def _short_texts_only(model, limit: int):
 def recommend_routed(spark, sf):
     """Prompts the model refuses take the keyword path."""
     refusing = _short_texts_only(embedding.hashed_terms(SIZE), 200)
-    requests = _embedded(_requests(spark, sf), "item_id", "text", refusing)
+    requests = _requests_with_vectors(spark, sf, refusing)
     part = read_spread(spark, sf, "part")
     content = tx.embedding_text(F.col("p_name"), F.col("p_brand"), F.col("p_type"))
-    records = _embedded(part.withColumn("content", content), "p_partkey", "content")
     hits = recommend.recommend(
-        requests, records, PART_COLUMNS, query_col="item_id", prompt_col="text"
+        requests, part, PART_COLUMNS, query_col="item_id", prompt_col="text",
+        vectors=_vectors(part.withColumn("content", content), "p_partkey", "content"),
     )
     table = recommend.numbered_table(hits, name_col="p_name", name_chars=8)
     return table.select(
