@@ -89,14 +89,13 @@ class WordLengthGroups:
                 (overlap > 0) & (best + prefix * 0.1 * (1 - best) > limit - 1e-9)
             )[0]
             if len(possible):
-                value = _closeness_to_all(codes, chars[possible], prefix[possible])
-                above = value > limit
-                if above.any():
-                    yield members[possible[above]], value[above]
+                rows, value = _closer_words(codes, chars[possible], prefix[possible], limit)
+                if len(rows):
+                    yield members[possible[rows]], value
 
 
-def _closeness_to_all(codes: np.ndarray, words: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-    """``closeness`` of one string to equally long words, one row each."""
+def _closer_words(codes: np.ndarray, words: np.ndarray, prefix: np.ndarray, limit: float):
+    """(rows, closeness) of equally long words closer to one string than ``limit``."""
     n, length = words.shape
     reach = max(max(len(codes), length) // 2 - 1, 0)
     unpaired = np.ones((n, length), dtype=bool)
@@ -110,11 +109,17 @@ def _closeness_to_all(codes: np.ndarray, words: np.ndarray, prefix: np.ndarray)
         unpaired[rows, low + fits[rows].argmax(axis=1)] = False
         paired[rows, i] = True
     m = paired.sum(axis=1)
+    # few stay within reach of the limit now; only those need the order of their pairs
+    best = (m / len(codes) + m / length + 1) / 3
+    rows = np.nonzero((m > 0) & (best + prefix * 0.1 * (1 - best) > limit - 1e-9))[0]
+    m, prefix = m[rows], prefix[rows]
     # paired characters of both sides, each in its own order, side by side
     both = min(len(codes), length)
-    left = codes[np.argsort(~paired, axis=1, kind="stable")[:, :both]]
-    right = np.take_along_axis(words, np.argsort(unpaired, axis=1, kind="stable")[:, :both], 1)
+    left = codes[np.argsort(~paired[rows], axis=1, kind="stable")[:, :both]]
+    order = np.argsort(unpaired[rows], axis=1, kind="stable")[:, :both]
+    right = np.take_along_axis(words[rows], order, 1)
     out_of_order = ((left != right) & (np.arange(both) < m[:, None])).sum(axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        jaro = (m / len(codes) + m / length + (m - out_of_order / 2) / m) / 3
-    return np.where(m > 0, jaro + prefix * 0.1 * (1 - jaro), 0.0)
+    jaro = (m / len(codes) + m / length + (m - out_of_order / 2) / m) / 3
+    value = jaro + prefix * 0.1 * (1 - jaro)
+    above = value > limit
+    return rows[above], value[above]

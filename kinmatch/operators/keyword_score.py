@@ -289,19 +289,20 @@ def _close_words(needles: Sequence[str], words: Sequence[str]):
 
 def _contained_in(needles: Sequence[str], words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """(needle, word) index pairs where the word contains the needle."""
-    joined = "\n".join(words)
+    joined = "\n".join(words) + "\n"
     starts = np.cumsum([0, *[len(w) + 1 for w in words]])
-    found_needles, found_words = [], []
+    found_needles, found_places = [], []
     for i, needle in enumerate(needles):
         if not needle or "\n" in needle:
             continue
-        places = [m.start() for m in re.finditer(re.escape(needle), joined)]
-        if places:
-            holders = np.unique(np.searchsorted(starts, places, side="right") - 1)
-            found_needles.append(np.full(len(holders), i))
-            found_words.append(holders)
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *found_needles]), np.concatenate([none, *found_words])
+        place = joined.find(needle)
+        while place >= 0:
+            found_needles.append(i)
+            found_places.append(place)
+            # on to the next word
+            place = joined.find(needle, joined.find("\n", place))
+    holders = np.searchsorted(starts, np.array(found_places, dtype=np.int64), side="right") - 1
+    return np.array(found_needles, dtype=np.int64), holders
 
 
 def _contained_either_way(terms: Sequence[str], words: Sequence[str]):
