@@ -3,7 +3,7 @@
 ``nearest`` answers one query with array expressions and a top-k. ``nearest_batch``
 answers many: up to ``BROADCAST_VALUES`` query values travel to the tasks, every task
 keeps the k best per query over all its Arrow batches, and one small shuffle merges
-them. A larger query side is joined block by block instead.
+them. A larger query side is joined with the cells of records it cannot rule out.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions import vectors
-from kinmatch.operators.blocks import pair_blocks
+from kinmatch.operators.pivots import as_matrix, join_by_cells
 
 # Query side limits for broadcasting: 2^24 doubles are 128 MB.
 BROADCAST_VALUES = 1 << 24
@@ -129,19 +129,6 @@ def _unit(matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
     return matrix / safe[:, None]
 
 
-def _matrix(column) -> np.ndarray:
-    """A float64 matrix from a non-null Arrow list column."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if n == 0:
-        return np.zeros((0, 0))
-    if len(values) % n or (np.diff(column.offsets.to_numpy()) != len(values) // n).any():
-        raise ValueError("vectors of different sizes in one column; resize them first")
-    return values.reshape(n, -1)
-
-
 def nearest_batch(
     queries: DataFrame,
     records: DataFrame,
@@ -182,10 +169,9 @@ def _nearest_batch(
     if small is not None:
         hits = _stream_records(small, records, k, schema)
     else:
-        hits = pair_blocks(
-            queries, records, left_key="query", right_key="key",
-            left_rows=QUERY_BLOCK, right_rows=RECORD_BLOCK,
-            kernel=_block_kernel(k), schema=schema,
+        hits = join_by_cells(
+            queries, records, k, _block_kernel(k), schema,
+            query_block=QUERY_BLOCK, record_block=RECORD_BLOCK,
         )
     # pandas hands NaN over as NULL, which would sort first
     hits = hits.withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
@@ -205,7 +191,7 @@ def _small_query_side(queries: DataFrame) -> tuple[list, np.ndarray] | None:
     table = queries.limit(BROADCAST_QUERIES + 1).toArrow()
     if table.num_rows > BROADCAST_QUERIES:
         return None
-    matrix = _matrix(table.column("query_vector"))
+    matrix = as_matrix(table.column("query_vector"))
     return (table.column("query").to_pylist(), matrix) if matrix.size <= BROADCAST_VALUES else None
 
 
@@ -219,7 +205,7 @@ def _stream_records(small, records: DataFrame, k: int, schema: str) -> DataFrame
         ids, matrix = shared.value
         block = QueryBlock(ids, matrix, k)
         for batch in batches:
-            block.add(batch.column("key").to_pandas(), _matrix(batch.column("vector")))
+            block.add(batch.column("key").to_pandas(), as_matrix(batch.column("vector")))
         found = block.rows()
         if len(found):
             table = pa.Table.from_pandas(

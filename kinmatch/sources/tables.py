@@ -52,6 +52,20 @@ def publish(df: DataFrame, root: str) -> str:
     return path
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Written to the cluster's shared checkpoint folder and read back, when it has one.
+
+    For tables used several times: they are not computed again, a lost executor costs
+    nothing, and the planner knows their size. Without such a folder Spark recomputes.
+    """
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Project to the columns of ``names`` under their new names; dates become text."""
     types = {f.name: f.dataType for f in df.schema}

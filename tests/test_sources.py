@@ -128,3 +128,15 @@ def test_tables(spark, tmp_path):
     assert text == '{"projectCode":"P1","projectFromDate":"2026-01-01","summary":"요약","sapPhase":null}'
     tables.write_json_lines(shown, str(tmp_path / "json"))
     assert spark.read.text(str(tmp_path / "json")).first()[0] == text
+
+
+def test_settled_uses_the_shared_folder(spark, tmp_path):
+    df = spark.range(5)
+    try:
+        spark.conf.set("spark.checkpoint.dir", "")
+        assert tables.settled(df) is df
+        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+        kept = tables.settled(df)
+        assert kept.count() == 5 and any(tmp_path.iterdir())
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")

@@ -50,6 +50,33 @@ def test_batch_equals_brute_force(spark, vecs, monkeypatch, blocks):
     assert got == brute(vecs, 7)
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_pruned_join_on_clustered_vectors(spark, monkeypatch, k):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(9, 12)) * 5
+    points = np.concatenate([c + rng.normal(size=(40, 12)) * 0.3 for c in centres])
+    # a third of all records are copies of one
+    points[:120] = points[0]
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    vecs = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+    asked = vecs.filter("id >= 100").withColumnRenamed("id", "q")
+    want = ranked(nearest_batch(asked, vecs, query_col="q", key_col="id", k=k))
+    monkeypatch.setattr(vector_search, "BROADCAST_QUERIES", 5)
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(vector_search, "RECORD_BLOCK", 20)
+    got = ranked(nearest_batch(asked, vecs, query_col="q", key_col="id", k=k))
+    assert got == want
+    met = []
+    from kinmatch.operators import pivots as pv
+
+    original = pv._met_cells
+    monkeypatch.setattr(pv, "_met_cells", lambda *a: met.append(original(*a)) or met[-1])
+    nearest_batch(asked, vecs, query_col="q", key_col="id", k=k)
+    # far fewer than queries x cells
+    cells = met[0].select("cell").distinct().count()
+    assert met[0].count() < 0.5 * asked.count() * cells
+
+
 def test_single_equals_batch(spark, vecs):
     query = vecs.filter("id = 8").first().embedding
     one = [r.id for r in nearest(vecs, query, key_col="id", k=7).collect()]
