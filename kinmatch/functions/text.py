@@ -132,15 +132,15 @@ def matched_keywords(keyword_list: Column, text: Column) -> Column:
     A keyword without white space lies inside one word exactly when it lies in the text.
     """
 
-    def is_match(keyword):
+    def is_match(words, keyword):
         return let(
             strip(F.lower(keyword)),
             lambda k: (F.length(k) >= 2)
             & ~k.rlike(rf"(?U){SPACE}")
-            & F.contains(text, k),
+            & F.contains(words, k),
         )
 
-    return F.filter(keyword_list, is_match)
+    return let(text, lambda words: F.filter(keyword_list, lambda k: is_match(words, k)))
 
 
 def embedding_text(*fields: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinmatch.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -17,11 +19,18 @@ def squared_norm(a: Column) -> Column:
     )
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine; NaN when a vector has no length, so such rows sort last."""
-    scale = F.sqrt(squared_norm(a) * squared_norm(b))
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), scale)))
-    return F.when(scale > 0, 1.0 - cosine).otherwise(F.lit(float("nan")))
+def cosine_distance(a: Column, b: Column, squared_norm_b: Column | None = None) -> Column:
+    """1 - cosine; NaN when a vector has no length, so such rows sort last.
+
+    Give ``squared_norm_b`` when it is known, as for one query against many rows.
+    """
+    squared = squared_norm(a) * (squared_norm(b) if squared_norm_b is None else squared_norm_b)
+
+    def distance(scale):
+        cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / scale))
+        return F.when(scale > 0, 1.0 - cosine).otherwise(F.lit(float("nan")))
+
+    return let(F.sqrt(squared), distance)
 
 
 def similarity(distance: Column) -> Column:

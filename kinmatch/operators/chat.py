@@ -108,8 +108,15 @@ def history_windows(
     within = F.collect_list("_message").over(place.orderBy(turn_col).rowsBetween(-size, -1))
     local = cut.withColumn("_local", within)
 
+    # only conversations of several segments have anything to carry
+    cut_up = (
+        cut.groupBy(conversation_col)
+        .agg(F.min("_segment").alias("_low"), F.max("_segment").alias("_high"))
+        .filter("_low < _high")
+    )
     tails = (
         cut.select(conversation_col, "_segment", turn_col, "_message")
+        .join(cut_up.select(conversation_col), conversation_col, "left_semi")
         .withColumn("_back", F.row_number().over(place.orderBy(F.desc(turn_col))))
         .filter(F.col("_back") <= size)
         .groupBy(conversation_col, "_segment")

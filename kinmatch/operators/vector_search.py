@@ -40,10 +40,15 @@ def nearest(
 
     ``threshold`` keeps scores at or above it, before the limit. ``k=None`` keeps all.
     """
-    query_vector = F.array(*[F.lit(float(v)) for v in query])
+    query = [float(v) for v in query]
+    query_vector = F.array(*[F.lit(v) for v in query])
+    squared_norm = 0.0
+    for v in query:
+        squared_norm += v * v
+    distance = vectors.cosine_distance(F.col(vector_col), query_vector, F.lit(squared_norm))
     scored = (
         records.filter(F.col(vector_col).isNotNull())
-        .select(key_col, vectors.cosine_distance(F.col(vector_col), query_vector).alias("distance"))
+        .select(key_col, distance.alias("distance"))
         .withColumn("score", vectors.similarity(F.col("distance")))
     )
     if threshold is not None:

@@ -163,9 +163,11 @@ def matched_keywords(spark, sf):
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply")
     )
     words = tx.searchable_text(None, [F.col("reply")])
-    return asked.join(replies, ["conv_id", "turn"]).select(
-        "conv_id", "turn", joined("keywords").alias("keywords"),
-        joined(tx.matched_keywords(F.col("keywords"), words)).alias("matched"),
+    pairs = asked.join(replies, ["conv_id", "turn"]).withColumn(
+        "matched", tx.matched_keywords(F.col("keywords"), words)
+    )
+    return pairs.select(
+        "conv_id", "turn", joined("keywords").alias("keywords"), joined("matched").alias("matched")
     )
 
 
