@@ -1,8 +1,4 @@
-"""SQL with the meaning of each registered query, for an independent check.
-
-Left out: ``recommend_keyword`` and ``recommend_routed``. Their string closeness has no
-SQL counterpart; tests compare them with brute force.
-"""
+"""SQL with the meaning of each registered query, for an independent check."""
 
 from __future__ import annotations
 
@@ -125,6 +121,58 @@ _REPEATED_BATCH = """
       WHEN len(diffs) > 0 THEN 'updated' ELSE 'skipped' END AS action FROM compared)"""
 
 
+# Scores of parts for the prompts of ``asked(item_id, text)`` with keywords ``ranked``.
+# Closeness pairs equal characters one after the other, hence the recursion.
+_PART_SCORES = r"""
+    texts AS (SELECT *, lower(p_name || ' ' || p_brand || ' ' || p_type) AS content FROM part),
+    lists AS (SELECT p_partkey, string_split(content, ' ') AS l FROM texts),
+    part_words AS (SELECT p_partkey, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM lists),
+    vocabulary AS (SELECT DISTINCT word FROM part_words),
+    steps(a, b, i, used, paired) AS (
+      SELECT token, word, 0, []::BIGINT[], '' FROM (SELECT DISTINCT token FROM ranked), vocabulary
+      UNION ALL
+      SELECT a, b, i + 1, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END,
+        CASE WHEN j IS NULL THEN paired ELSE paired || substr(a, i + 1, 1) END
+      FROM (SELECT *, list_filter(range(greatest(i - reach, 0) + 1, least(i + reach + 1, length(b)) + 1),
+              lambda p: substr(b, p, 1) = substr(a, i + 1, 1) AND NOT list_contains(used, p))[1] AS j
+            FROM (SELECT *, greatest(greatest(length(a), length(b)) // 2 - 1, 0) AS reach
+                  FROM steps WHERE i < length(a)))),
+    paired AS (SELECT a, b, len(used)::DOUBLE AS m, length(a)::DOUBLE AS la, length(b)::DOUBLE AS lb,
+      len(list_filter(range(1, len(used) + 1),
+        lambda k: substr(paired, k, 1) <> substr(b, list_sort(used)[k], 1)))::DOUBLE AS swaps,
+      len(list_filter(range(1, 5), lambda k: k <= length(a) AND k <= length(b)
+        AND left(a, k) = left(b, k)))::DOUBLE AS prefix
+      FROM steps WHERE i = length(a)),
+    jaros AS (SELECT *, (m / la + m / lb + (m - swaps / 2e0) / m) / 3e0 AS jaro FROM paired WHERE m > 0),
+    closeness AS (SELECT a, b, jaro + prefix * 1e-1 * (1e0 - jaro) AS value FROM jaros),
+    first_close AS (SELECT p_partkey, a AS token, arg_min(value, pos) AS value
+      FROM part_words JOIN closeness ON b = word WHERE value > 7e-1 GROUP BY p_partkey, a),
+    keyword_parts AS (SELECT item_id, t.p_partkey, count(*)::DOUBLE AS n,
+      sum(CASE WHEN contains(content, r.token) THEN 4e-1 ELSE 2e-1 * coalesce(value, 0e0) END
+        ORDER BY rank) AS total,
+      count(*) FILTER (contains(content, r.token))::DOUBLE AS hits
+      FROM ranked r CROSS JOIN texts t
+      LEFT JOIN first_close f ON f.p_partkey = t.p_partkey AND f.token = r.token
+      GROUP BY item_id, t.p_partkey),
+    prompt_words AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\s+'),
+      lambda x: x <> '')) AS word FROM asked),
+    links AS (SELECT DISTINCT p.word, w.p_partkey FROM (SELECT DISTINCT word FROM prompt_words) p
+      JOIN vocabulary v ON contains(p.word, v.word) OR contains(v.word, p.word)
+      JOIN part_words w ON w.word = v.word),
+    commons AS (SELECT item_id, p_partkey, count(*)::DOUBLE AS common
+      FROM prompt_words JOIN links USING (word) GROUP BY item_id, p_partkey),
+    sizes AS (SELECT a.item_id, count(word)::DOUBLE AS n FROM asked a
+      LEFT JOIN prompt_words USING (item_id) GROUP BY a.item_id),
+    part_scores AS (SELECT s.item_id, t.p_partkey, t.p_retailprice, least(1e0,
+        coalesce(total + hits / k.n * 3e-1, 0e0)
+        + CASE WHEN s.n > 0 THEN coalesce(common, 0e0) / s.n * 3e-1 ELSE 0e0 END) AS score
+      FROM sizes s CROSS JOIN texts t
+      LEFT JOIN keyword_parts k ON k.item_id = s.item_id AND k.p_partkey = t.p_partkey
+      LEFT JOIN commons c ON c.item_id = s.item_id AND c.p_partkey = t.p_partkey),
+    part_ranks AS (SELECT *, row_number() OVER (PARTITION BY item_id
+      ORDER BY score DESC, p_retailprice DESC, p_partkey)::INT AS place FROM part_scores)"""
+
+
 def _count_message() -> str:
     parts = ", ".join(
         f"CASE WHEN {a}_count > 0 THEN {_text(label)} || ' ' || {a}_count || {_text(fixed.COUNT_UNIT)} END"
@@ -309,6 +357,42 @@ ORACLE = {
     SELECT item_id, count(*) AS total, min(doc_id) FILTER (rank = 1) AS first_doc,
       round_even(min(score) FILTER (rank = 1) * 100, 0) / 100 AS first_score
     FROM hits GROUP BY item_id""",
+    "recommend_keyword": f"""
+    WITH RECURSIVE asked AS (SELECT * FROM benchmark),
+    {_ranked('asked', 'item_id', 10).replace('lists AS', 'token_lists AS').replace('FROM lists', 'FROM token_lists')},
+    {_PART_SCORES},
+    k AS (SELECT item_id, list(token ORDER BY rank) AS keywords FROM ranked GROUP BY item_id),
+    w AS (SELECT h.*, coalesce(keywords, []) AS keywords,
+          {_CLEAN_WORDS.format("p_name || ' ' || p_brand || ' ' || p_type")} AS words
+          FROM part_ranks h JOIN part p ON p.p_partkey = h.p_partkey
+          LEFT JOIN k ON k.item_id = h.item_id WHERE place <= 5)
+    SELECT item_id, place AS rank, p_partkey, score,
+      array_to_string(list_filter(keywords, lambda k: contains(words, k)), ' ') AS matched FROM w""",
+    "recommend_routed": f"""
+    WITH RECURSIVE long_items AS (SELECT * FROM benchmark WHERE length({_TRIM.format('text')}) > 200),
+    short_items AS (SELECT * FROM benchmark WHERE length({_TRIM.format('text')}) <= 200),
+    asked AS (SELECT * FROM long_items),
+    {_ranked('asked', 'item_id', 10).replace('lists AS', 'token_lists AS').replace('FROM lists', 'FROM token_lists')},
+    {_PART_SCORES},
+    part_texts AS (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part),
+    part_places AS ({_places('part_texts', 'p_partkey')}),
+    item_places AS ({_places('short_items', 'item_id')}),
+    part_norms AS (SELECT p_partkey, sum(n * n) AS norm FROM part_places GROUP BY p_partkey),
+    item_norms AS (SELECT item_id, sum(n * n) AS norm FROM item_places GROUP BY item_id),
+    dots AS (SELECT item_id, p_partkey, sum(i.n * p.n) AS dot
+             FROM item_places i JOIN part_places p USING (place) GROUP BY item_id, p_partkey),
+    near AS (SELECT i.item_id, p.p_partkey,
+               1e0 - least(1e0, coalesce(dot, 0) / sqrt(i.norm * p.norm)) AS distance
+             FROM item_norms i CROSS JOIN part_norms p
+             LEFT JOIN dots ON dots.item_id = i.item_id AND dots.p_partkey = p.p_partkey),
+    near_ranks AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, p_partkey)::INT
+                   AS place FROM near),
+    hits AS (SELECT item_id, 'vector' AS path, place AS number, p_partkey, 1e0 - distance / 2e0 AS score
+             FROM near_ranks WHERE place <= 5
+             UNION ALL SELECT item_id, 'keyword', place, p_partkey, score FROM part_ranks WHERE place <= 5)
+    SELECT item_id, path, number, h.p_partkey,
+      CASE WHEN length(p_name) > 8 THEN left(p_name, 8) || '...' ELSE p_name END AS short_name,
+      printf('%.2f', score) AS score_text FROM hits h JOIN part p ON p.p_partkey = h.p_partkey""",
     "upsert_changes": f"""
     WITH {_PART_BATCH}
     SELECT row_no, coalesce(key::VARCHAR, '') AS p_partkey, action,
