@@ -171,11 +171,11 @@ def result_documents(
 
 
 def numbered_table(hits: DataFrame, *, name_col: str, name_chars: int = 20) -> DataFrame:
-    """Hits as shown in a table: number, shortened name, score with two decimals."""
+    """Hits as shown in a table: number, shortened name, the rounded score as text."""
     return hits.withColumns(
         {
             "number": F.col("rank"),
             "short_name": tx.ellipsis(F.col(name_col), name_chars),
-            "score_text": tx.two_decimal_text(F.col("score")),
+            "score_text": tx.two_decimal_text(tx.two_decimals(F.col("score"))),
         }
     )

@@ -19,7 +19,7 @@ SCANNED_KEYWORDS = 4096
 # Up to so many are broadcast.
 BROADCAST_KEYWORDS = 1 << 16
 # Up to so many ranked (keyword, key) rows are broadcast to fetch their records.
-BROADCAST_HITS = 1 << 20
+BROADCAST_HITS = 1 << 18
 
 
 def newest_first(order_col: str | None, key_col: str) -> list[Column]:

@@ -18,8 +18,9 @@ from kinmatch import fixed_values as fixed
 from kinmatch.functions import text as tx
 from kinmatch.operators.embedding import embed
 
-# Batches up to this size are broadcast to find the records they touch, and need no
-# splitting of repeated keys.
+# The keys of batches up to this many rows are broadcast to find the records they touch.
+BROADCAST_KEYS = 200_000
+# Batches up to this many rows need no splitting of repeated keys.
 SMALL_BATCH = 1_000_000
 # Larger batches: rows of one key are handled in runs of so many row numbers.
 SEGMENT_ROWS = 1_000_000
@@ -75,11 +76,13 @@ def upsert_changes(base: DataFrame, batch: DataFrame, spec: UpsertSpec) -> DataF
     value to write, NULL to leave the field alone.
     """
     key, row = spec.key_col, spec.row_col
-    small = batch.limit(SMALL_BATCH + 1).count() <= SMALL_BATCH
+    n_rows = batch.limit(SMALL_BATCH + 1).count()
+    small = n_rows <= SMALL_BATCH
     present = [f for f in spec.fields if f in batch.columns]
 
     rows = _cells(batch, spec, present)
-    rows = rows.join(_touched_records(base, rows, spec, present, small), "_group", "left")
+    few = n_rows <= min(BROADCAST_KEYS, SMALL_BATCH)
+    rows = rows.join(_touched_records(base, rows, spec, present, few), "_group", "left")
     rows = rows.withColumn(
         "_in_base", F.coalesce("_in_base", F.lit(False))
     ).withColumn("_segment", F.lit(0) if small else F.floor(F.col(row) / SEGMENT_ROWS))
@@ -173,7 +176,7 @@ def _cells(batch: DataFrame, spec: UpsertSpec, present: Sequence[str]) -> DataFr
 
 
 def _touched_records(
-    base: DataFrame, rows: DataFrame, spec: UpsertSpec, present: Sequence[str], small: bool
+    base: DataFrame, rows: DataFrame, spec: UpsertSpec, present: Sequence[str], few: bool
 ) -> DataFrame:
     """The records whose key the batch names: ``_group``, ``_in_base``, ``_old_<field>``."""
     keys = rows.filter("_key_valid").select("_group").distinct()
@@ -185,7 +188,7 @@ def _touched_records(
             for f in present
         ],
     )
-    return records.join(F.broadcast(keys) if small else keys, "_group", "left_semi")
+    return records.join(F.broadcast(keys) if few else keys, "_group", "left_semi")
 
 
 def _last_before(

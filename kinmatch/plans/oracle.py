@@ -392,7 +392,7 @@ ORACLE = {
              UNION ALL SELECT item_id, 'keyword', place, p_partkey, score FROM part_ranks WHERE place <= 5)
     SELECT item_id, path, number, h.p_partkey,
       CASE WHEN length(p_name) > 8 THEN left(p_name, 8) || '...' ELSE p_name END AS short_name,
-      printf('%.2f', score) AS score_text FROM hits h JOIN part p ON p.p_partkey = h.p_partkey""",
+      printf('%.2f', round_even(score * 100, 0) / 100) AS score_text FROM hits h JOIN part p ON p.p_partkey = h.p_partkey""",
     "upsert_changes": f"""
     WITH {_PART_BATCH}
     SELECT row_no, coalesce(key::VARCHAR, '') AS p_partkey, action,

@@ -246,9 +246,9 @@ def keyword_search_documents(spark, sf):
     )
 
 
-def _documents_with_vectors(spark, sf) -> DataFrame:
+def _documents_with_vectors(spark, sf, read=read_table) -> DataFrame:
     vecs = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return read_table(spark, sf, "documents").join(vecs, "doc_id", "left")
+    return read(spark, sf, "documents").join(vecs, "doc_id", "left")
 
 
 @query
@@ -369,7 +369,7 @@ def embed_store_lookup(spark, sf):
 
 @query
 def embed_backfill(spark, sf):
-    before = _documents_with_vectors(spark, sf)
+    before = _documents_with_vectors(spark, sf, read_spread)
     after = embedding.backfill(
         before, key_col="doc_id", text_cols=["text", "source"],
         model=embedding.hashed_terms(64), size=64,
