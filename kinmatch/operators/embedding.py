@@ -86,14 +86,18 @@ def embed(
     model: Callable[[], Model] | None = None,
     size: int = fixed.EMBEDDING_SIZE,
     rows_per_call: int = 1024,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """(key, embedding, error) per row. Blank text gives no vector but an error.
 
-    Vectors are padded or cut to ``size``. Rows stay where they are: no shuffle.
+    Vectors are padded or cut to ``size``. Rows stay where they are: no shuffle. Columns in
+    ``keep`` come along, which saves joining the vectors back.
     """
     factory = model or hashed_terms(size)
     key_type = df.schema[key_col].dataType.simpleString()
     schema = f"{key_col} {key_type}, embedding array<float>, error string"
+    for name in keep:
+        schema += f", `{name}` {df.schema[name].dataType.simpleString()}"
 
     def embed_batches(batches):
         run = factory()
@@ -116,11 +120,12 @@ def embed(
                     mask=pa.array([v is None for v in vectors]),
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), lists, pa.array(errors, pa.string())],
-                    names=[key_col, "embedding", "error"],
+                    [part.column(0), lists, pa.array(errors, pa.string()), *part.columns[2:]],
+                    names=[key_col, "embedding", "error", *keep],
                 )
 
-    trimmed = df.select(key_col, tx.strip(F.coalesce(text_col, F.lit(""))).alias("text"))
+    text = tx.strip(F.coalesce(text_col, F.lit(""))).alias("_content")
+    trimmed = df.select(key_col, text, *keep)
     return trimmed.mapInArrow(embed_batches, schema)
 
 
@@ -226,25 +231,25 @@ def backfill(
     With a ``store`` every distinct text is embedded once and stored vectors are reused.
     """
     text = tx.embedding_text(*[F.col(c) for c in text_cols])
-    missing = df.filter(F.col(vector_col).isNull()).select(key_col, text.alias("_text"))
+    missing = df.filter(F.col(vector_col).isNull()).withColumn("_text", text).drop(vector_col)
     if store is None:
-        filled = embed(missing, key_col=key_col, text_col="_text", model=model, size=size)
+        others = [c for c in missing.columns if c not in (key_col, "_text")]
+        filled = embed(
+            missing, key_col=key_col, text_col="_text", model=model, size=size, keep=others
+        ).withColumnRenamed("embedding", vector_col)
     else:
         fresh = new_store_rows(missing, store, text_col="_text", model=model, size=size)
         known = store.select("text_sha", "embedding", F.lit(None).cast("string").alias("error"))
+        vectors = known.unionByName(fresh).select(
+            "text_sha", F.col("embedding").alias(vector_col), "error"
+        )
+        blank = F.when(tx.is_blank(F.col("_text")), "blank text cannot be embedded")
         filled = (
             missing.withColumn("text_sha", content_key(F.col("_text")))
-            .join(known.unionByName(fresh), "text_sha", "left")
-            .withColumn(
-                "error",
-                F.when(tx.is_blank(F.col("_text")), "blank text cannot be embedded").otherwise(
-                    F.col("error")
-                ),
-            )
+            .join(vectors, "text_sha", "left")
+            .withColumn("error", F.coalesce(blank, "error"))
         )
-    filled = filled.select(key_col, F.col("embedding").alias("_new"), "error")
-    return (
-        df.join(filled, key_col, "left")
-        .withColumn(vector_col, F.coalesce(vector_col, "_new"))
-        .select(*df.columns, "error")
+    present = df.filter(F.col(vector_col).isNotNull())
+    return present.withColumn("error", F.lit(None).cast("string")).unionByName(
+        filled.select(*df.columns, "error")
     )

@@ -318,16 +318,21 @@ def reembedded(
     A row whose embedding fails keeps its old vector and gets ``embed_error``.
     """
     text = tx.embedding_text(*[F.col(c) for c in text_cols])
+    others = [c for c in merged.columns if c not in (spec.key_col, vector_col)]
     fresh = embed(
-        merged.filter("_written").select(spec.key_col, text.alias("_text")),
+        merged.filter("_written")
+        .withColumn("_text", text)
+        .withColumnRenamed(vector_col, "_old_vector"),
         key_col=spec.key_col, text_col="_text", model=model, size=size,
-    ).select(spec.key_col, F.col("embedding").alias("_new"), F.col("error").alias("embed_error"))
-    return (
-        merged.join(fresh, spec.key_col, "left")
-        .withColumn(vector_col, F.coalesce("_new", vector_col))
-        .drop("_new")
-        .select(*merged.columns, "embed_error")
+        keep=["_old_vector", *others],
+    )
+    written = fresh.withColumns(
+        {vector_col: F.coalesce("embedding", "_old_vector"), "embed_error": F.col("error")}
+    )
+    untouched = merged.filter(~F.col("_written")).withColumn(
+        "embed_error", F.lit(None).cast("string")
     )
+    return untouched.unionByName(written.select(*merged.columns, "embed_error"))
 
 
 def upsert_summary(changes: DataFrame, spec: UpsertSpec, *, shown: int = 10) -> DataFrame:
