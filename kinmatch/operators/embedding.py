@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -32,19 +31,22 @@ def hashed_terms(size: int = fixed.EMBEDDING_SIZE) -> Callable[[], Model]:
     pattern = re.compile(fixed.TOKEN_PATTERN.replace(r"\p{Nd}", r"\d"))
 
     def factory() -> Model:
-        places: dict[str, int] = {}
+        class Places(dict):
+            def __missing__(self, token: str) -> int:
+                digest = hashlib.md5(token.encode()).digest()
+                place = self[token] = int.from_bytes(digest[:4], "big") % size
+                return place
+
+        places = Places()
 
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), size), dtype=np.float32)
             if len(places) > 500_000:
                 places.clear()
             for row, content in zip(out, texts):
-                for token, n in Counter(pattern.findall(content.lower())).items():
-                    place = places.get(token)
-                    if place is None:
-                        digest = hashlib.md5(token.encode()).digest()
-                        place = places[token] = int.from_bytes(digest[:4], "big") % size
-                    row[place] += n
+                found = [places[token] for token in pattern.findall(content.lower())]
+                if found:
+                    row[:] = np.bincount(found, minlength=size)
             return out
 
         return embed
