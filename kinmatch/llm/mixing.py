@@ -8,8 +8,10 @@ Each document keeps its expected number of copies, and a source's copies add up.
 Leaves of the reduction are groups of one source and one class of sizes, salted to about
 ``LEAF_ROWS`` rows, worked through from the largest document down so that mass moves between
 like sizes. Each leaf ends with one open fraction at most; these meet again in a tree, ``FAN``
-leaves at a time, then across the size classes of a source. Draws are hashes of the id, so
-reruns agree however the rows are laid out.
+leaves at a time, then across the size classes of a source. Rounding keeps the number of copies,
+not of words; so some ``RESERVE`` documents of each source, drawn by hash, wait for the root of
+the tree and land last, their chances scaled to the words that are still missing. Draws are
+hashes of the id, so reruns agree however the rows are laid out.
 
 Defined cases: null texts have no words; a null source is a source of its own and comes last;
 documents without words are mixed among themselves and take nothing; if no document has words
@@ -33,6 +35,7 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 LEAF_ROWS = 4096
 FAN = 64
+RESERVE = 64
 
 
 @F.arrow_udf("long")
@@ -45,14 +48,14 @@ def word_count(texts: pa.Array) -> pa.Array:
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """``(source, source_size, target)``; one row per source, in one task.
+    """``(source, source_size, rows, target)``; one row per source, in one task.
 
     Targets are shares of all sizes by weight, held at ``MAX_COPIES`` times the source's size.
     Sources in order of cap over weight: the level of all sources that aren't capped is what
     the capped ones leave, by weight. Taken at each source as if all before it were capped, it
     rises up to the first that isn't and falls after it.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(WEIGHTS))) + 1)
     totals = totals.withColumn("weight", weight.cast("double")).withColumn("cap", MAX_COPIES * F.col("source_size").cast("double"))
@@ -64,7 +67,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     totals = totals.withColumn("level", level).withColumn("open", F.col("cap") > F.col("level") * F.col("weight"))
     level = F.max(F.when(F.col("open"), F.col("level"))).over(everything)
     target = F.coalesce(F.least("cap", level * F.col("weight")), F.col("cap"))
-    return totals.select("source", "source_size", target.alias("target"))
+    return totals.select("source", "source_size", "rows", target.alias("target"))
 
 
 def rounded(group: pd.DataFrame, last: bool) -> pd.DataFrame:
@@ -101,12 +104,31 @@ def rounded(group: pd.DataFrame, last: bool) -> pd.DataFrame:
     return group.assign(part=part, bit=bit)
 
 
+def landed(group: pd.DataFrame, missing: float) -> pd.DataFrame:
+    """Round the reserve: each chance is scaled to the missing words, errors are passed on."""
+    group = group.sort_values(["size", "draw", "row"], ascending=[False, True, True])
+    size, part = group["size"].to_numpy(float), group["part"].to_numpy()
+    for _ in range(8):  # a chance stops at 1; the others make up for it
+        words = (part * size).sum()
+        if words <= 0 or abs(words - missing) < 0.5:
+            break
+        part = np.clip(part * max(missing, 0.0) / words, 0, 1)
+    bit, due = np.zeros(len(group), np.int32), missing - (part * size).sum()
+    for k in range(len(group)):
+        due += part[k] * size[k]
+        bit[k] = size[k] > 0 and due >= size[k] / 2
+        due -= bit[k] * size[k]
+    return group.assign(part=0.0, bit=bit)
+
+
 def settle_pairs(group: pd.DataFrame) -> pd.DataFrame:
     return rounded(group, False)
 
 
 def settle_all(group: pd.DataFrame) -> pd.DataFrame:
-    return rounded(group, True)
+    first = rounded(group[~group["reserve"]], True)
+    missing = float(group["missing"].iloc[0]) - float((first["bit"] * first["size"]).sum())
+    return pd.concat([first, landed(group[group["reserve"]], missing)])
 
 
 def mixed_rows(documents: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, row_col: str | None = None) -> DataFrame:
@@ -136,25 +158,32 @@ def mixed_rows(documents: DataFrame, id_col: str, source_col: str, text_col: str
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("salts")).cast("int"))
     rows = rows.withColumn("draw", draw(0)).withColumn("bit", F.lit(0))
     rows = rows.withColumn("part", F.when(F.col("part") > 1e-9, F.col("part")).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("reserve", draw(-1) < F.least(F.lit(0.5), F.lit(RESERVE) / F.col("rows"))).withColumn("missing", F.lit(0.0))
 
-    leaves = rows.groupBy("source", "class", "salt").applyInPandas(settle_pairs, rows.schema)
-    leaves = settled(leaves, "leaves")
-    open_rows = leaves.where("part > 0")
-    levels = [leaves.where("part = 0").select("row", "bit")]
+    leaves = rows.where("NOT reserve").groupBy("source", "class", "salt").applyInPandas(settle_pairs, rows.schema)
+    leaves = settled(leaves.unionByName(rows.where("reserve")), "leaves")
+    open_rows = leaves.where("part > 0 AND NOT reserve")
+    levels = [leaves.where("part = 0").select("row", "source", "size", "bit")]
     most = salts.agg(F.max("salts")).first()[0] or 1
     level = 1
-    while True:
-        last = most <= 1
-        key = ["source"] if last else ["source", "class", "salt"]
+    while most > 1:
         most = -(-most // FAN)
         open_rows = open_rows.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")).withColumn("draw", draw(level))
-        met = open_rows.groupBy(key).applyInPandas(settle_all if last else settle_pairs, rows.schema)
-        met = settled(met.select(rows.columns), "level")
-        levels.append(met.where("part = 0").select("row", "bit"))
+        met = open_rows.groupBy("source", "class", "salt").applyInPandas(settle_pairs, rows.schema)
+        met = settled(met, "level")
+        levels.append(met.where("part = 0").select("row", "source", "size", "bit"))
         open_rows = met.where("part > 0")
-        if last:
-            break
         level += 1
+    # The root of each source, with what its target still misses.
+    words = leaves.select("source", (F.col("copies") * F.col("size")).alias("words"))
+    for x in levels:
+        words = words.union(x.select("source", F.col("bit") * F.col("size")))
+    words = words.groupBy(F.col("source").alias("_source")).agg(F.sum("words").alias("_words"))
+    roots = open_rows.unionByName(leaves.where("part > 0 AND reserve")).withColumn("draw", draw(level))
+    roots = roots.join(words, F.col("source").eqNullSafe(F.col("_source")))
+    roots = roots.withColumn("missing", F.col("target") - F.col("_words")).select(rows.columns)
+    roots = settled(roots.groupBy("source").applyInPandas(settle_all, rows.schema), "level")
+    levels = [x.select("row", "bit") for x in [*levels, roots]]
     later = levels[1]
     for x in levels[2:]:
         later = later.union(x)
