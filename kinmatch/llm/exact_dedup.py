@@ -23,8 +23,11 @@ from pyspark.sql.window import Window
 
 from kinmatch.llm.shared import fresh, new_folder, settled, small
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; without preallocation, which takes 4 MB for each of many small stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -51,8 +54,9 @@ def rank() -> Column:
 def keyed_state(log: str, checkpoint: str, changes: str, documents: DataFrame) -> DataFrame:
     """Run the stream over what the log has gained; ``(digest, best, group_size)``."""
     spark = documents.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, STATE_STORE)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         schema = spark.read.parquet(log).schema
         best = (
@@ -70,10 +74,8 @@ def keyed_state(log: str, checkpoint: str, changes: str, documents: DataFrame) -
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # A digest is written again whenever it changes; its last state has the most rows.
     return (
         spark.read.schema(best.schema)
