@@ -32,9 +32,9 @@ from kinmatch.llm import text as tx
 from kinmatch.llm.shared import fresh
 
 #: Units whose lattices a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 60_000
 #: Bytes of text that are cut at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
