@@ -420,12 +420,22 @@ def candidates(members: DataFrame, first: bool) -> DataFrame:
     )
 
 
+def pair_sets(documents: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, s1, shingles)`` of the classes that stand in a pair, from their whole texts."""
+    nodes = pairs.select("a", "a1").union(pairs.select("b", "b1")).toDF("id", "s1").distinct()
+    nodes = settled(nodes, "nodes")
+    count = nodes.count()
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.join(small(nodes.select("id").distinct(), count), "id", "left_semi")
+    return settled(set_rows(texts).join(small(nodes, count), ["id", "s1"], "left_semi"), "sets")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose whole sets have a similarity of 0.8."""
     one, two = (sets.select(F.col("id").alias(k), F.col("s1").alias(f"{k}1"), F.col("shingles").alias(f"s_{k}")) for k in "ab")
     rows = pairs.join(one, ["a", "a1"]).join(two, ["b", "b1"])
     rows = rows.withColumn("both", F.size(F.array_intersect("s_a", "s_b")).cast("long"))
-    return rows.where(100 * F.col("both") >= 80 * (F.size("s_a") + F.size("s_b") - F.col("both"))).select("a", "a1", "b", "b1")
+    return rows.where(100 * F.col("both") >= 80 * (F.size("s_a") + F.size("s_b") - F.col("both"))).select("a", "a1", "b", "b1").distinct()
 
 
 def node(name: str):
@@ -445,19 +455,15 @@ def row_components(documents: DataFrame, id_col: str, text_col: str) -> DataFram
     points = by_class.select("id", "s1", "point")
     met = settled(met.join(points, ["id", "s1"]), "blocks")
 
-    within = settled(met.select("id", "s1").distinct(), "within")
-    ids = within.select("id").distinct()
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(small(ids, within.count()), "id", "left_semi")
-    sets = set_rows(texts).join(within, ["id", "s1"], "left_semi").groupBy("id", "s1").agg(F.first("shingles").alias("shingles"))
-    sets = settled(sets, "sets")
+    def links(members: DataFrame, first: bool) -> DataFrame:
+        pairs = settled(candidates(members, first), "candidates")
+        return settled(verified(pairs, pair_sets(documents, pairs, id_col, text_col)), "links")
 
-    unlabelled = met.withColumn("label", F.xxhash64("id", "s1"))
-    found = settled(verified(candidates(unlabelled, True), sets), "links")
+    found = links(met.withColumn("label", F.xxhash64("id", "s1")), True)
     joined = settled(components(found.select(node("a").alias("a"), node("b").alias("b")), "a", "b"), "components")
     labels = joined.select(F.col("node.id").alias("id"), F.col("node.s1").alias("s1"), F.xxhash64("component.id", "component.s1").alias("label"))
     labelled = met.join(labels, ["id", "s1"], "left").withColumn("label", F.coalesce("label", F.xxhash64("id", "s1")))
-    across = settled(verified(candidates(labelled, False), sets), "links")
+    across = links(labelled, False)
     if not across.isEmpty():
         every = found.union(across).select(node("a").alias("a"), node("b").alias("b"))
         joined = settled(components(every, "a", "b"), "components")
