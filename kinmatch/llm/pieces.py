@@ -35,6 +35,8 @@ from kinmatch.llm.shared import fresh
 REMEMBERED = 60_000
 #: Bytes of text that are cut at once.
 CHUNK_BYTES = 1 << 20
+#: Pieces that are decoded at once.
+DECODED_PIECES = 1 << 18
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -324,6 +326,13 @@ def decoded(rows: DataFrame, words: Vocabulary, pieces_col="pieces", text_col="t
 
     @F.arrow_udf("string")
     def text_of(pieces: pa.Array) -> pa.Array:
-        return decoded_texts(pieces, words)
+        stops = np.cumsum(pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        out, at = [pa.array([], pa.string())], 0
+        while at < len(pieces):
+            before = stops[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(stops, before + DECODED_PIECES, "right")))
+            out.append(decoded_texts(pieces.slice(at, to - at), words))
+            at = to
+        return pa.concat_arrays(out)
 
     return rows.withColumn(text_col, text_of(pieces_col))
