@@ -39,7 +39,7 @@ from kinmatch.llm.shared import components, fresh, settled, small
 
 WORDS = 5
 #: Dimensions of the points.
-GROUPS = 32
+GROUPS = 128
 #: Buckets of the corpus sketch that orders shingles, one byte each once it is broadcast.
 SKETCH_BITS = 20
 #: Classes of a block that meet in one task; larger blocks become pairs of tiles.
@@ -122,7 +122,7 @@ def profiles(documents: DataFrame, order: np.ndarray, id_col: str, text_col: str
                     n[i] = k = len(own)
                     s1[i] = own.sum().astype(signed)
                     s2[i] = tx.mixed(own).sum().astype(signed)
-                    points.append(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
+                    points.append(np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
                     first = k - (4 * k + 4) // 5 + 1 if k else 0
                     if first < k:
                         weight = order[own & mask].astype(np.uint64) << np.uint64(58) | own >> np.uint64(6)
@@ -444,16 +444,15 @@ def node(name: str):
 
 def row_components(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, n, s1, s2, component)`` for every row."""
-    rows = settled(profiles(documents, sketch(documents, text_col), id_col, text_col), "profiles")
+    rows = profiles(documents, sketch(documents, text_col), id_col, text_col)
+    rows = settled(rows.withColumn("row", F.monotonically_increasing_id()), "profiles")
     named = rows.where("n > 0 AND id IS NOT NULL")
-    heads = named.groupBy("s1", "s2").agg(F.min("id").alias("head"))
-    heads = settled(heads, "heads")
-    by_class = named.join(heads, ["s1", "s2"]).where("id = head")
-    by_class = by_class.groupBy("id", "s1").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("prefix").alias("prefix"))
-    by_class = settled(by_class, "classes")
+    heads = named.groupBy("s1", "s2").agg(F.min(F.struct("id", "row")).alias("least"))
+    heads = settled(heads.select("s1", "s2", F.col("least.id").alias("head"), F.col("least.row").alias("head_row")), "heads")
+    firsts = small(heads.select("head_row"), heads.count())
+    by_class = named.join(firsts, F.col("row") == F.col("head_row"), "left_semi")
     met = blocks(by_class)
-    points = by_class.select("id", "s1", "point")
-    met = settled(met.join(points, ["id", "s1"]), "blocks")
+    met = settled(met.join(by_class.select("id", "s1", "point"), ["id", "s1"]), "blocks")
 
     def links(members: DataFrame, first: bool) -> DataFrame:
         pairs = settled(candidates(members, first), "candidates")
@@ -470,7 +469,7 @@ def row_components(documents: DataFrame, id_col: str, text_col: str) -> DataFram
     names = joined.select(F.col("node.id").alias("head"), F.col("node.s1").alias("s1"), F.col("component.id").alias("component"))
     return (
         rows.select("id", "n", "s1", "s2")
-        .join(heads, ["s1", "s2"], "left")
+        .join(heads.drop("head_row"), ["s1", "s2"], "left")
         .join(names, ["head", "s1"], "left")
         .select("id", "n", "s1", "s2", F.when(F.col("id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("head")), "id")).alias("component"))
     )
