@@ -38,8 +38,10 @@ from kinmatch.llm import text as tx
 from kinmatch.llm.shared import components, fresh, settled, small
 
 WORDS = 5
-#: Dimensions of the points.
-GROUPS = 128
+#: Dimensions of the points of sets up to COARSE shingles, and of larger ones, whose counts say
+#: too little in few groups. Sets that can link with either kind have both points.
+GROUPS, FINE_GROUPS = 128, 2048
+COARSE = 1200
 #: Buckets of the corpus sketch that orders shingles, one byte each once it is broadcast.
 SKETCH_BITS = 20
 #: Classes of a block that meet in one task; larger blocks become pairs of tiles.
@@ -105,7 +107,7 @@ def sketch(documents: DataFrame, text_col: str) -> np.ndarray:
 
 
 def profiles(documents: DataFrame, order: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n, s1, s2, point, prefix)``: set size, class, counts per group, first shingles."""
+    """``(id, n, s1, s2, point, fine, prefix)``: set size, class, counts per group, first shingles."""
     mask = np.uint64((1 << SKETCH_BITS) - 1)
     signed = np.int64
 
@@ -116,13 +118,16 @@ def profiles(documents: DataFrame, order: np.ndarray, id_col: str, text_col: str
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
                 n = np.zeros(part.num_rows, signed)
                 s1, s2 = n.copy(), n.copy()
-                points, prefixes = [], []
+                points, fine, prefixes = [], [], []
                 for i in range(part.num_rows):
                     own = np.unique(found[bounds[i] : bounds[i + 1]])
                     n[i] = k = len(own)
                     s1[i] = own.sum().astype(signed)
                     s2[i] = tx.mixed(own).sum().astype(signed)
-                    points.append(np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
+                    counts = np.bincount((own >> np.uint64(53)).astype(np.int64), minlength=FINE_GROUPS)
+                    coarse = counts.reshape(GROUPS, -1).sum(axis=1)
+                    points.append(coarse.astype(np.uint16).tobytes() if 4 * k <= 5 * COARSE else b"")
+                    fine.append(counts.astype(np.uint16).tobytes() if k > COARSE else b"")
                     first = k - (4 * k + 4) // 5 + 1 if k else 0
                     if first < k:
                         weight = order[own & mask].astype(np.uint64) << np.uint64(58) | own >> np.uint64(6)
@@ -137,13 +142,14 @@ def profiles(documents: DataFrame, order: np.ndarray, id_col: str, text_col: str
                         "s1": s1,
                         "s2": s2,
                         "point": pa.array(points, pa.binary()),
+                        "fine": pa.array(fine, pa.binary()),
                         "prefix": pa.ListArray.from_arrays(lengths, np.concatenate(prefixes)),
                     }
                 )
 
     kind = documents.schema[id_col].dataType.simpleString()
     return documents.select(id_col, text_col).mapInArrow(
-        profile, f"id {kind}, n long, s1 long, s2 long, point binary, prefix array<long>"
+        profile, f"id {kind}, n long, s1 long, s2 long, point binary, fine binary, prefix array<long>"
     )
 
 
@@ -304,7 +310,7 @@ def tree_pairs(a: Tree, b: Tree, itself: bool) -> Iterator[tuple[np.ndarray, np.
     stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
-        if len(i) > 1 << 15:
+        if len(i) > max(256, (1 << 22) // a.levels[0][0].shape[1]):
             half = len(i) // 2
             stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
             continue
@@ -313,7 +319,7 @@ def tree_pairs(a: Tree, b: Tree, itself: bool) -> Iterator[tuple[np.ndarray, np.
         apart = ~((left[3][i] == right[3][j]) & (left[4][i] == left[3][i]) & (right[4][j] == right[3][j]))
         go = sizes & apart
         i, j = i[go], j[go]
-        bound = np.minimum(left[0][i], right[0][j]).sum(axis=1)
+        bound = np.minimum(left[0][i], right[0][j]).sum(axis=1, dtype=np.int64)
         go = bound >= needed(left[1][i], right[1][j])
         i, j, bound = i[go], j[go], bound[go]
         if not len(i):
@@ -367,42 +373,53 @@ def candidates(members: DataFrame, first: bool) -> DataFrame:
         block, side, n = (t.column(k).to_numpy() for k in ("block", "side", "n"))
         ids, s1 = t.column("id").combine_chunks(), t.column("s1").to_numpy()
         label, lead = t.column("label").to_numpy(), t.column("lead").to_numpy(zero_copy_only=False)
-        points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
         starts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
         out_i, out_j = [], []
-        # Blocks of two, the most by far, are compared at once.
-        two = starts[:-1][np.diff(starts) == 2]
-        if len(two):
-            i, j = two, two + 1
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            go = (10 * low >= 8 * high) & (np.minimum(points[i], points[j]).sum(axis=1) >= needed(low, high)) & (label[i] != label[j])
-            out_i.append(i[go])
-            out_j.append(j[go])
-        for a, b in zip(starts, starts[1:]):
-            if b - a < 3:
+        for column, own in (("point", 4 * n <= 5 * COARSE), ("fine", n > COARSE)):
+            rows = np.flatnonzero(own)
+            if len(rows) < 2:
                 continue
-            sides = [np.arange(a, b)] if side[a] == 0 else [a + np.flatnonzero(side[a:b] == k) for k in (1, 2)]
-            sides = [x[packed(points[x], n[x], s1[x])] for x in sides]
-            if any(not len(x) for x in sides):
-                continue
-            trees = [Tree(points[x], n[x], label[x]) for x in sides]
-            best = {}
-            for i, j, bound in tree_pairs(trees[0], trees[-1], len(sides) == 1):
-                i, j = sides[0][i], sides[-1][j]
-                smaller = np.where((n[i] < n[j]) | ((n[i] == n[j]) & (s1[i] < s1[j])), i, j)
-                go = (lead[smaller]) & ((10 * n[i] >= 8 * n[j]) & (10 * n[j] >= 8 * n[i]))
-                i, j, bound = i[go], j[go], bound[go]
-                if not first:
-                    yield from pairs(t, ids, s1, i, j)
+            kept = t.column(column).take(pa.array(rows)).combine_chunks()
+            points = np.frombuffer(b"".join(kept.to_pylist()), np.uint16).reshape(len(rows), -1)
+            # Pairs of two large sets are left to the fine points.
+            most = COARSE if column == "point" else np.inf
+            cuts = np.searchsorted(rows, starts)
+            two = cuts[:-1][np.diff(cuts) == 2]
+            if len(two):  # blocks of two, the most by far, are compared at once
+                for at in range(0, len(two), 4096):
+                    p = two[at : at + 4096]
+                    i, j = rows[p], rows[p + 1]
+                    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                    bound = np.minimum(points[p], points[p + 1]).sum(axis=1, dtype=np.int64)
+                    go = (10 * low >= 8 * high) & (bound >= needed(low, high)) & (label[i] != label[j]) & (low <= most)
+                    out_i.append(i[go])
+                    out_j.append(j[go])
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a < 3:
+                    continue
+                here = np.arange(a, b)
+                sides = [here] if side[rows[a]] == 0 else [here[side[rows[a:b]] == k] for k in (1, 2)]
+                if any(not len(x) for x in sides):
                     continue
-                score = bound / (n[i] + n[j] - bound)
-                for k in np.lexsort((i, -score, j)):
-                    own = int(j[k])
-                    if own not in best or (score[k], -i[k]) > best[own][:2]:
-                        best[own] = (score[k], -i[k], int(i[k]))
-            if best:
-                out_i.append(np.array([x[2] for x in best.values()]))
-                out_j.append(np.array(list(best)))
+                sides = [x[packed(points[x], n[rows[x]], s1[rows[x]])] for x in sides]
+                trees = [Tree(points[x], n[rows[x]], label[rows[x]]) for x in sides]
+                best = {}
+                for i, j, bound in tree_pairs(trees[0], trees[-1], len(sides) == 1):
+                    i, j = rows[sides[0][i]], rows[sides[-1][j]]
+                    smaller = np.where((n[i] < n[j]) | ((n[i] == n[j]) & (s1[i] < s1[j])), i, j)
+                    go = lead[smaller] & (10 * n[i] >= 8 * n[j]) & (10 * n[j] >= 8 * n[i]) & (np.minimum(n[i], n[j]) <= most)
+                    i, j, bound = i[go], j[go], bound[go]
+                    if not first:
+                        yield from pairs(t, ids, s1, i, j)
+                        continue
+                    score = bound / (n[i] + n[j] - bound)
+                    for k in np.lexsort((i, -score, j)):
+                        own = int(j[k])
+                        if own not in best or (score[k], -i[k]) > best[own][:2]:
+                            best[own] = (score[k], -i[k], int(i[k]))
+                if best:
+                    out_i.append(np.array([x[2] for x in best.values()]))
+                    out_j.append(np.array(list(best)))
         if out_i:
             yield from pairs(t, ids, s1, np.concatenate(out_i), np.concatenate(out_j))
 
@@ -452,7 +469,7 @@ def row_components(documents: DataFrame, id_col: str, text_col: str) -> DataFram
     firsts = small(heads.select("head_row"), heads.count())
     by_class = named.join(firsts, F.col("row") == F.col("head_row"), "left_semi")
     met = blocks(by_class)
-    met = settled(met.join(by_class.select("id", "s1", "point"), ["id", "s1"]), "blocks")
+    met = settled(met.join(by_class.select("id", "s1", "point", "fine"), ["id", "s1"]), "blocks")
 
     def links(members: DataFrame, first: bool) -> DataFrame:
         pairs = settled(candidates(members, first), "candidates")
