@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from kinmatch.llm import text as tx
@@ -38,7 +39,7 @@ FAN = 64
 RESERVE = 64
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def word_count(texts: pa.Array) -> pa.Array:
     batch = pa.record_batch([texts], ["text"])
     out = [np.empty(0, np.int64)]
