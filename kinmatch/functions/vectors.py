@@ -20,15 +20,19 @@ def squared_norm(a: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column, squared_norm_b: Column | None = None) -> Column:
-    """1 - cosine; NaN when a vector has no length, so such rows sort last.
+    """1 - cosine; NaN when a vector has no length or a NaN in it, so such rows sort last.
 
     Give ``squared_norm_b`` when it is known, as for one query against many rows.
     """
     squared = squared_norm(a) * (squared_norm(b) if squared_norm_b is None else squared_norm_b)
 
     def distance(scale):
-        cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / scale))
-        return F.when(scale > 0, 1.0 - cosine).otherwise(F.lit(float("nan")))
+        def clipped(raw):
+            cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
+            known = (scale > 0) & ~F.isnan(raw)
+            return F.when(known, 1.0 - cosine).otherwise(F.lit(float("nan")))
+
+        return let(F.when(scale > 0, dot(a, b) / scale), clipped)
 
     return let(F.sqrt(squared), distance)
 

@@ -215,13 +215,16 @@ def attach_vectors(
     df: DataFrame, new: DataFrame, *, key_col: str, vector_col: str = "embedding",
     updated_col: str | None = None, run_time: Column | None = None,
 ) -> DataFrame:
-    """Set vectors by key; ``updated_col`` moves to ``run_time`` where one was set."""
-    incoming = new.select(key_col, F.col(vector_col).alias("_new"), F.lit(True).alias("_hit"))
-    joined = df.join(incoming, key_col, "left")
-    columns = {vector_col: F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(vector_col))}
+    """Set vectors by key; ``updated_col`` moves to ``run_time`` where one was set.
+
+    A null vector, as a failed embedding gives, changes nothing.
+    """
+    incoming = new.select(key_col, F.col(vector_col).alias("_new"))
+    joined = df.join(incoming.where("_new IS NOT NULL"), key_col, "left")
+    columns = {vector_col: F.coalesce("_new", vector_col)}
     if updated_col:
-        columns[updated_col] = F.when(F.col("_hit"), run_time).otherwise(F.col(updated_col))
-    return joined.withColumns(columns).drop("_new", "_hit").select(df.columns)
+        columns[updated_col] = F.when(F.col("_new").isNotNull(), run_time).otherwise(F.col(updated_col))
+    return joined.withColumns(columns).drop("_new").select(df.columns)
 
 
 def backfill(

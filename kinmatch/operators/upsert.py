@@ -391,16 +391,20 @@ def upsert_summary(changes: DataFrame, spec: UpsertSpec, *, shown: int = 10) ->
 def append_new(
     base: DataFrame, items: DataFrame, *, key_col: str, order_col: str
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, rejected rows): keys must be new, and the first of equals wins."""
-    first = items.groupBy(key_col).agg(F.min(order_col).alias("_first"))
-    known = base.select(key_col).withColumn("_known", F.lit(True))
-    marked = items.join(first, key_col, "left").join(known, key_col, "left")
-    fits = F.col("_known").isNull() & F.col(key_col).isNotNull() & (
-        F.col(order_col) == F.col("_first")
+    """(rows to append, rejected rows): keys must be new, and the first of equals wins.
+
+    Equal order values are settled by the other columns, so one row per key is appended.
+    """
+    others = [c for c in items.columns if c not in (key_col, order_col)]
+    place = Window.partitionBy(key_col).orderBy(order_col, *others)
+    known = base.select(key_col).distinct().withColumn("_known", F.lit(True))
+    marked = items.withColumn("_place", F.row_number().over(place)).join(known, key_col, "left")
+    fits = (
+        F.col("_known").isNull() & F.col(key_col).isNotNull() & F.col(order_col).isNotNull()
+        & (F.col("_place") == 1)
     )
     return tuple(
-        marked.filter(F.coalesce(c, F.lit(False))).select(items.columns)
-        for c in (fits, ~F.coalesce(fits, F.lit(False)))
+        marked.filter(c).select(items.columns) for c in (fits, ~fits)
     )
 
 
