@@ -228,3 +228,23 @@ def test_query_equals_sql(spark, sf, name):
     names = [d[0] for d in answer.description]
     theirs = sorted(repr([r[names.index(c)] for c in columns]) for r in answer.fetchall())
     assert ours == theirs
+
+
+def test_licences_are_found_and_clean_paragraphs_left_alone(spark, documents, empty):
+    from kinmatch.llm import license_scan
+
+    plain = "\n".join(f"the river number{k} runs by a village and its mill" for k in range(40))
+    texts = [
+        (1, plain + "\nLicensed under the MIT License.\n" + plain),
+        (2, plain),
+        (3, None),
+        (4, ""),
+        (5, "Licensed under CC BY 4.0."),
+        (5, "Licensed under CC BY 4.0."),
+        (None, "Licensed under the GNU General Public License, version 3."),
+    ]
+    rows = spark.createDataFrame([(*r, "x", 0) for r in texts], "doc_id long, text string, family string, paragraph int")
+    scanner = license_scan.fitted(rows)
+    found = [(r.doc_id, r.paragraph, r.family) for r in license_scan.scanned(rows, scanner).collect() if r.confirmed]
+    assert sorted(found, key=str) == sorted([(1, 40, "MIT"), (5, 0, "CC-BY-4.0"), (5, 0, "CC-BY-4.0"), (None, 0, "GPL-3.0")], key=str)
+    assert license_scan.scanned(empty, scanner).count() == 0
