@@ -51,13 +51,17 @@ def record_stats(
 
 
 def stats_document(stats: DataFrame) -> DataFrame:
-    """``record_stats`` as one JSON document, for columns with a small set of values."""
+    """``record_stats`` as one JSON document, for columns with a small set of values.
+
+    NULL and the text ``null`` are one key, with the sum of both counts.
+    """
+    stats = stats.groupBy("metric", F.coalesce("value", F.lit("null")).alias("value")).agg(F.sum("n").alias("n"))
 
     def distribution(metric):
         pairs = F.collect_list(
             F.when(
                 F.col("metric") == metric,
-                F.struct(F.coalesce("value", F.lit("null")).alias("key"), F.col("n").alias("value")),
+                F.struct(F.col("value").alias("key"), F.col("n").alias("value")),
             )
         )
         return F.map_from_entries(F.sort_array(pairs))
