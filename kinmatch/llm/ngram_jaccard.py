@@ -8,8 +8,9 @@ similarity of their sets is at least 0.8; linked documents form components.
 2. Equal sets form a class, named by its smallest id; from here on a class is one point.
 3. Classes that can link share a shingle among the first fifth of each set, in any one order of
    all shingles. The order puts shingles first whose hash bucket is light in the whole corpus,
-   so that passages many documents share stand last. Shingles and their classes make blocks;
-   equal blocks are kept once, and blocks beyond ``TILE`` classes are cut into pairs of tiles.
+   so that passages many documents share stand last. Shingles and their classes make blocks,
+   parted where sizes leave a gap that no link spans; equal blocks are kept once, and blocks
+   beyond ``TILE`` classes are cut into pairs of tiles.
 4. In each block the points are packed into an R-tree, which is joined with itself: a pair of
    nodes goes on while the summed minima of their upper bounds can reach the overlap needed.
 5. Surviving pairs are verified on whole sets. First only the best partner of each class is
@@ -228,9 +229,12 @@ def blocks(classes: DataFrame) -> DataFrame:
                 tiles.append(tile)
 
         def drain(t: pa.Table, last: bool):
-            """Close every whole hash in t; what may go on is given back."""
-            hashes = t.column(0).to_numpy()
-            cuts = np.flatnonzero(hashes[1:] != hashes[:-1]) + 1
+            """Close every whole hash in t; what may go on is given back.
+
+            Where the next larger set is too large for all before it, a hash begins anew.
+            """
+            hashes, n = t.column(0).to_numpy(), t.column(1).to_numpy()
+            cuts = np.flatnonzero((hashes[1:] != hashes[:-1]) | (10 * n[:-1] < 8 * n[1:])) + 1
             starts = np.concatenate([[0], cuts])
             stops = np.concatenate([cuts, [len(hashes)]])
             many = np.flatnonzero((stops - starts > 1) | (np.arange(len(starts)) == 0))
