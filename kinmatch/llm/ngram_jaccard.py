@@ -44,7 +44,9 @@ WORDS = 5
 GROUPS, FINE_GROUPS = 128, 2048
 COARSE = 1200
 #: Buckets of the corpus sketch that orders shingles, one byte each once it is broadcast.
-SKETCH_BITS = 20
+SKETCH_BITS = 22
+#: Steps of the order for each doubling of a bucket's weight; ``MEAN_STEP`` is the mean bucket.
+STEPS, MEAN_STEP = 16, 64
 #: Classes of a block that meet in one task; larger blocks become pairs of tiles.
 TILE = 4096
 LEAF = 16
@@ -76,7 +78,7 @@ def shingles(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def sketch(documents: DataFrame, text_col: str) -> np.ndarray:
-    """How heavy each bucket of shingle hashes is in the whole corpus, as powers of the mean."""
+    """How heavy each bucket of shingle hashes is in the whole corpus, in steps of its logarithm."""
     size, slots = 1 << SKETCH_BITS, 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +86,7 @@ def sketch(documents: DataFrame, text_col: str) -> np.ndarray:
         for batch in batches:
             for part in tx.chunks(batch, 0):
                 found, _ = shingles(part, 0)
-                total += np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
+                np.add.at(total, (found & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
         if total.any():
             pieces = [zlib.compress(x.tobytes(), 1) for x in np.split(total, slots)]
             yield pa.record_batch({"slot": np.arange(slots, dtype=np.int32), "counts": pa.array(pieces, pa.binary())})
@@ -104,7 +106,7 @@ def sketch(documents: DataFrame, text_col: str) -> np.ndarray:
     for slot, piece in sums.collect():  # one byte string for each of 64 slots
         total[slot * (size // slots) : (slot + 1) * (size // slots)] = np.frombuffer(piece, np.int64)
     mean = max(1.0, total.mean())
-    return np.clip(np.floor(np.log2(np.maximum(total / mean, 1))), 0, 63).astype(np.uint8)
+    return np.clip(STEPS * np.log2(np.maximum(total / mean, 1e-9)) + MEAN_STEP, 0, 255).astype(np.uint8)
 
 
 def profiles(documents: DataFrame, order: np.ndarray, id_col: str, text_col: str) -> DataFrame:
@@ -130,10 +132,12 @@ def profiles(documents: DataFrame, order: np.ndarray, id_col: str, text_col: str
                     points.append(coarse.astype(np.uint16).tobytes() if 4 * k <= 5 * COARSE else b"")
                     fine.append(counts.astype(np.uint16).tobytes() if k > COARSE else b"")
                     first = k - (4 * k + 4) // 5 + 1 if k else 0
+                    weight = order[own & mask].astype(np.uint64) << np.uint64(56) | own >> np.uint64(8)
                     if first < k:
-                        weight = order[own & mask].astype(np.uint64) << np.uint64(58) | own >> np.uint64(6)
-                        own = own[np.argpartition(weight, first - 1)[:first]]
-                        own = own[np.argsort(order[own & mask].astype(np.uint64) << np.uint64(58) | own >> np.uint64(6))]
+                        early = np.argpartition(weight, first - 1)[:first]
+                        own = own[early[np.argsort(weight[early])]]
+                    else:
+                        own = own[np.argsort(weight)]
                     prefixes.append(own.astype(signed))
                 lengths = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 yield pa.record_batch(
