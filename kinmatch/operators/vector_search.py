@@ -13,10 +13,12 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from kinmatch.functions import vectors
+from kinmatch.functions.text import let
 from kinmatch.operators.pivots import as_matrix, join_by_cells
 
 # Query side limits for broadcasting: 2^24 doubles are 128 MB.
@@ -81,6 +83,11 @@ class QueryBlock:
         """Take in a batch of records."""
         if not len(keys) or not len(self.ids):
             return
+        directed = has_direction(matrix)
+        if not directed.all():
+            keys, matrix = keys[directed], matrix[directed]
+            if not len(keys):
+                return
         if matrix.shape[1] != self.matrix.shape[1]:
             raise ValueError(
                 f"vector sizes differ: {matrix.shape[1]} and {self.matrix.shape[1]}"
@@ -128,10 +135,21 @@ class QueryBlock:
 
 
 def _unit(matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one; rows without length score below every cosine."""
-    scale = np.sqrt(norms)
-    safe = np.where(scale > 0, scale, 1.0)
-    return matrix / safe[:, None]
+    """Rows scaled to length one."""
+    return matrix / np.sqrt(norms)[:, None]
+
+
+def has_direction(matrix: np.ndarray) -> np.ndarray:
+    """Which rows have a length above zero that is a finite number."""
+    norms = _in_order_sum(matrix, matrix)
+    return (norms > 0) & np.isfinite(norms)
+
+
+def directed(vector: Column) -> Column:
+    """``has_direction`` as an expression (NaN is above infinity here)."""
+    return let(
+        vectors.squared_norm(vector), lambda norm: (norm > 0) & (norm < F.lit(float("inf")))
+    )
 
 
 def nearest_batch(
@@ -147,7 +165,9 @@ def nearest_batch(
 ) -> DataFrame:
     """The k nearest records of every query: (query, rank, key, distance, score).
 
-    NULL vectors on either side take no part. Ties rank by key.
+    NULL vectors on either side take no part. Ties rank by key. Vectors without a direction
+    (of zero length, or with a value that is not finite) have a NaN distance to all others and
+    rank after every other record, as in ``nearest``.
     """
     return _nearest_batch(
         queries, records, query_col=query_col, key_col=key_col, vector_col=vector_col,
@@ -172,12 +192,19 @@ def _nearest_batch(
 
     small = _small_query_side(queries)
     if small is not None:
-        hits = _stream_records(small, records, k, schema)
+        ids, matrix = small
+        known = has_direction(matrix)
+        lost = not known.all()
+        asked = [q for q, keep in zip(ids, known) if keep], matrix[known]
+        hits = _stream_records(asked, records, k, schema)
     else:
+        lost = not queries.filter(~directed(F.col("query_vector"))).isEmpty()
         hits = join_by_cells(
-            queries, records, k, _block_kernel(k), schema,
+            queries.filter(directed(F.col("query_vector"))),
+            records.filter(directed(F.col("vector"))), k, _block_kernel(k), schema,
             query_block=QUERY_BLOCK, record_block=RECORD_BLOCK,
         )
+    hits = hits.unionByName(_without_direction(queries, records, k, lost))
     # pandas hands NaN over as NULL, which would sort first
     hits = hits.withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
     hits = hits.withColumn("score", vectors.similarity(F.col("distance")))
@@ -191,6 +218,26 @@ def _nearest_batch(
     return result, small is not None
 
 
+def _without_direction(queries: DataFrame, records: DataFrame, k: int, lost: bool) -> DataFrame:
+    """Hits with a NaN distance: at most k keys a query, the smallest ones.
+
+    Records without direction are needed where fewer than k have one; a query without
+    direction (``lost``: there are such) is as far from every record.
+    """
+    toward = F.col("vector")
+    missing = k - records.filter(directed(toward)).select("key").limit(k).count()
+
+    def least(rows: DataFrame, n: int) -> Column:
+        kind = records.schema["key"].dataType
+        keys = [r["key"] for r in rows.select("key").orderBy("key").limit(n).collect()] if n > 0 else []
+        return F.array(*[F.lit(v).cast(kind) for v in keys]).cast(ArrayType(kind))
+
+    filling = least(records.filter(~directed(toward)), missing)
+    every = least(records, k if lost else 0)
+    keys = F.when(directed(F.col("query_vector")), filling).otherwise(every)
+    return queries.select("query", F.explode(keys).alias("key"), F.lit(float("nan")).alias("distance"))
+
+
 def _small_query_side(queries: DataFrame) -> tuple[list, np.ndarray] | None:
     """Ids and vectors when they are few enough to broadcast."""
     table = queries.limit(BROADCAST_QUERIES + 1).toArrow()

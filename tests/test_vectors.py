@@ -158,3 +158,17 @@ def test_named_values(spark):
 
     row = spark.createDataFrame([({"a": 1.0, "b": 2.0},)], "m map<string,double>")
     assert row.select(from_named_values(F.col("m"), 3)).first()[0] == [1, 2, 0]
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_vectors_without_direction_rank_last_in_every_path(spark, monkeypatch, blocks, k):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [0.0, 0.0]), (2, [-1.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [0.5, 0.1])]
+    vecs = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(2)
+    want = {q: [r.id for r in nearest(vecs, v, key_col="id", k=k).collect()] for q, v in rows}
+    assert want[5] == [5, 2, 1, 3, 4][:k] and want[1] == [1, 2, 3, 4, 5][:k]
+    if blocks:
+        monkeypatch.setattr(vector_search, "BROADCAST_QUERIES", 1)
+    asked = vecs.withColumnRenamed("id", "q")
+    assert ranked(nearest_batch(asked, vecs, query_col="q", key_col="id", k=k)) == want
