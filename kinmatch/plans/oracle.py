@@ -221,6 +221,15 @@ ORACLE = {
     "vector_topk": f"{_TOP} ORDER BY distance, vec_id LIMIT 10",
     "vector_topk_threshold": f"SELECT * FROM ({_TOP}) WHERE score >= 0.55",
     "vector_knn_batch": _knn(5),
+    "vector_knn_signed": """
+    WITH v AS (SELECT vec_id, vec_id % 11 <> 5 AND vec_id % 5 <> 0 AS directed,
+        list_transform(embedding::DOUBLE[], lambda x: CASE WHEN vec_id % 5 = 1 THEN -x ELSE x END) AS e
+        FROM embeddings),
+    d AS (SELECT q.vec_id AS query_id, r.vec_id, CASE WHEN q.directed AND r.directed
+        THEN 1 - list_cosine_similarity(r.e, q.e) END AS distance FROM v q, v r),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id
+        ORDER BY distance NULLS LAST, vec_id)::INT AS rank FROM d)
+    SELECT query_id, rank, vec_id, distance, 1 - distance / 2e0 AS score FROM o WHERE rank <= 5""",
     "vector_knn_threshold": _knn(10, "WHERE score >= 0.65"),
     "vector_dim_repair": """
     SELECT vec_id, len(list_resize(embedding, 80, 0))::BIGINT AS padded_size,
@@ -287,7 +296,7 @@ ORACLE = {
       CASE WHEN length(p_name) > 6 THEN left(p_name, 6) || '...' ELSE p_name END AS name
     FROM m WHERE rank <= 10""",
     "keyword_search_documents": f"""
-    WITH {_ranked('benchmark', 'item_id', 1)}, k AS (SELECT DISTINCT token AS keyword FROM ranked),
+    WITH {_ranked('benchmark', 'item_id', 10)}, k AS (SELECT DISTINCT token AS keyword FROM ranked),
     m AS (SELECT keyword, doc_id, text, row_number() OVER (PARTITION BY keyword
             ORDER BY n_chars DESC, doc_id)::INT AS rank
           FROM k JOIN documents ON contains(lower(text), keyword) OR contains(lower(source), keyword))

@@ -56,6 +56,24 @@ def vector_knn_batch(spark, sf):
     )
 
 
+@query
+def vector_knn_signed(spark, sf):
+    """Nearest neighbours among vectors of which some are turned round, zero or not numbers."""
+    factor = (
+        F.when(F.col("vec_id") % 11 == 5, F.lit(float("nan")))
+        .when(F.col("vec_id") % 5 == 0, 0.0).when(F.col("vec_id") % 5 == 1, -1.0).otherwise(1.0)
+    )
+    vecs = read_table(spark, sf, "embeddings").select(
+        "vec_id", F.transform("embedding", lambda x: x * factor).alias("embedding")
+    )
+    asked = vecs.select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vector_search.nearest_batch(asked, vecs, query_col="query_id", key_col="vec_id", k=5)
+    return found.select(
+        "query_id", "rank", "vec_id",
+        *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("distance", "score")],
+    )
+
+
 @query
 def vector_knn_threshold(spark, sf):
     vecs = read_table(spark, sf, "embeddings")
@@ -234,9 +252,9 @@ def keyword_search(spark, sf):
 
 @query
 def keyword_search_documents(spark, sf):
-    """The ten longest documents for the first keyword of every benchmark item."""
+    """The ten longest documents for each of the ten keywords of every benchmark item."""
     items = read_table(spark, sf, "benchmark")
-    words = items.select(F.explode(tx.keywords(F.col("text"), 1)).alias("keyword"))
+    words = items.select(F.explode(tx.keywords(F.col("text"), 10)).alias("keyword"))
     found = search.search_keywords(
         words, read_spread(spark, sf, "documents"), keyword_col="keyword",
         search_cols=["text", "source"], key_col="doc_id", order_col="n_chars", limit=10,
