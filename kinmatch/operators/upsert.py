@@ -9,10 +9,11 @@ Rows with the same key apply in row order, each seeing what the earlier ones wro
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
 
 from kinmatch import fixed_values as fixed
 from kinmatch.functions import text as tx
@@ -73,14 +74,16 @@ def upsert_changes(base: DataFrame, batch: DataFrame, spec: UpsertSpec) -> DataF
 
     Columns: row number, key, ``action`` (inserted, updated, skipped, error),
     ``changed_fields``, ``errors``, and per field a ``cell_<field>`` struct with the
-    value to write, NULL to leave the field alone.
+    value to write, NULL to leave the field alone. Keys are compared in the type they have
+    in the base, and values that this type can't hold are errors of their row.
     """
+    spec = _typed(spec, base)
     key, row = spec.key_col, spec.row_col
     n_rows = batch.limit(SMALL_BATCH + 1).count()
     small = n_rows <= SMALL_BATCH
     present = [f for f in spec.fields if f in batch.columns]
 
-    rows = _cells(batch, spec, present)
+    rows = _cells(batch, spec, present, base.schema[key].dataType)
     few = n_rows <= min(BROADCAST_KEYS, SMALL_BATCH)
     rows = rows.join(_touched_records(base, rows, spec, present, few), "_group", "left")
     rows = rows.withColumn(
@@ -144,9 +147,22 @@ def upsert_changes(base: DataFrame, batch: DataFrame, spec: UpsertSpec) -> DataF
     )
 
 
-def _cells(batch: DataFrame, spec: UpsertSpec, present: Sequence[str]) -> DataFrame:
+def _typed(spec: UpsertSpec, base: DataFrame) -> UpsertSpec:
+    """The rules with one for each column whose base type is not text and that has none."""
+    rules = dict(spec.rules)
+    for column in base.schema:
+        if column.name in (spec.key_col, *spec.fields) and not isinstance(column.dataType, StringType):
+            kind = column.dataType.simpleString()
+            rules.setdefault(column.name, {f"not a {kind}": castable(kind)})
+    return replace(spec, rules=rules)
+
+
+def _cells(
+    batch: DataFrame, spec: UpsertSpec, present: Sequence[str], key_type: DataType
+) -> DataFrame:
     """Key, row number, cells, key validity and violated rules per batch row."""
     key = tx.strip(F.col(spec.key_col).cast("string"))
+    key = F.coalesce(key.try_cast(key_type).cast("string"), key)
 
     def here(name):
         return F.array_contains(spec.present_col, name) if spec.present_col else F.lit(True)
@@ -294,10 +310,10 @@ def merged_records(
             inserted[name] = stamp(name)
         elif name == created_col:
             inserted[name] = stamp(name)
-    inserted[spec.key_col] = F.col(spec.key_col).cast(types[spec.key_col])
+    inserted[spec.key_col] = F.col(spec.key_col).try_cast(types[spec.key_col])
 
     updates = final.filter(~F.col("_inserted")).withColumn(
-        spec.key_col, F.col(spec.key_col).cast(types[spec.key_col])
+        spec.key_col, F.col(spec.key_col).try_cast(types[spec.key_col])
     )
     old = base.join(updates, spec.key_col, "left").select(
         *[carried[n].alias(n) for n in base.columns],

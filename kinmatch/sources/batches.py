@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REQUIRED = ("project_code", "project_name")
@@ -48,7 +48,11 @@ def read_batch(
         return cells
     reader = spark.read
     if kind == "csv":
-        df = reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        # a file whose header differs from the first one's is refused, not read by position
+        df = (
+            reader.option("header", True).option("enforceSchema", False)
+            .option("multiLine", True).option("escape", '"').csv(path)
+        )
     elif kind == "json":
         df = reader.option("primitivesAsString", True).json(path)
     else:
@@ -232,9 +236,19 @@ def _cell_text(cell, shared: list[str], date_styles: set[int]) -> str | None:
     return value.text
 
 
-def workbook_columns(cells: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """``read_workbooks`` rows as text columns plus ``present``, the columns of their file."""
-    return cells.filter(F.col("problem").isNull()).select(
+def _missing(required: Sequence[str]) -> Column:
+    return F.array_except(F.array(*[F.lit(c) for c in required]), F.map_keys("cells"))
+
+
+def workbook_columns(
+    cells: DataFrame, fields: Sequence[str], required: Sequence[str] = REQUIRED
+) -> DataFrame:
+    """``read_workbooks`` rows as text columns plus ``present``, the columns of their file.
+
+    Workbooks that ``workbook_problems`` reports give no rows.
+    """
+    usable = F.col("problem").isNull() & (F.size(_missing(required)) == 0)
+    return cells.filter(usable).select(
         "file",
         "row_no",
         *[F.try_element_at("cells", F.lit(f)).alias(f) for f in fields],
@@ -244,7 +258,7 @@ def workbook_columns(cells: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def workbook_problems(cells: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
     """(file, problem) of workbooks that are unreadable or lack required columns."""
-    missing = F.array_except(F.array(*[F.lit(c) for c in required]), F.map_keys("cells"))
+    missing = _missing(required)
     lacks = F.when(
         F.size(missing) > 0,
         F.concat(F.lit("required columns are missing: "), F.array_join(missing, ", ")),

@@ -72,6 +72,8 @@ def test_workbooks(spark, tmp_path):
     problems = {r.file.rsplit("/")[-1]: r.problem for r in batches.workbook_problems(cells).collect()}
     assert set(problems) == {"b.xlsx", "c.xlsx"} and "project_name" in problems["b.xlsx"]
 
+    assert {r.file[-6:] for r in batches.workbook_columns(cells, []).collect()} == {"a.xlsx"}
+
     good = cells.filter(F.col("file").endswith("a.xlsx"))
     rows = batches.workbook_columns(good, ["project_code", *PROJECT_FIELDS]).orderBy("row_no").collect()
     assert [(r.row_no, r.project_code, r.project_name) for r in rows] == [
@@ -100,6 +102,13 @@ def test_delimited_rows_are_numbered_per_file(spark, tmp_path):
     assert df.count() == 3005
 
 
+def test_another_column_order_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("project_code,project_name\nP1,One\n")
+    (tmp_path / "b.csv").write_text("project_name,project_code\nTwo,P2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        batches.read_batch(spark, str(tmp_path), ".csv").collect()
+
+
 def test_row_numbers_across_tasks(spark):
     rows = spark.range(0, 100, 1, 7).withColumn("file", F.when(F.col("id") < 33, "a").otherwise("b"))
     for r in batches.with_row_numbers(rows, "file").collect():

@@ -202,3 +202,16 @@ def test_append_keeps_the_first_of_equal_keys(spark):
     fits, rejected = upsert.append_new(base, items, key_col="k", order_col="seq")
     assert [tuple(r) for r in fits.collect()] == [("b", 2)]
     assert rejected.count() == 3
+
+
+def test_keys_and_values_take_the_types_of_the_base(spark):
+    base = spark.createDataFrame([(7, "old", 1)], "id long, name string, size int")
+    rows = [(2, "007", "new", "2"), (3, "abc", "x", "1"), (4, "8", "y", "many"), (5, "9", "z", "3")]
+    batch = spark.createDataFrame(rows, "row_no long, id string, name string, size string")
+    spec = upsert.UpsertSpec(key_col="id", name_col="name", fields=["name", "size"])
+    changes = upsert.upsert_changes(base, batch, spec)
+    assert {r.row_no: r.action for r in changes.collect()} == {
+        2: "updated", 3: "error", 4: "error", 5: "inserted",
+    }
+    merged = upsert.merged_records(base, changes, spec)
+    assert sorted((r.id, r.name, r["size"]) for r in merged.collect()) == [(7, "new", 2), (9, "z", 3)]
