@@ -188,5 +188,5 @@ def normalized_cell(value: Column, is_date: bool = False) -> Column:
 
 
 def matches_any(message: Column, patterns: Sequence[str]) -> Column:
-    """Whether any pattern occurs anywhere in the message, ignoring case."""
-    return F.coalesce(message, F.lit("")).rlike("(?iu)" + "|".join(patterns))
+    """Whether any pattern occurs anywhere in the message, ignoring case; only \\n ends a line."""
+    return F.coalesce(message, F.lit("")).rlike("(?iud)" + "|".join(patterns))

@@ -68,3 +68,11 @@ def test_request_problems(spark):
         ).collect()
     ]
     assert got == ["blank message", None, "blank message", "negative limit", None]
+
+
+def test_only_a_newline_ends_a_line_in_patterns(spark):
+    from kinmatch.functions import text as tx
+
+    rows = spark.createDataFrame([("find\r it",), ("find  it",), ("find\n it",)], "m string")
+    got = [r[0] for r in rows.select(tx.matches_any(F.col("m"), ["FIND.*it"])).collect()]
+    assert got == [True, True, False]
