@@ -5,10 +5,18 @@ target (documents labelled good), one on the raw corpus (every document). A docu
 is the mean over its n-grams of log p_target - log p_raw, and a fixed threshold decides, so
 the same document with the same model always gets the same verdict.
 
+How often a language is labelled says nothing of its documents. So raw counts are weighted to
+the trusted mix: all documents of a language, and within it of each source of ``source_rows``
+rows or more, weigh as many bytes as the trusted ones among them. What is left in the score is
+how n-grams differ within such a group.
+
 Defined cases: a null or empty text has no words, fails the base rules and scores 0; a text
 shorter than one n-gram scores 0; a null id is an ordinary value; repeated rows are judged one
 by one; without labels or documents every score is 0 (nothing is known, nothing is rejected);
-a document with contradicting labels isn't trusted. Other columns are never looked at.
+a document with contradicting labels isn't trusted; a group without trusted documents weighs
+nothing, so its own n-grams score 0 and those it shares count as elsewhere; a null language or
+source is a group like any other. Where a table has no language or source column, its rows are
+not told apart by it. Other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm import text as tx
-from kinmatch.llm.shared import small
+from kinmatch.llm.shared import settled, small
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -47,6 +55,7 @@ class Rules:
     min_words: int = 20
     repeat_words: int = 8
     max_repeat_percent: int = 30
+    source_rows: int = 1000
 
 
 def ngrams(data: np.ndarray, bounds: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
@@ -65,33 +74,70 @@ def ngrams(data: np.ndarray, bounds: np.ndarray, rules: Rules) -> tuple[np.ndarr
     return total[inside], row[:count][inside]
 
 
-def corpus_counts(documents: DataFrame, labels: DataFrame, rules: Rules, id_col="doc_id", text_col="text", label_col="quality") -> DataFrame:
-    """``(bucket, raw, target)`` over every document; tasks add up before the shuffle."""
+#: Weights are whole numbers of this part, so that sums don't depend on the order of rows.
+UNIT = 1 << 30
+
+
+def trusted_documents(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, group_cols: tuple) -> DataFrame:
+    """``(text, lang, source, good)`` of every document; a column the table lacks is null."""
     good = (
         labels.groupBy(F.col(id_col).alias("_id"))
         .agg(F.min(label_col).alias("_q"))
         .where("_q = 1")
-        .select("_id", F.lit(True).alias("_good"))
+        .select("_id", F.lit(True).alias("good"))
     )
-    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.join(small(good, good.count()), "_id", "left").select("_text", "_good")
+    lang, source = (F.col(c) if c in documents.columns else F.lit(None).cast("string") for c in group_cols)
+    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), lang.alias("lang"), source.alias("source"))
+    rows = rows.join(small(good, good.count()), "_id", "left")
+    return rows.select("text", "lang", "source", F.coalesce("good", F.lit(False)).alias("good"))
+
+
+def weighted(rows: DataFrame, rules: Rules) -> DataFrame:
+    """Add ``weight``: the trusted share of the bytes of a row's group, in parts of ``UNIT``."""
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    cells = rows.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.sum(F.when(F.col("good"), size).otherwise(0)).alias("trusted")
+    )
+    cells = settled(cells, "cells")
+    share = F.round(F.col("trusted") / F.greatest("bytes", F.lit(1)) * UNIT).cast("long")
+    large = cells.where(F.col("n") >= rules.source_rows).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), share.alias("_own"))
+    rest = cells.where(F.col("n") < rules.source_rows).groupBy("lang").agg(F.sum("bytes").alias("bytes"), F.sum("trusted").alias("trusted"))
+    rest = rest.select(F.col("lang").alias("_lang"), share.alias("_rest"))
+    rows = rows.join(small(large, large.count()), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    rows = rows.join(small(rest, rest.count()), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    return rows.select("text", "good", F.coalesce("_own", "_rest").alias("weight"))
+
+
+def corpus_counts(
+    documents: DataFrame, labels: DataFrame, rules: Rules, id_col="doc_id", text_col="text", label_col="quality", lang_col="lang", source_col="source"
+) -> DataFrame:
+    """``(bucket, raw, target)`` over every document; tasks add up before the shuffle.
+
+    ``raw`` is weighted, in parts of ``UNIT``.
+    """
+    rows = trusted_documents(documents, labels, id_col, text_col, label_col, (lang_col, source_col))
+    rows = weighted(rows, rules)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = np.zeros(1 << rules.bits, np.int64)
+        raw = np.zeros((2, 1 << rules.bits), np.int64)
         target = np.zeros(1 << rules.bits, np.int64)
         for batch in batches:
             for part in tx.chunks(batch, 0):
                 bucket, row = ngrams(*tx.flat(part.column(0)), rules)
-                good = part.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-                raw += np.bincount(bucket, minlength=len(raw))
-                target += np.bincount(bucket[good[row]], minlength=len(raw))
-        some = np.flatnonzero(raw)
+                good = part.column(1).to_numpy(zero_copy_only=False)
+                weight = part.column(2).to_numpy()[row]
+                # Halves of 15 bits, so that sums of doubles stay exact.
+                for k, half in enumerate((weight >> 15, weight & 0x7FFF)):
+                    raw[k] += np.bincount(bucket, half, len(target)).astype(np.int64)
+                target += np.bincount(bucket[good[row]], minlength=len(target))
+        raw = (raw[0] << 15) + raw[1]
+        some = np.flatnonzero(raw | target)
         yield pa.record_batch({"bucket": some.astype(np.int32), "raw": raw[some], "target": target[some]})
 
     return (
         rows.mapInArrow(count, "bucket int, raw long, target long")
         .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+        .agg(F.sum(F.col("raw").cast("decimal(28,0)")).cast("double").alias("raw"), F.sum("target").alias("target"))
     )
 
 
@@ -99,7 +145,7 @@ def log_ratios(documents: DataFrame, labels: DataFrame, rules: Rules = Rules(),
     """The model: a log ratio for each bucket, add-one smoothed. Its size is fixed by ``bits``."""
     counts = corpus_counts(documents, labels, rules, **columns).toPandas()
     raw, target = np.zeros(1 << rules.bits), np.zeros(1 << rules.bits)
-    raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
+    raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"] / UNIT, counts["target"]
     if not target.sum():
         return np.zeros(1 << rules.bits)
     share = [np.log(x + 1) - np.log(x.sum() + len(x)) for x in (target, raw)]
@@ -173,8 +219,10 @@ def verdict(text: Column, ratios: np.ndarray, rules: Rules = Rules()) -> Column:
     return judged(text)
 
 
-def judged_documents(documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), id_col="doc_id", text_col="text") -> DataFrame:
+def judged_documents(
+    documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), id_col="doc_id", text_col="text", lang_col="lang", source_col="source"
+) -> DataFrame:
     """One row per document: id, counts, score and decision. The model is fitted first."""
-    ratios = log_ratios(documents, labels, rules, id_col=id_col, text_col=text_col)
+    ratios = log_ratios(documents, labels, rules, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col)
     rows = documents.select(F.col(id_col), verdict(F.col(text_col), ratios, rules).alias("_v"))
     return rows.select(id_col, "_v.*")

@@ -125,6 +125,33 @@ def test_quality_counts_by_brute_force(spark, documents, empty):
     assert quality_rules.judged_documents(empty, labels).count() == 0
 
 
+def test_a_rarely_labelled_language_or_large_source_keeps_its_clean_documents(spark, sf):
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    of = {r.doc_id: r.lang for r in documents.collect()}
+    marks = {}
+    for r in labels.collect():
+        marks.setdefault(r.doc_id, []).append(r.quality)
+    good = {i for i, q in marks.items() if min(q) == 1}
+    one = min(i for i in good if of[i] == "fr")
+    few = labels.where(~labels.doc_id.isin([i for i in of if of[i] == "fr" and i != one]))
+    none = labels.where(~labels.doc_id.isin([i for i in of if of[i] == "fr"]))
+    for table in (labels, few, none):
+        found = [r for r in quality_rules.judged_documents(documents, table).collect() if not r.base_failed]
+        assert not [r for r in found if not r.kept and (of[r.doc_id] == "fr" or r.doc_id in good)]
+        assert not [r for r in found if r.kept and r.doc_id in marks and r.doc_id not in good]
+
+    def text(k, words):
+        return " ".join(f"{w}{(k * 7 + j * j) % 13}" for j, w in enumerate(words * 6))
+
+    rows = [(k, text(k, ["river", "mill", "stone", "bread"]), "en", "a") for k in range(60)]
+    rows += [(k, text(k, ["qzhur", "vekpo", "jywix", "gobda"]), "en", "b") for k in range(100, 160)]
+    rows += [(200 + k, "#$%& |<>* " * 3 + text(k, ["xx%", "$$$#", "&&|", "<*>"]), "en", "a") for k in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, 1) for k in range(50)] + [(100, 1), (101, 1), (200, 0)], "doc_id long, quality int")
+    found = {r.doc_id: r.kept for r in quality_rules.judged_documents(table, labels, quality_rules.Rules(source_rows=50, max_repeat_percent=100)).collect()}
+    assert found == {k: k < 200 for k, *_ in rows}
+
+
 def test_exact_copies(documents, empty):
     found = exact_dedup.exact_groups(documents).collect()
     assert len(found) == len(ROWS)
