@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from kinmatch.llm import text as tx
@@ -468,7 +469,11 @@ def node(name: str):
 
 
 def row_components(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n, s1, s2, component)`` for every row."""
+    """``(id, n, s1, s2, component, first)`` for every row.
+
+    ``first`` rows have the smallest id of their component, and its class where that id stands
+    on several texts; so have all rows that link with nothing.
+    """
     rows = profiles(documents, sketch(documents, text_col), id_col, text_col)
     rows = settled(rows.withColumn("row", F.monotonically_increasing_id()), "profiles")
     named = rows.where("n > 0 AND id IS NOT NULL")
@@ -491,12 +496,16 @@ def row_components(documents: DataFrame, id_col: str, text_col: str) -> DataFram
     if not across.isEmpty():
         every = found.union(across).select(node("a").alias("a"), node("b").alias("b"))
         joined = settled(components(every, "a", "b"), "components")
-    names = joined.select(F.col("node.id").alias("head"), F.col("node.s1").alias("s1"), F.col("component.id").alias("component"))
+    names = joined.select(F.col("node.id").alias("head"), F.col("node.s1").alias("s1"), F.col("component.id").alias("component"), F.col("component.s1").alias("root"))
+    alone = F.col("id").isNull() | (F.col("n") == 0)
+    leads = F.col("component").isNull() | ((F.col("component") == F.col("head")) & (F.col("root") == F.col("s1")))
+    first = F.coalesce(alone | ((F.col("id") == F.col("head")) & leads), F.lit(False))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("head")), "id"))
     return (
         rows.select("id", "n", "s1", "s2")
         .join(heads.drop("head_row"), ["s1", "s2"], "left")
         .join(names, ["head", "s1"], "left")
-        .select("id", "n", "s1", "s2", F.when(F.col("id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("head")), "id")).alias("component"))
+        .select("id", "n", "s1", "s2", component.alias("component"), first.alias("first"))
     )
 
 
@@ -507,19 +516,48 @@ def linked_documents(documents: DataFrame, id_col="doc_id", text_col="text") ->
     )
 
 
+@F.arrow_udf(T.StructType([T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())]))
+def class_of(texts: pa.Array) -> pa.Array:
+    """The class of each text, as in ``profiles``."""
+    out = []
+    for part in tx.chunks(pa.record_batch([texts], ["text"]), 0):
+        found, row = shingles(part, 0)
+        bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
+        own = [np.unique(found[a:b]) for a, b in zip(bounds, bounds[1:])]
+        sums = ([x.sum() for x in own], [tx.mixed(x).sum() for x in own])
+        out.append(pa.StructArray.from_arrays([pa.array(np.array(x, np.uint64).astype(np.int64)) for x in sums], ["s1", "s2"]))
+    return pa.concat_arrays(out) if out else pa.array([], pa.struct([("s1", pa.int64()), ("s2", pa.int64())]))
+
+
 def one_of_each(documents: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The documents that stay when one of each component does: the smallest id.
 
     Documents without words and rows with a null id all stay. Rows of one id are told apart
     by their text; of rows that share both, one stays unless the id is null.
+
+    Where the id alone decides, texts are not compared; rows of ids that stand on several rows
+    are looked up by their class.
     """
-    found = row_components(documents, id_col, text_col)
-    dropped = settled(found.where("id != component").select("id").distinct(), "dropped")
-    mark, names = fresh(documents, "_drop"), documents.columns
-    twice = settled(found.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id"), "twice")
-    drop = dropped.withColumn(mark, F.lit(1)).unionByName(twice.join(dropped, "id", "left_anti").withColumn(mark, F.lit(2)))
-    drop = drop.withColumnRenamed("id", "_id")
-    rows = documents.join(small(drop, drop.count()), F.col(id_col) == F.col("_id"), "left")
-    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    repeated = rows.where(F.col(mark) == 2).withColumn(mark, F.row_number().over(order)).where(F.col(mark) == 1)
-    return rows.where(F.col(mark).isNull()).select(names).unionByName(repeated.select(names))
+    found = settled(row_components(documents, id_col, text_col).where("id IS NOT NULL"), "found")
+    by_id = found.groupBy("id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("n") == 0).alias("empty"), F.count_if(F.col("first") & (F.col("n") > 0)).alias("firsts")
+    )
+    mark, key, of = (fresh(documents, x) for x in ("_drop", "_key", "_class"))
+    never = (F.col("firsts") == 0) & (F.col("empty") == 0)
+    always = (F.col("empty") == F.col("rows")) | ((F.col("rows") == 1) & (F.col("firsts") == 1))
+    marked = by_id.where(~always).select(F.col("id").alias(key), F.when(never, 1).otherwise(2).alias(mark))
+    marked = settled(marked, "marked")
+    rows = documents.join(small(marked, marked.count()), F.col(id_col) == F.col(key), "left")
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    by_row = marked.where(F.col(mark) == 2)
+    if by_row.isEmpty():
+        return rows.where(F.col(mark).isNull()).select(documents.columns)
+    stay = rows.where(F.col(mark).isNull() | ((F.col(mark) == 2) & ~worded))
+    firsts = found.where("first AND n > 0").join(small(by_row, by_row.count()), F.col("id") == F.col(key), "left_semi")
+    firsts = settled(firsts.select(F.col("id").alias("_i"), "s1", "s2").distinct(), "firsts")
+    told = rows.where((F.col(mark) == 2) & worded).withColumn(of, class_of(F.col(text_col)))
+    same = (F.col(id_col) == F.col("_i")) & (F.col(of)["s1"] == F.col("s1")) & (F.col(of)["s2"] == F.col("s2"))
+    told = told.join(small(firsts, firsts.count()), same, "left_semi")
+    order = Window.partitionBy(id_col, of).orderBy(F.col(text_col))
+    told = told.withColumn(mark, F.row_number().over(order)).where(F.col(mark) == 1)
+    return stay.select(documents.columns).unionByName(told.select(documents.columns))

@@ -77,6 +77,43 @@ def test_near_duplicates_by_brute_force(documents):
     assert ids == sorted({root(i) for i, _ in rows} | {None}, key=str)
 
 
+def test_one_row_of_each_component_stays_where_an_id_stands_on_several_texts(spark):
+    def text(k, tail=""):
+        return " ".join(f"t{k}w{i}" for i in range(60)) + tail
+
+    rows = [
+        (3, text(1)), (5, text(1, " more")), (5, text(2)), (6, text(2, " more")), (6, text(2)), (5, ""), (5, None), (8, text(3)), (8, text(4)),
+        (8, text(3).upper()), (8, text(4)), (9, text(3)), (2, text(5)), (2, text(5, " more")), (4, text(6)), (4, text(6, " more")), (1, text(6)),
+        (None, text(1)), (None, text(1)), (10, ""), (10, ""), (7, text(9)),
+    ] + [(11, text(k)) for k in range(20, 50)]
+    sets = [shingle_set(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    linked = [k for k, (i, _) in enumerate(rows) if i is not None and sets[k]]
+    for a in linked:
+        for b in linked:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group[max(root(a), root(b))] = min(root(a), root(b))
+    least = {}
+    for k in linked:
+        least[root(k)] = min(least.get(root(k), rows[k][0]), rows[k][0])
+    table = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _key int")
+    for parts in (1, 5):
+        kept = ngram_jaccard.one_of_each(table.repartition(parts))
+        assert kept.columns == table.columns
+        found = [r["_key"] for r in kept.collect()]
+        assert len(found) == len(set(found))
+        assert {k for k in found if k not in linked} == set(range(len(rows))) - set(linked)
+        stays = [k for k in found if k in linked]
+        assert sorted(root(k) for k in stays) == sorted(least)
+        assert all(rows[k][0] == least[root(k)] for k in stays)
+
+
 def test_tree_keeps_every_pair_within_the_bound():
     import numpy as np
 
