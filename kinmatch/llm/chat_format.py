@@ -102,9 +102,11 @@ def formatted(conversations: DataFrame, conv_col="conv_id", turn_col="turn", rol
             t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
             if not t.num_rows:
                 continue
+            if part and t.column("conv")[0].as_py() != open_conv:
+                part = 0
             cuts = np.flatnonzero(changes(t.column("conv").combine_chunks())) + 1
             at = 0
-            if part and len(cuts) and t.column("conv")[0].as_py() == open_conv:
+            if part and len(cuts):
                 yield emit(t.slice(0, int(cuts[0])), part)
                 at, part = int(cuts[0]), 0
             cuts = cuts[cuts > at]
@@ -117,8 +119,7 @@ def formatted(conversations: DataFrame, conv_col="conv_id", turn_col="turn", rol
                 part, open_conv = part + 1, rest.column("conv")[0].as_py()
                 rest = rest.slice(rest.num_rows)
         if rest is not None and rest.num_rows:
-            same = part and rest.column("conv")[0].as_py() == open_conv
-            yield emit(rest, part if same else 0)
+            yield emit(rest, part)
 
     return (
         rows.repartition("conv")

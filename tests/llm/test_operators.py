@@ -259,6 +259,30 @@ def test_chat_reads_back(spark):
     assert chat_format.read_back(chat_format.formatted(rows.limit(0))).count() == 0
 
 
+def test_long_chats_that_end_with_a_batch_stay_apart(spark, monkeypatch):
+    """Parts beyond the bound in every batch of ten turns; conversations end with a batch or not."""
+    monkeypatch.setattr(chat_format, "PART_BYTES", 1000)
+    batch, shuffle = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"
+    before = {k: spark.conf.get(k) for k in (batch, shuffle)}
+    lengths = {1: 20, 2: 10, 3: 10, 4: 13, 5: 7, 6: 25, 7: 5, 8: 30}
+    turns = [(c if c > 1 else None, k, "user" if k % 2 else "assistant", f"{c} {k} " + "x" * 200) for c, n in lengths.items() for k in range(n)]
+    try:
+        spark.conf.set(batch, "10")
+        spark.conf.set(shuffle, "1")
+        rows = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+        parts = chat_format.formatted(rows).collect()
+        found = {r.conv_id: r for r in chat_format.read_back(chat_format.formatted(rows)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(r.part for r in parts) > 0
+    assert set(found) == {c for c, *_ in turns}
+    for c in found:
+        said = "".join(f"{role}\n{text}\n" for d, _, role, text in turns if d == c)
+        assert found[c].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert found[c].loss_chars == sum(len(text) for d, _, role, text in turns if d == c and role == "assistant")
+
+
 def test_language_and_quality_handle_edges(spark, documents, empty):
     held = crc32_of("doc_id") % 5 == 0
     found = {r.doc_id: r for r in language_id.identified(documents, held).collect()}
