@@ -11,7 +11,8 @@ like sizes. Each leaf ends with one open fraction at most; these meet again in a
 leaves at a time, then across the size classes of a source. Rounding keeps the number of copies,
 not of words; so some ``RESERVE`` documents of each source, drawn by hash, wait for the root of
 the tree and land last, their chances scaled to the words that are still missing. Draws are
-hashes of the id, so reruns agree however the rows are laid out.
+hashes of the id, and where an id stands on several rows of the text and a number among equal
+rows too, so reruns agree however the rows are laid out and no id fills a leaf or a reserve.
 
 Defined cases: null texts have no words; a null source is a source of its own and comes last;
 documents without words are mixed among themselves and take nothing; if no document has words
@@ -21,10 +22,12 @@ empty table gives an empty result. Other columns are left alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -132,34 +135,67 @@ def settle_all(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([first, landed(group[group["reserve"]], missing)])
 
 
-def mixed_rows(documents: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, row_col: str | None = None) -> DataFrame:
-    """``(row, id, size, source_size, target, copies)`` for each row of the table."""
-    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    sizes = documents.select(
-        row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
-    )
-    sizes = settled(sizes, "sizes")
-    targets = settled(source_targets(sizes), "targets")
+def told_apart(sizes: DataFrame) -> DataFrame:
+    """``content`` becomes ``mark``: null where the id stands once, else a hash of the text's
+    hash and of a number that rows equal in id, source and text have in any order.
+
+    Equal rows are numbered within ``LEAF_ROWS`` row numbers, which begin after the ones before.
+    """
+    many = settled(sizes.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("_id"), "repeated")
+    count = many.count()
+    if not count:
+        return sizes.withColumn("content", F.lit(None).cast("long")).withColumnRenamed("content", "mark")
+    again = F.col("id").eqNullSafe(F.col("_id"))
+    once = sizes.join(small(many, count), again, "left_anti").withColumn("content", F.lit(None).cast("long"))
+    rows = sizes.join(small(many, count), again, "left_semi").withColumn("chunk", F.floor(F.col("row") / LEAF_ROWS))
+    key = ["id", "source", "content"]
+    counts = rows.groupBy(*key, "chunk").agg(F.count(F.lit(1)).alias("k"))
+    earlier = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = settled(counts.withColumn("before", F.sum("k").over(earlier)).where("before > 0").drop("k"), "before")
+    counts = counts.toDF(*(f"_{c}" for c in counts.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*key, "chunk"]]
+    number = F.row_number().over(Window.partitionBy(*key, "chunk").orderBy("row"))
+    rows = rows.withColumn("number", number).join(small(counts, counts.count()), same, "left")
+    rows = rows.withColumn("content", F.xxhash64("content", F.col("number") + F.coalesce("_before", F.lit(0))))
+    return settled(once.unionByName(rows.select(once.columns)), "told").withColumnRenamed("content", "mark")
+
+
+def placed(sizes: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, Callable[[int], Column]]:
+    """Each row with its whole copies and fraction, its leaf and draw, and whether it waits for
+    the root; the number of leaves per source and class; and the draw of any level."""
     classes = F.floor(2 * F.log2(F.col("size") + F.lit(1.0))).cast("int")
     salts = sizes.groupBy(F.col("source").alias("_source"), classes.alias("_class")).agg(F.ceil(F.count(F.lit(1)) / LEAF_ROWS).cast("int").alias("salts"))
     salts = settled(salts, "salts")
     targets = targets.withColumnRenamed("source", "_source")
-    rows = sizes.withColumn("class", classes)
+    rows = told_apart(sizes).withColumn("class", classes)
     rows = rows.join(small(targets, targets.count()), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rows = rows.join(
         small(salts, salts.count()), F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")), "left"
     ).drop("_source", "_class")
 
-    def draw(level: int):
-        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), "id", "size"), 11) / F.lit(float(1 << 53))
+    def draw(level: int) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), "id", "size", "mark"), 11) / F.lit(float(1 << 53))
 
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(expected + F.lit(1e-9))
     rows = rows.withColumn("copies", whole.cast("int")).withColumn("part", F.greatest(expected - whole, F.lit(0.0)))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("salts")).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "mark"), F.col("salts")).cast("int"))
     rows = rows.withColumn("draw", draw(0)).withColumn("bit", F.lit(0))
     rows = rows.withColumn("part", F.when(F.col("part") > 1e-9, F.col("part")).otherwise(F.lit(0.0)))
     rows = rows.withColumn("reserve", draw(-1) < F.least(F.lit(0.5), F.lit(RESERVE) / F.col("rows"))).withColumn("missing", F.lit(0.0))
+    return rows, salts, draw
+
+
+def mixed_rows(documents: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, row_col: str | None = None) -> DataFrame:
+    """``(row, id, size, source_size, target, copies)`` for each row of the table."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    sizes = documents.select(
+        row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.xxhash64(text_col).alias("content"),
+    )
+    sizes = settled(sizes, "sizes")
+    targets = settled(source_targets(sizes), "targets")
+    rows, salts, draw = placed(sizes, targets, seed)
 
     leaves = rows.where("NOT reserve").groupBy("source", "class", "salt").applyInPandas(settle_pairs, rows.schema)
     leaves = settled(leaves.unionByName(rows.where("reserve")), "leaves")

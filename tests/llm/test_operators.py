@@ -214,6 +214,25 @@ def test_mixing_adds_up(spark, documents, empty, sf):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_spreads_rows_of_one_id(spark):
+    """One id and null on many rows, of equal and of different texts: leaves, reserve, reruns."""
+    kinds = "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id END AS doc_id"
+    text = "CASE WHEN id % 2 = 0 THEN 'ten words ' ELSE concat('w', id, ' word ') END"
+    rows = spark.range(30000).selectExpr(kinds, "CASE WHEN id % 10 = 0 THEN 'b' ELSE 'a' END AS source", f"{text} AS text")
+    rows = rows.localCheckpoint()
+    found = []
+    for table in (rows, rows.repartition(5), rows.coalesce(1)):
+        sizes = table.selectExpr("doc_id AS id", "source", "2L AS size", "xxhash64(text) AS content", "monotonically_increasing_id() AS row").localCheckpoint()
+        placed, *_ = mixing.placed(sizes, mixing.source_targets(sizes), 0)
+        leaves = placed.groupBy("source", "class", "salt").count().collect()
+        assert sum(r["count"] for r in leaves) == 30000 and max(r["count"] for r in leaves) < 1.2 * mixing.LEAF_ROWS
+        assert all(32 < r["count"] < 128 for r in placed.where("reserve").groupBy("source").count().collect())
+        assert placed.select("source", "draw").distinct().count() == 30000
+        taken = mixing.mixed_documents(table).groupBy("doc_id").agg({"taken": "sum"}).collect()
+        found.append(sorted(((r[0] is None, r[0] or 0, r[1]) for r in taken)))
+    assert found[0] == found[1] == found[2]
+
+
 def test_pieces_are_lossless_and_repeat(documents, empty):
     words = pieces.Vocabulary(MODEL_FILE)
     one = pieces.encoded(documents, words)
