@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinmatch.llm import (
     chat_format,
     exact_dedup,
+    hard_negatives,
     language_id,
     license_scan,
     mixing,
@@ -16,6 +17,8 @@ from kinmatch.llm import (
     quality_ranker,
     quality_rules,
     sharding,
+    structure_repair,
+    warc,
 )
 from kinmatch.llm.shared import crc32_of, read_table
 
@@ -88,6 +91,22 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.licences(read_table(spark, sf, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_table(spark, sf, "embeddings")
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_structure_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return structure_repair.repaired(structure_repair.damaged(read_table(spark, sf, "conversations")))
+
+
+def op13_warc(spark: SparkSession, sf: str) -> DataFrame:
+    index = warc.write(read_table(spark, sf, "pages"))
+    return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -101,6 +120,9 @@ QUERIES = {
         op8_exact_dedup,
         op9_quality_ranker,
         op10_license_scan,
+        op11_hard_negatives,
+        op12_structure_repair,
+        op13_warc,
     )
 }
 
@@ -174,5 +196,39 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id,
        count(*) OVER (PARTITION BY body) AS group_size,
        row_number() OVER best = 1 AS kept, sha256(body) AS text_sha256
 FROM normal WINDOW best AS (PARTITION BY body ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""",
+    "op11_hard_negatives": """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same,
+         list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM rows a JOIN rows r ON r.vec_id != a.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       row_number() OVER best::INTEGER AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives JOIN scored n USING (anchor_id)
+WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER best <= 5
+""",
+    "op13_warc": """
+WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+known AS (
+  SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest,
+         min(page_id) OVER (PARTITION BY body) AS first
+  FROM bodies
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id != first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id != first THEN first END AS refers_to
+FROM known
 """,
 }
