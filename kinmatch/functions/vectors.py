@@ -19,22 +19,72 @@ def squared_norm(a: Column) -> Column:
     )
 
 
+#: Squared lengths whose products neither overflow nor vanish; other vectors are scaled first.
+ORDINARY = (1e-150, 1e150)
+
+
+def largest(a: Column) -> Column:
+    """The largest absolute value; NaN counts as larger than infinity."""
+    return F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
+
+
+def directed(a: Column) -> Column:
+    """Whether a vector points somewhere: all values are finite and one isn't zero."""
+    return let(largest(a), lambda m: F.coalesce((m > 0) & (m < F.lit(float("inf"))), F.lit(False)))
+
+
+def scaled(a: Column) -> Column:
+    """A directed vector in doubles, shortened or stretched by a power of two, which is exact."""
+    def by(top):
+        power = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.floor(F.log2(top)).cast("double")))
+        return F.transform(a, lambda x: x.cast("double") * F.pow(F.lit(2.0), -power))
+
+    return let(largest(a), by)
+
+
 def cosine_distance(a: Column, b: Column, squared_norm_b: Column | None = None) -> Column:
-    """1 - cosine; NaN when a vector has no length or a NaN in it, so such rows sort last.
+    """1 - cosine; NaN when a vector isn't ``directed``, so such rows sort last.
 
-    Give ``squared_norm_b`` when it is known, as for one query against many rows.
+    Vectors whose squared length would overflow or vanish are scaled first. Give
+    ``squared_norm_b`` when it is known, as for one query against many rows; then ``b`` is
+    taken as it is and must be of an ordinary length.
     """
-    squared = squared_norm(a) * (squared_norm(b) if squared_norm_b is None else squared_norm_b)
+    nan = F.lit(float("nan"))
 
-    def distance(scale):
+    def distance(v, w, squared):
         def clipped(raw):
             cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
-            known = (scale > 0) & ~F.isnan(raw)
-            return F.when(known, 1.0 - cosine).otherwise(F.lit(float("nan")))
+            return F.when(F.isnan(raw), nan).otherwise(1.0 - cosine)
+
+        return let(dot(v, w) / F.sqrt(squared), clipped)
+
+    def between(v, w, norm_w):
+        def judged(norm):
+            def again(u):
+                return let(squared_norm(u), lambda n: distance(u, w, n * norm_w))
+
+            return (
+                F.when(norm.between(*ORDINARY), distance(v, w, norm * norm_w))
+                .when(directed(v), let(scaled(v), again))
+                .otherwise(nan)
+            )
+
+        return let(squared_norm(v), judged)
+
+    if squared_norm_b is not None:
+        return F.when(squared_norm_b > 0, between(a, b, squared_norm_b)).otherwise(nan)
+
+    def other(norm):
+        def again(u):
+            return between(a, u, squared_norm(u))
 
-        return let(F.when(scale > 0, dot(a, b) / scale), clipped)
+        return (
+            F.when(norm.between(*ORDINARY), between(a, b, norm))
+            .when(directed(b), let(scaled(b), again))
+            .otherwise(nan)
+        )
 
-    return let(F.sqrt(squared), distance)
+    return let(squared_norm(b), other)
 
 
 def similarity(distance: Column) -> Column:

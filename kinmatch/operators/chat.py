@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,27 +46,59 @@ def route(
 
 
 def tool_arguments(arguments: Column, default_limit: int = fixed.DEFAULT_RESULTS) -> Column:
-    """``struct<query, max_results>`` from a JSON object; other text is the query itself.
+    """``struct<query, max_results, file_path>`` from a JSON object; other text is the query.
 
-    Missing parts take their defaults, an empty query and ``default_limit``.
+    Values are decoded by type: a text is itself, anything else its JSON text; numbers may
+    come as texts, fractions are cut. What is missing, null or no number takes its default:
+    an empty query or path, ``default_limit``. Other JSON values than objects name nothing.
     """
     # a text is JSON when the variant parser takes it
-    is_json = F.try_parse_json(arguments).isNotNull()
-    parsed = F.from_json(arguments, "query string, max_results int")
+    parsed = F.try_parse_json(arguments)
+    is_json = parsed.isNotNull()
+
+    def text(name):
+        return F.coalesce(F.try_variant_get(parsed, f"$.{name}", "string"), F.lit(""))
+
+    number = F.try_variant_get(parsed, "$.max_results", "double")
+    whole = F.when(number.between(-(2**31), 2**31 - 1), number.try_cast("int"))
     return F.when(
         is_json,
         F.struct(
-            F.coalesce(parsed["query"], F.lit("")).alias("query"),
-            F.coalesce(parsed["max_results"], F.lit(default_limit)).alias("max_results"),
+            text("query").alias("query"),
+            F.coalesce(whole, F.lit(default_limit)).alias("max_results"),
+            text("file_path").alias("file_path"),
         ),
     ).otherwise(
         F.struct(
             F.coalesce(arguments, F.lit("")).alias("query"),
             F.lit(default_limit).alias("max_results"),
+            F.lit("").alias("file_path"),
         )
     )
 
 
+def tool_call(
+    name: Column, arguments: Column, tools: Mapping[str, Sequence[str]] = fixed.TOOL_ARGUMENTS
+) -> Column:
+    """``struct<name, query, max_results, file_path, reply>``: what a call asks of its tool.
+
+    ``tools`` lists the arguments each tool takes; others are NULL. An unknown or missing name
+    takes none and gets a ``reply`` that says so.
+    """
+    called = F.coalesce(name, F.lit(""))
+    decoded = tool_arguments(arguments)
+
+    def taken(argument):
+        takers = [tool for tool, taken in tools.items() if argument in taken]
+        return F.when(called.isin(takers), decoded[argument]).alias(argument)
+
+    unknown = F.concat(F.lit(fixed.UNKNOWN_TOOL), called)
+    return F.struct(
+        called.alias("name"), taken("query"), taken("max_results"), taken("file_path"),
+        F.when(~called.isin(list(tools)), unknown).alias("reply"),
+    )
+
+
 def _message(role: str | Column, content: Column) -> Column:
     role = role if isinstance(role, Column) else F.lit(role)
     return F.struct(role.alias("role"), content.alias("content"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kinmatch import fixed_values as fixed
 from kinmatch.functions import text as tx
+from kinmatch.sources.tables import settled
 
 Model = Callable[[list[str]], Sequence]
 
@@ -63,7 +64,10 @@ def _resize(vector, size: int) -> np.ndarray:
 
 
 def _embed_texts(model: Model, texts: list[str], size: int) -> tuple[list, list]:
-    """Vectors and errors, one of each per text; a failing text does not hurt the others."""
+    """Vectors and errors, one of each per text; a failing text does not hurt the others.
+
+    A failed call is repeated on its halves, so one bad text among n costs 2 log2 n calls more.
+    """
     try:
         result = model(texts)
         if len(result) != len(texts):
@@ -72,12 +76,9 @@ def _embed_texts(model: Model, texts: list[str], size: int) -> tuple[list, list]
     except Exception as problem:
         if len(texts) == 1:
             return [None], [str(problem)]
-    vectors, errors = [], []
-    for content in texts:
-        v, e = _embed_texts(model, [content], size)
-        vectors += v
-        errors += e
-    return vectors, errors
+    half = len(texts) // 2
+    parts = [_embed_texts(model, part, size) for part in (texts[:half], texts[half:])]
+    return parts[0][0] + parts[1][0], parts[0][1] + parts[1][1]
 
 
 def embed(
@@ -139,23 +140,45 @@ def content_key(text: Column) -> Column:
     return F.sha2(tx.strip(text), 256)
 
 
-def texts_not_stored(df: DataFrame, store: DataFrame, *, text_col: str) -> DataFrame:
-    """Distinct non-blank texts without a stored vector: (text_sha, text)."""
+def texts_not_stored(
+    df: DataFrame, store: DataFrame, *, text_col: str, key_col: str | None = None
+) -> DataFrame:
+    """Distinct non-blank texts without a stored vector: (text_sha, text).
+
+    With ``key_col``, which names a row and is never NULL, only keys and hashes are shuffled
+    against the store. One key stands for each missing text, and texts are fetched for those
+    keys alone.
+    """
     content = F.col(text_col)
-    distinct = (
-        df.filter(~tx.is_blank(content))
-        .select(content_key(content).alias("text_sha"), tx.strip(content).alias("text"))
-        .groupBy("text_sha")
-        .agg(F.any_value("text").alias("text"))
+    filled = df.filter(~tx.is_blank(content))
+    known = store.select("text_sha")
+    if key_col is None:
+        distinct = (
+            filled.select(content_key(content).alias("text_sha"), tx.strip(content).alias("text"))
+            .groupBy("text_sha")
+            .agg(F.any_value("text").alias("text"))
+        )
+        return distinct.join(known, "text_sha", "left_anti")
+    missing = (
+        filled.groupBy(content_key(content).alias("text_sha"))
+        .agg(F.min(key_col).alias("_key"))
+        .join(known, "text_sha", "left_anti")
     )
-    return distinct.join(store.select("text_sha"), "text_sha", "left_anti")
+    # stored, so that its size is known when the join to the texts is planned
+    missing = settled(missing, "missing-texts")
+    texts = df.select(F.col(key_col).alias("_key"), tx.strip(content).alias("text"))
+    return texts.join(missing, "_key").select("text_sha", "text")
 
 
 def new_store_rows(
-    df: DataFrame, store: DataFrame, *, text_col: str, model=None, size: int = fixed.EMBEDDING_SIZE
+    df: DataFrame, store: DataFrame, *, text_col: str, key_col: str | None = None, model=None,
+    size: int = fixed.EMBEDDING_SIZE,
 ) -> DataFrame:
     """Vectors for the texts the store lacks: (text_sha, embedding, error)."""
-    missing = texts_not_stored(df, store, text_col=text_col)
+    missing = texts_not_stored(df, store, text_col=text_col, key_col=key_col)
+    if key_col is not None:
+        # what is missing may lie in a few files; the model is the costly part
+        missing = missing.hint("rebalance")
     return embed(missing, key_col="text_sha", text_col="text", model=model, size=size)
 
 
@@ -233,7 +256,8 @@ def backfill(
 ) -> DataFrame:
     """All rows, missing vectors computed, plus ``error`` for texts that failed.
 
-    With a ``store`` every distinct text is embedded once and stored vectors are reused.
+    With a ``store`` every distinct text is embedded once and stored vectors are reused;
+    ``key_col`` must then name each row.
     """
     text = tx.embedding_text(*[F.col(c) for c in text_cols])
     missing = df.filter(F.col(vector_col).isNull()).withColumn("_text", text).drop(vector_col)
@@ -243,14 +267,19 @@ def backfill(
             missing, key_col=key_col, text_col="_text", model=model, size=size, keep=others
         ).withColumnRenamed("embedding", vector_col)
     else:
-        fresh = new_store_rows(missing, store, text_col="_text", model=model, size=size)
+        fresh = new_store_rows(
+            missing, store, text_col="_text", key_col=key_col, model=model, size=size
+        )
         known = store.select("text_sha", "embedding", F.lit(None).cast("string").alias("error"))
         vectors = known.unionByName(fresh).select(
             "text_sha", F.col("embedding").alias(vector_col), "error"
         )
-        blank = F.when(tx.is_blank(F.col("_text")), "blank text cannot be embedded")
+        is_blank = tx.is_blank(F.col("_text"))
+        blank = F.when(is_blank, "blank text cannot be embedded")
+        # blank texts meet nothing; their keys spread them
+        own = F.concat(F.lit("\0"), F.col(key_col).cast("string"))
         filled = (
-            missing.withColumn("text_sha", content_key(F.col("_text")))
+            missing.withColumn("text_sha", F.when(is_blank, own).otherwise(content_key(F.col("_text"))))
             .join(vectors, "text_sha", "left")
             .withColumn("error", F.coalesce(blank, "error"))
         )

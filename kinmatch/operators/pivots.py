@@ -158,10 +158,11 @@ class _Cells:
         bounds = (distance[:, None] + self.smallest).ravel()
         limit = np.partition(bounds, self.k - 1)[self.k - 1] + SLACK
         home = distance.argmin()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            # beyond the plane half-way between the home pivot and the cell's
-            plane = (distance**2 - distance[home] ** 2) / (2 * self.between[home])
-        plane[home] = 0.0
+        # beyond the plane half-way between the home pivot and the cell's; pivots that are one
+        # but for rounding have none
+        apart = self.between[home] > SLACK
+        plane = np.zeros(len(distance))
+        plane[apart] = (distance[apart] ** 2 - distance[home] ** 2) / (2 * self.between[home][apart])
         lower = np.maximum(distance - self.reach, plane)
         return self.ids[lower <= limit]
 

@@ -12,6 +12,7 @@ from kinmatch import fixed_values as fixed
 from kinmatch.functions import text as tx
 from kinmatch.operators.keyword_score import nearest_by_keywords
 from kinmatch.operators.vector_search import _nearest_batch
+from kinmatch.sources.tables import settled
 
 
 @dataclass(frozen=True)
@@ -113,8 +114,12 @@ def recommend(
     requests: DataFrame, records: DataFrame, columns: RecordColumns, *, query_col: str,
     prompt_col: str, vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """By vector for requests that have one, by keywords for the others; ``path`` says which."""
-    valid = requests.filter(F.col("problem").isNull())
+    """By vector for requests that have one, by keywords for the others; ``path`` says which.
+
+    Requests are stored with their vectors first, and both branches read what is stored: a
+    model that answers differently when asked again neither loses nor doubles a request.
+    """
+    valid = settled(requests.filter(F.col("problem").isNull()), "routed-requests")
     with_vector = valid.filter(F.col(columns.vector).isNotNull())
     without = valid.filter(F.col(columns.vector).isNull())
     near = recommend_by_vector(

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions.text import let
 from kinmatch.operators.blocks import rows_within
+from kinmatch.sources.tables import settled
 
 # Up to so many keywords become expressions tested in every row.
 LITERAL_KEYWORDS = 16
-# Up to so many are searched in every row by a task-side function, whose substring search
-# is many times faster than the expression; beyond that, joining character runs is.
-SCANNED_KEYWORDS = 4096
-# Up to so many are broadcast.
+# Up to so many are met with the vocabulary of the records.
 BROADCAST_KEYWORDS = 1 << 16
+# Bytes of words with their keywords that are broadcast.
+BROADCAST_BYTES = 64 << 20
+# Characters of a run, for the keywords long enough; a shorter one is its own run.
+RUN_SIZES = (6, 3)
+# Characters of a keyword whose runs are counted.
+COUNTED_CHARS = 64
+# What ends a word, in records and in keywords alike.
+BETWEEN_WORDS = r"\s+"
 # Up to so many ranked (keyword, key) rows are broadcast to fetch their records.
 BROADCAST_HITS = 1 << 18
 
@@ -65,18 +70,15 @@ def search_keyword(
 
 
 def char_grams(text: Column, sizes: Sequence[int] = (1, 2, 3)) -> Column:
-    """Distinct runs of 1 to 3 characters; size 0 stands for the empty run."""
+    """Distinct runs of characters of the given sizes; size 0 stands for the empty run."""
 
-    def of_size(chars, n):
+    def of_size(n):
         if n == 0:
             return F.array(F.lit(""))
-        last = F.size(chars) - n
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat(*[F.get(chars, i + j) for j in range(n)]))
+        # a look-ahead takes no characters, so the next run starts one further
+        return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
-    # an empty text has no characters
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return let(chars, lambda cs: F.array_distinct(F.concat(*[of_size(cs, n) for n in sizes])))
+    return F.array_distinct(F.concat(*[of_size(n) for n in sizes]))
 
 
 def probe_gram(needle: Column) -> Column:
@@ -84,12 +86,13 @@ def probe_gram(needle: Column) -> Column:
     return F.left(needle, F.lit(3))
 
 
-def _probe_of_pattern(pattern: Column) -> Column:
-    """The same for a LIKE pattern: the start of its longest literal stretch."""
-    parts = F.transform(
-        F.split(pattern, r"[%_\\]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))
-    )
-    return probe_gram(F.array_max(parts)["p"])
+def _longest(parts: Column) -> Column:
+    return F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+
+
+def _literal_part(pattern: Column) -> Column:
+    """The longest stretch of a LIKE pattern that stands for itself."""
+    return _longest(F.split(pattern, r"[%_\\]"))
 
 
 def search_keywords(
@@ -105,26 +108,32 @@ def search_keywords(
 ) -> DataFrame:
     """``search_keyword`` for many keywords: record columns, keyword[, rank].
 
-    Some thousand keywords are tested row by row. More are joined on a short character run
-    that each match must share, then verified. ``limit`` keeps the newest per keyword.
+    A few keywords are tested row by row. For more, the distinct words of all records are
+    listed and met with the keywords, each waiting under the run of characters that is rarest
+    in that vocabulary; then a row's distinct words find the keywords they hold. A keyword with
+    white space is looked for by its longest word and verified in the record. Beyond
+    ``BROADCAST_KEYWORDS`` both sides are joined on the first run. ``limit`` keeps the newest
+    per keyword. ``key_col`` names a record.
     """
     wanted = keywords.select(F.col(keyword_col).alias("_keyword")).filter(
         F.col("_keyword").isNotNull()
     ).distinct()
     rows = rows_within(wanted, BROADCAST_KEYWORDS)
-    literal_limit = SCANNED_KEYWORDS if wildcards else LITERAL_KEYWORDS
-    if rows is not None and len(rows) <= literal_limit:
+    order_cols = [order_col] if order_col and order_col != key_col else []
+    if rows is not None and len(rows) <= LITERAL_KEYWORDS:
         found = _test_each(records, sorted(r[0] for r in rows), search_cols, wildcards)
-    elif rows is not None and len(rows) <= SCANNED_KEYWORDS:
-        found = _scan(records, sorted(r[0] for r in rows), search_cols)
+    elif rows is not None:
+        found = _meet_words(sorted(r[0] for r in rows), records, search_cols, key_col, order_cols, wildcards)
+        if limit is None:
+            found = records.join(found.select("_keyword", key_col), key_col)
     else:
-        found = _probe(wanted, records, search_cols, key_col, wildcards, rows is not None)
+        found = _probe(wanted, records, search_cols, key_col, wildcards)
     if limit is None:
         return found.withColumnRenamed("_keyword", keyword_col)
     # rank on keys alone; whole records only travel for what is kept
     order = Window.partitionBy("_keyword").orderBy(*newest_first(order_col, key_col))
     kept = (
-        found.select("_keyword", key_col, *([order_col] if order_col else []))
+        found.select("_keyword", key_col, *order_cols)
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)
         .select(key_col, F.col("_keyword").alias(keyword_col), "rank")
@@ -158,34 +167,84 @@ def _test_each(records, keywords: list[str], search_cols, wildcards) -> DataFram
     )
 
 
-def _scan(records, keywords: list[str], search_cols) -> DataFrame:
-    lowered = [(k, k.lower()) for k in keywords]
-    shared = records.sparkSession.sparkContext.broadcast(lowered)
+def _content(search_cols: Sequence[str]) -> Column:
+    return F.concat_ws("\n", *[F.lower(c) for c in search_cols])
 
-    def find(*columns: pd.Series) -> pd.Series:
-        wanted = shared.value
-        found = [[k for k, low in wanted if any(low in c for c in cells)] for cells in zip(*columns)]
-        return pd.Series(found, dtype=object)
 
-    contents = [F.lower(F.coalesce(c, F.lit(""))) for c in search_cols]
-    hits = F.pandas_udf(find, "array<string>")(*contents)
-    return records.select("*", F.explode_outer(hits).alias("_keyword")).filter(
-        F.col("_keyword").isNotNull()
+def _meet_words(
+    keywords: list[str], records: DataFrame, search_cols, key_col: str, order_cols: list[str], wildcards: bool
+) -> DataFrame:
+    """(keyword, key, order) of records with words that hold a keyword.
+
+    Only words and keys are joined. A keyword that is more than one word is verified against the
+    contents of the records its longest word finds; one without any word is tested in each.
+    """
+    lowered = F.lower("_keyword")
+    breaks = rf"[%_\\]|{BETWEEN_WORDS}" if wildcards else BETWEEN_WORDS
+    asked = records.sparkSession.createDataFrame([(k,) for k in keywords], "_keyword string").select(
+        "_keyword", lowered.alias("_lowered"), _longest(F.split(lowered, breaks)).alias("_part")
+    )
+    wordless = sorted(r[0] for r in asked.filter("_part = ''").select("_keyword").collect())
+    asked = asked.filter("_part != ''")
+    names = ["_keyword", key_col, *order_cols]
+
+    # words are a column of their own; the outer form keeps them from being made twice
+    words = F.array_distinct(F.split(_content(search_cols), BETWEEN_WORDS)).alias("_words")
+    cut = records.select(key_col, *order_cols, words).select(key_col, *order_cols, F.explode_outer("_words").alias("_word"))
+    vocabulary = settled(cut.select("_word").distinct(), "vocabulary")
+    # few bytes, but much work for each
+    vocabulary = vocabulary.repartition(records.sparkSession.sparkContext.defaultParallelism)
+    holding = settled(_holding(vocabulary, asked), "words-with-keywords")
+    size = holding.agg(F.sum(F.octet_length("_word") + F.octet_length("_keyword") + 64)).first()[0] or 0
+    holding = F.broadcast(holding) if size <= BROADCAST_BYTES else holding
+    met = cut.join(holding, "_word").select(*names, "_lowered", "_whole").distinct()
+    found = met.filter("_whole").select(names)
+    if not asked.filter("_part != _lowered").isEmpty():
+        contents = records.select(key_col, *search_cols)
+        verified = _any_contains(search_cols, F.col("_lowered"), wildcards)
+        found = found.unionByName(met.filter("NOT _whole").join(contents, key_col).filter(verified).select(names))
+    if wordless:
+        found = found.unionByName(_test_each(records, wordless, search_cols, wildcards).select(names))
+    return found
+
+
+def _holding(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, keyword, lowered, whole) for every word that has a keyword's longest word in it."""
+    long, short = RUN_SIZES
+    part = F.left("_part", F.lit(COUNTED_CHARS))
+    runs = (
+        F.when(F.length(part) >= long, char_grams(part, (long,)))
+        .when(F.length(part) >= short, char_grams(part, (short,)))
+        .otherwise(F.array(part))
+    )
+    runs = asked.select("*", runs.alias("_runs")).select(*asked.columns, F.explode_outer("_runs").alias("_run"))
+    sizes = sorted(r[0] for r in runs.select(F.length("_run")).distinct().collect())
+    of_words = vocabulary.select("_word", char_grams(F.col("_word"), sizes).alias("_runs"))
+    of_words = of_words.select("_word", F.explode_outer("_runs").alias("_run"))
+    counted = (
+        of_words.select("_run").join(F.broadcast(runs.select("_run").distinct()), "_run")
+        .groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    # a keyword with a run that no word has is nowhere
+    rarest = (
+        runs.join(F.broadcast(counted), "_run", "left")
+        .withColumn("_n", F.coalesce("_n", F.lit(0)))
+        .groupBy(*asked.columns)
+        .agg(F.min_by("_run", F.struct("_n", "_run")).alias("_run"), F.min("_n").alias("_n"))
+        .filter("_n > 0").drop("_n")
+    )
+    return of_words.join(F.broadcast(rarest), "_run").filter(F.contains(F.col("_word"), F.col("_part"))).select(
+        "_word", "_keyword", "_lowered", (F.col("_part") == F.col("_lowered")).alias("_whole")
     )
 
 
-def _probe(wanted, records, search_cols, key_col, wildcards, small) -> DataFrame:
+def _probe(wanted, records, search_cols, key_col, wildcards) -> DataFrame:
+    """The same where the keywords are too many to travel: both sides meet on a run."""
     lowered = F.lower("_keyword")
     probes = wanted.withColumn(
-        "_gram", _probe_of_pattern(lowered) if wildcards else probe_gram(lowered)
+        "_gram", probe_gram(_literal_part(lowered) if wildcards else lowered)
     )
-    content = F.concat_ws("\n", *[F.lower(c) for c in search_cols])
-    grams = F.explode_outer(char_grams(content, (0, 1, 2, 3))).alias("_gram")
+    grams = F.explode_outer(char_grams(_content(search_cols), (0, 1, 2, 3))).alias("_gram")
     verified = _any_contains(search_cols, lowered, wildcards)
-    if small:
-        return (
-            records.select("*", grams).join(F.broadcast(probes), "_gram")
-            .filter(verified).drop("_gram")
-        )
     candidates = records.select(key_col, grams).join(probes, "_gram").drop("_gram")
     return candidates.join(records, key_col).filter(verified)

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.operators.embedding import embedding_status
-
 
 def category_counts(df: DataFrame, column: str) -> DataFrame:
     """(column, n) per value; NULL is a value of its own."""
@@ -29,25 +27,51 @@ def record_stats(
     df: DataFrame, *, category_col: str, domain_col: str, domain: Sequence[str],
     vector_col: str = "embedding",
 ) -> DataFrame:
-    """All statistics in long form: (metric, value, n)."""
-    status = embedding_status(df, vector_col=vector_col).select(
-        F.stack(
-            F.lit(3),
-            F.lit("total"), F.col("total"),
-            F.lit("with_embedding"), F.col("with_embedding"),
-            F.lit("without_embedding"), F.col("without_embedding"),
-        ).alias("metric", "n")
+    """All statistics in long form: (metric, value, n), in one scan of the table.
+
+    One grouping counts per category, per domain value and in all. Metrics that must be there
+    without rows, and domain values that don't occur, come from a constant row of zeros.
+    """
+
+    def line(metric, value, n):
+        return F.struct(metric.alias("metric"), value.alias("value"), n.alias("n"))
+
+    def lines(pairs):
+        return F.array(*[line(F.lit(m), F.lit(v).cast("string"), F.lit(0).cast("long")) for m, v in pairs])
+
+    category, value = F.col("_category"), F.col("_domain")
+    n, filled = F.col("_n"), F.col("_filled")
+    none = F.lit(None).cast("string")
+    rows = df.select(
+        F.col(category_col).cast("string").alias("_category"),
+        F.col(domain_col).cast("string").alias("_domain"),
+        F.col(vector_col).isNotNull().alias("_has_vector"),
+    )
+    counted = rows.groupingSets([[category], [value], []], category, value).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("_has_vector").alias("_filled"),
+        F.grouping_id().alias("_set"),
+    )
+    # bits of the set: category left out, domain value left out
+    said = (
+        F.when(F.col("_set") == 1, F.array(line(F.lit("category"), category, n)))
+        .when(F.col("_set") == 2, F.array(line(F.lit("domain"), value, n)))
+        .otherwise(
+            F.array(
+                line(F.lit("total"), none, n), line(F.lit("with_embedding"), none, filled),
+                line(F.lit("without_embedding"), none, n - filled),
+            )
+        )
+    )
+    outside = (F.col("_set") == 2) & ~F.coalesce(value.isin(list(domain)), F.lit(False))
+    zeros = [(m, None) for m in ("total", "with_embedding", "without_embedding")]
+    zeros += [("domain", v) for v in domain]
+    constant = df.sparkSession.range(1).select(F.explode(lines(zeros)).alias("_line"))
+    return (
+        counted.filter(~outside).select(F.explode(said).alias("_line"))
+        .unionByName(constant)
+        .groupBy(F.col("_line.metric").alias("metric"), F.col("_line.value").alias("value"))
+        .agg(F.sum("_line.n").alias("n"))
     )
-    parts = [
-        status.select("metric", F.lit(None).cast("string").alias("value"), "n"),
-        category_counts(df, category_col).select(
-            F.lit("category").alias("metric"), F.col(category_col).alias("value"), "n"
-        ),
-        domain_counts(df, domain_col, domain).select(
-            F.lit("domain").alias("metric"), F.col(domain_col).alias("value"), "n"
-        ),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def stats_document(stats: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql.types import DataType, StringType
 from kinmatch import fixed_values as fixed
 from kinmatch.functions import text as tx
 from kinmatch.operators.embedding import embed
+from kinmatch.sources.tables import settled
 
 # The keys of batches up to this many rows are broadcast to find the records they touch.
 BROADCAST_KEYS = 200_000
@@ -54,6 +55,13 @@ class UpsertSpec:
     row_col: str = "row_no"
     # column with the field names a row's file had, for batches of mixed files
     present_col: str | None = None
+    # column with a row's file; the files of a batch apply one after the other, by name
+    file_col: str | None = None
+
+    @property
+    def place(self) -> list[str]:
+        """The columns that order the rows of a batch."""
+        return [self.file_col, self.row_col] if self.file_col else [self.row_col]
 
 
 def failed_rules(values: Mapping[str, Column], rules: Mapping[str, Mapping[str, Rule]]) -> Column:
@@ -72,10 +80,14 @@ def failed_rules(values: Mapping[str, Column], rules: Mapping[str, Mapping[str,
 def upsert_changes(base: DataFrame, batch: DataFrame, spec: UpsertSpec) -> DataFrame:
     """One row per batch row: what it does and why.
 
-    Columns: row number, key, ``action`` (inserted, updated, skipped, error),
-    ``changed_fields``, ``errors``, and per field a ``cell_<field>`` struct with the
-    value to write, NULL to leave the field alone. Keys are compared in the type they have
-    in the base, and values that this type can't hold are errors of their row.
+    Columns: file (where the spec names one), row number, key, ``action`` (inserted, updated,
+    skipped, error), ``changed_fields``, ``errors``, and per field a ``cell_<field>`` struct
+    with the value to write, NULL to leave the field alone. Keys are compared in the type they
+    have in the base, and values that this type can't hold are errors of their row.
+
+    A key may own a large part of a large batch. Its rows are dealt by key and segment of row
+    numbers from the start: the record they touch is joined once per segment, and what earlier
+    segments leave over comes from a table with one row per segment.
     """
     spec = _typed(spec, base)
     key, row = spec.key_col, spec.row_col
@@ -85,10 +97,13 @@ def upsert_changes(base: DataFrame, batch: DataFrame, spec: UpsertSpec) -> DataF
 
     rows = _cells(batch, spec, present, base.schema[key].dataType)
     few = n_rows <= min(BROADCAST_KEYS, SMALL_BATCH)
-    rows = rows.join(_touched_records(base, rows, spec, present, few), "_group", "left")
-    rows = rows.withColumn(
+    part = F.floor(F.col(row) / SEGMENT_ROWS)
+    segment = F.struct(F.col(spec.file_col), part) if spec.file_col else part
+    rows = rows.withColumn("_segment", F.lit(0) if small else segment)
+    touched = _touched_records(base, rows, spec, present, few)
+    rows = rows.join(touched, ["_group", "_segment"], "left").withColumn(
         "_in_base", F.coalesce("_in_base", F.lit(False))
-    ).withColumn("_segment", F.lit(0) if small else F.floor(F.col(row) / SEGMENT_ROWS))
+    )
 
     sound = F.col("_key_valid") & (F.size("_violations") == 0)
     rows = _last_before(rows, spec, small, {"_seen": F.when(sound, F.lit(True))})
@@ -135,7 +150,7 @@ def upsert_changes(base: DataFrame, batch: DataFrame, spec: UpsertSpec) -> DataF
             F.when(F.col("_inserts"), new_name).otherwise(F.col(f"cell_{spec.name_col}")),
         )
         .select(
-            row,
+            *spec.place,
             key,
             "action",
             F.when(F.col("action") == "updated", F.col("changed_fields"))
@@ -173,7 +188,7 @@ def _cells(
         return F.when(here(name) & text.isNotNull(), F.struct(value.alias("value")))
 
     rows = batch.select(
-        F.col(spec.row_col),
+        *spec.place,
         F.when(~key.isin(fixed.BLANK_KEY_TEXTS), key).alias(spec.key_col),
         *[cell(f).alias(f"cell_{f}") for f in present],
         *[here(f).alias(f"_has_{f}") for f in present],
@@ -181,7 +196,7 @@ def _cells(
     values = {f: F.col(f"cell_{f}.value") for f in present}
     values[spec.key_col] = F.col(spec.key_col)
     # rows without a key belong together with nothing; spread them
-    own_group = F.concat(F.lit("\0"), F.col(spec.row_col).cast("string"))
+    own_group = F.concat_ws("\0", F.lit(""), *[F.col(c).cast("string") for c in spec.place])
     return rows.withColumns(
         {
             "_group": F.coalesce(F.col(spec.key_col), own_group),
@@ -194,8 +209,11 @@ def _cells(
 def _touched_records(
     base: DataFrame, rows: DataFrame, spec: UpsertSpec, present: Sequence[str], few: bool
 ) -> DataFrame:
-    """The records whose key the batch names: ``_group``, ``_in_base``, ``_old_<field>``."""
-    keys = rows.filter("_key_valid").select("_group").distinct()
+    """The records whose key the batch names, once per segment of its rows.
+
+    Columns: ``_group``, ``_segment``, ``_in_base``, ``_old_<field>``.
+    """
+    keys = rows.filter("_key_valid").select("_group", "_segment").distinct()
     records = base.select(
         F.col(spec.key_col).cast("string").alias("_group"),
         F.lit(True).alias("_in_base"),
@@ -204,7 +222,7 @@ def _touched_records(
             for f in present
         ],
     )
-    return records.join(F.broadcast(keys) if few else keys, "_group", "left_semi")
+    return records.join(F.broadcast(keys) if few else keys, "_group")
 
 
 def _last_before(
@@ -215,11 +233,11 @@ def _last_before(
     A key may own a large part of a large batch, so its rows are cut into segments; each
     segment gets what the earlier ones left over from a table with a row per segment.
     """
-    row = spec.row_col
+    place = F.struct(*spec.place)
     rows = rows.withColumns({f"_v{n}": v for n, v in values.items()})
     earlier = (
         Window.partitionBy("_group", "_segment")
-        .orderBy(row)
+        .orderBy(*spec.place)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     names = list(values)
@@ -227,7 +245,7 @@ def _last_before(
     if not small:
         left_over = rows.groupBy("_group", "_segment").agg(
             *[
-                F.max_by(f"_v{n}", F.when(F.col(f"_v{n}").isNotNull(), F.col(row))).alias(f"_v{n}")
+                F.max_by(f"_v{n}", F.when(F.col(f"_v{n}").isNotNull(), place)).alias(f"_v{n}")
                 for n in names
             ]
         )
@@ -264,13 +282,14 @@ def _changes(spec: UpsertSpec, present: Sequence[str]) -> Column:
 def written_values(changes: DataFrame, spec: UpsertSpec) -> DataFrame:
     """Per written key: ``_inserted`` and the last cell of each field in row order."""
     cells = [c for c in changes.columns if c.startswith("cell_")]
+    place = F.struct(*spec.place)
     return (
         changes.filter(F.col("action").isin("inserted", "updated"))
         .groupBy(spec.key_col)
         .agg(
             F.bool_or(F.col("action") == "inserted").alias("_inserted"),
             *[
-                F.max_by(c, F.when(F.col(c).isNotNull(), F.col(spec.row_col))).alias(c)
+                F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c)
                 for c in cells
             ],
         )
@@ -352,16 +371,16 @@ def reembedded(
 
 
 def upsert_summary(changes: DataFrame, spec: UpsertSpec, *, shown: int = 10) -> DataFrame:
-    """One row: counts, message, and the first ids per written action.
+    """One row: counts, message, and a preview of the ids per written action.
 
     The id lists hold the first ``shown`` ids in row order plus how many more there are;
-    the complete lists are the ``changes`` rows themselves.
+    ``result_rows`` has them all. Takes ``upsert_changes`` or ``row_outcomes``.
     """
     actions = list(fixed.COUNT_LABELS)
-    order = Window.partitionBy("action").orderBy(spec.row_col)
+    order = Window.partitionBy("action").orderBy(*spec.place)
     first = (
         changes.filter(F.col("action").isin("inserted", "updated"))
-        .select("action", spec.row_col, F.col(spec.key_col).alias("id"))
+        .select("action", *spec.place, F.col(spec.key_col).alias("id"))
         .withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") <= shown)
         .groupBy("action")
@@ -381,18 +400,9 @@ def upsert_summary(changes: DataFrame, spec: UpsertSpec, *, shown: int = 10) ->
         *[F.coalesce(of(a, "_n"), F.lit(0)).alias(f"{a}_count") for a in actions],
         *[of(a, "_ids").alias(f"{a}_ids") for a in ("inserted", "updated")],
     )
-    parts = [
-        F.when(
-            F.col(f"{a}_count") > 0,
-            F.concat(
-                F.lit(f"{label} "), F.col(f"{a}_count").cast("string"), F.lit(fixed.COUNT_UNIT)
-            ),
-        )
-        for a, label in fixed.COUNT_LABELS.items()
-    ]
     return totals.withColumns(
         {
-            "message": F.concat(F.lit(fixed.DONE_PREFIX), F.concat_ws(", ", *parts)),
+            "message": _message({a: F.col(f"{a}_count") for a in actions}),
             **{
                 f"{a}_more": F.greatest(F.col(f"{a}_count") - shown, F.lit(0).cast("long"))
                 for a in ("inserted", "updated")
@@ -401,6 +411,93 @@ def upsert_summary(changes: DataFrame, spec: UpsertSpec, *, shown: int = 10) ->
     )
 
 
+def _message(counts: Mapping[str, Column]) -> Column:
+    """What was done, naming the counts that aren't zero."""
+    parts = [
+        F.when(counts[a] > 0, F.concat(F.lit(f"{label} "), counts[a].cast("string"), F.lit(fixed.COUNT_UNIT)))
+        for a, label in fixed.COUNT_LABELS.items()
+    ]
+    return F.concat(F.lit(fixed.DONE_PREFIX), F.concat_ws(", ", *parts))
+
+
+def row_outcomes(
+    changes: DataFrame, spec: UpsertSpec, embedded: DataFrame | None = None
+) -> DataFrame:
+    """What became of each batch row: ``changes`` without cells, failed embeddings as errors.
+
+    ``embedded`` is the result of ``reembedded``. A record whose embedding failed stays
+    written, but the last row that wrote it counts as an error and says why.
+    """
+    rows = changes.select(*spec.place, spec.key_col, "action", "changed_fields", "errors")
+    if embedded is None:
+        return rows
+    failed = embedded.filter(F.col("embed_error").isNotNull()).select(
+        F.col(spec.key_col).cast("string").alias(spec.key_col), "embed_error"
+    )
+    last = (
+        rows.filter(F.col("action").isin("inserted", "updated"))
+        .join(failed, spec.key_col)
+        .groupBy(spec.key_col)
+        .agg(F.max(F.struct(*spec.place)).alias("_at"), F.first("embed_error").alias("_why"))
+        .select(*[F.col(f"_at.{c}").alias(c) for c in spec.place], "_why")
+    )
+    why = F.col("_why").isNotNull()
+    return rows.join(last, spec.place, "left").select(
+        *spec.place, spec.key_col,
+        F.when(why, "error").otherwise(F.col("action")).alias("action"),
+        F.when(why, F.array().cast("array<string>")).otherwise(F.col("changed_fields")).alias("changed_fields"),
+        F.when(why, F.array("_why")).otherwise(F.col("errors")).alias("errors"),
+    )
+
+
+def result_rows(outcomes: DataFrame, spec: UpsertSpec) -> DataFrame:
+    """The complete result as rows: (section, *place, id, message, n).
+
+    One ``summary`` row with the message and the number of batch rows, a ``count`` row per
+    action, and a row per inserted, updated or failed batch row under the name of its action.
+    """
+    actions = list(fixed.COUNT_LABELS)
+    counts = outcomes.agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("action") == a).alias(f"{a}_count") for a in actions]
+    )
+    types = dict(outcomes.dtypes)
+    nowhere = [F.lit(None).cast(types[c]).alias(c) for c in spec.place]
+    message = _message({a: F.col(f"{a}_count") for a in actions})
+    lines = F.array(
+        F.struct(F.lit("summary").alias("section"), F.lit(None).cast("string").alias("id"), message.alias("message"), F.col("n")),
+        *[
+            F.struct(F.lit("count").alias("section"), F.lit(a).alias("id"), F.lit(None).cast("string").alias("message"), F.col(f"{a}_count").alias("n"))
+            for a in actions
+        ],
+    )
+    totals = counts.select(F.explode(lines).alias("line")).select("line.section", *nowhere, "line.id", "line.message", "line.n")
+    listed = outcomes.filter(F.col("action") != "skipped").select(
+        F.col("action").alias("section"), *spec.place, F.col(spec.key_col).cast("string").alias("id"),
+        F.when(F.col("action") == "error", F.array_join("errors", "; ")).alias("message"),
+        F.lit(1).cast("long").alias("n"),
+    )
+    return totals.unionByName(listed)
+
+
+def upserted(
+    base: DataFrame, batch: DataFrame, spec: UpsertSpec, *, text_cols: Sequence[str],
+    model=None, size: int = fixed.EMBEDDING_SIZE, run_time: Column | None = None,
+    created_col: str | None = None, updated_col: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(new records with ``embed_error``, ``result_rows``) of a whole run.
+
+    Changes, records and outcomes are each computed once and stored, so the model is asked
+    once per written record, and both results tell of the same run.
+    """
+    changes = settled(upsert_changes(base, batch, spec))
+    merged = merged_records(
+        base, changes, spec, run_time=run_time, created_col=created_col, updated_col=updated_col
+    )
+    records = settled(reembedded(merged, spec, text_cols=text_cols, model=model, size=size))
+    outcomes = settled(row_outcomes(changes, spec, records))
+    return records, result_rows(outcomes, spec)
+
+
 # --- keyed batch writes without comparison ------------------------------------------
 
 

@@ -8,6 +8,8 @@ them. A larger query side is joined with the cells of records it cannot rule out
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from kinmatch.functions import vectors
-from kinmatch.functions.text import let
 from kinmatch.operators.pivots import as_matrix, join_by_cells
 
 # Query side limits for broadcasting: 2^24 doubles are 128 MB.
@@ -42,11 +43,13 @@ def nearest(
 
     ``threshold`` keeps scores at or above it, before the limit. ``k=None`` keeps all.
     """
-    query = [float(v) for v in query]
+    query = scaled(np.array([query], dtype=np.float64))[0].tolist()
     query_vector = F.array(*[F.lit(v) for v in query])
     squared_norm = 0.0
     for v in query:
         squared_norm += v * v
+    if not math.isfinite(squared_norm):
+        squared_norm = 0.0
     distance = vectors.cosine_distance(F.col(vector_col), query_vector, F.lit(squared_norm))
     scored = (
         records.filter(F.col(vector_col).isNotNull())
@@ -68,12 +71,20 @@ def _in_order_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class QueryBlock:
-    """Query vectors of one block, with the k best records seen so far per query."""
+    """Query vectors of one block, with the k best records seen so far per query.
 
-    def __init__(self, ids: Sequence, matrix: np.ndarray, k: int):
+    Records without direction are as far from every query, so their k smallest keys are
+    enough; for the queries in ``lost``, which have none themselves, all records are.
+    """
+
+    def __init__(self, ids: Sequence, matrix: np.ndarray, k: int, lost: Sequence = ()):
+        matrix = scaled(matrix)
         self.ids = ids
+        self.lost = lost
         self.matrix = matrix
         self.k = k
+        self.far_keys: list = []
+        self.all_keys: list = []
         self.norms = _in_order_sum(matrix, matrix)
         self.unit = _unit(matrix, self.norms)
         self.floor = np.full(len(ids), -np.inf)
@@ -81,13 +92,17 @@ class QueryBlock:
 
     def add(self, keys: pd.Series, matrix: np.ndarray) -> None:
         """Take in a batch of records."""
+        if self.lost:
+            self.all_keys = heapq.nsmallest(self.k, [*self.all_keys, *keys.tolist()])
         if not len(keys) or not len(self.ids):
             return
-        directed = has_direction(matrix)
-        if not directed.all():
-            keys, matrix = keys[directed], matrix[directed]
+        known = has_direction(matrix)
+        if not known.all():
+            self.far_keys = heapq.nsmallest(self.k, [*self.far_keys, *keys[~known].tolist()])
+            keys, matrix = keys[known], matrix[known]
             if not len(keys):
                 return
+        matrix = scaled(matrix)
         if matrix.shape[1] != self.matrix.shape[1]:
             raise ValueError(
                 f"vector sizes differ: {matrix.shape[1]} and {self.matrix.shape[1]}"
@@ -108,30 +123,39 @@ class QueryBlock:
 
     def _merge(self, q, r, keys, matrix, norms):
         scale = np.sqrt(self.norms[q] * norms[r])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cosine = np.clip(_in_order_sum(self.matrix[q], matrix[r]) / scale, -1.0, 1.0)
-        rows = pd.DataFrame(
-            {"q": q, "key": keys.to_numpy()[r], "distance": np.where(scale > 0, 1.0 - cosine, np.nan)}
-        )
+        cosine = np.clip(_in_order_sum(self.matrix[q], matrix[r]) / scale, -1.0, 1.0)
+        rows = pd.DataFrame({"q": q, "key": keys.to_numpy()[r], "distance": 1.0 - cosine})
         if self.found is not None:
             rows = pd.concat([self.found, rows], ignore_index=True)
-        rows = rows.sort_values(["q", "distance", "key"], na_position="last", kind="stable")
+        rows = rows.sort_values(["q", "distance", "key"], kind="stable")
         self.found = rows.groupby("q", sort=False).head(self.k).reset_index(drop=True)
         full = self.found.groupby("q")["distance"].agg(["size", "last"])
-        full = full[(full["size"] == self.k) & full["last"].notna()]
+        full = full[full["size"] == self.k]
         self.floor[full.index.to_numpy()] = 1.0 - full["last"].to_numpy()
 
     def rows(self) -> pd.DataFrame:
-        if self.found is None:
-            return pd.DataFrame({"query": [], "key": [], "distance": []})
+        """What was found; keys of records without direction fill up what lacks k hits."""
+        found = self.found if self.found is not None else pd.DataFrame({"q": [], "key": [], "distance": []})
         ids = pd.Series(self.ids, dtype=object)
-        return pd.DataFrame(
-            {
-                "query": ids.iloc[self.found["q"]].to_numpy(),
-                "key": self.found["key"],
-                "distance": self.found["distance"],
-            }
-        )
+        parts = [
+            pd.DataFrame(
+                {
+                    "query": ids.iloc[found["q"].astype(int)].to_numpy(),
+                    "key": found["key"],
+                    "distance": found["distance"],
+                }
+            )
+        ]
+        if self.far_keys:
+            hits = np.bincount(found["q"].astype(int), minlength=len(ids))
+            parts += [self._far(ids[i], self.far_keys[: self.k - n]) for i, n in enumerate(hits) if n < self.k]
+        parts += [self._far(q, self.all_keys) for q in self.lost if self.all_keys]
+        parts = [p for p in parts if len(p)]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"query": [], "key": [], "distance": []})
+
+    @staticmethod
+    def _far(query, keys: list) -> pd.DataFrame:
+        return pd.DataFrame({"query": pd.Series([query] * len(keys), dtype=object), "key": keys, "distance": np.nan})
 
 
 def _unit(matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
@@ -140,16 +164,22 @@ def _unit(matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
 
 
 def has_direction(matrix: np.ndarray) -> np.ndarray:
-    """Which rows have a length above zero that is a finite number."""
-    norms = _in_order_sum(matrix, matrix)
-    return (norms > 0) & np.isfinite(norms)
+    """Which rows are finite and not all zero; ``vectors.directed`` for a matrix."""
+    return np.isfinite(matrix).all(axis=1) & (matrix != 0).any(axis=1)
 
 
-def directed(vector: Column) -> Column:
-    """``has_direction`` as an expression (NaN is above infinity here)."""
-    return let(
-        vectors.squared_norm(vector), lambda norm: (norm > 0) & (norm < F.lit(float("inf")))
-    )
+def scaled(matrix: np.ndarray) -> np.ndarray:
+    """Directed rows of no ordinary length scaled by a power of two, as ``vectors.scaled``."""
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        norms = _in_order_sum(matrix, matrix)
+    low, high = vectors.ORDINARY
+    odd = has_direction(matrix) & ~((norms >= low) & (norms <= high))
+    if not odd.any():
+        return matrix
+    out = matrix.copy()
+    power = np.clip(np.frexp(np.abs(matrix[odd]).max(axis=1))[1] - 1, -1000, 1000)
+    out[odd] = np.ldexp(matrix[odd], -power[:, None])
+    return out
 
 
 def nearest_batch(
@@ -166,8 +196,8 @@ def nearest_batch(
     """The k nearest records of every query: (query, rank, key, distance, score).
 
     NULL vectors on either side take no part. Ties rank by key. Vectors without a direction
-    (of zero length, or with a value that is not finite) have a NaN distance to all others and
-    rank after every other record, as in ``nearest``.
+    (all values zero, or one that is not finite) have a NaN distance to all others and rank
+    after every other record, as in ``nearest``.
     """
     return _nearest_batch(
         queries, records, query_col=query_col, key_col=key_col, vector_col=vector_col,
@@ -194,17 +224,17 @@ def _nearest_batch(
     if small is not None:
         ids, matrix = small
         known = has_direction(matrix)
-        lost = not known.all()
         asked = [q for q, keep in zip(ids, known) if keep], matrix[known]
-        hits = _stream_records(asked, records, k, schema)
+        lost = [q for q, keep in zip(ids, known) if not keep]
+        hits = _stream_records(asked, lost, records, k, schema)
     else:
-        lost = not queries.filter(~directed(F.col("query_vector"))).isEmpty()
+        toward, asked = vectors.directed(F.col("vector")), vectors.directed(F.col("query_vector"))
+        lost = not queries.filter(~asked).isEmpty()
         hits = join_by_cells(
-            queries.filter(directed(F.col("query_vector"))),
-            records.filter(directed(F.col("vector"))), k, _block_kernel(k), schema,
-            query_block=QUERY_BLOCK, record_block=RECORD_BLOCK,
-        )
-    hits = hits.unionByName(_without_direction(queries, records, k, lost))
+            queries.filter(asked).withColumn("query_vector", _ordinary("query_vector")),
+            records.filter(toward).withColumn("vector", _ordinary("vector")),
+            k, _block_kernel(k), schema, query_block=QUERY_BLOCK, record_block=RECORD_BLOCK,
+        ).unionByName(_without_direction(queries, records, k, lost))
     # pandas hands NaN over as NULL, which would sort first
     hits = hits.withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
     hits = hits.withColumn("score", vectors.similarity(F.col("distance")))
@@ -218,6 +248,12 @@ def _nearest_batch(
     return result, small is not None
 
 
+def _ordinary(name: str) -> Column:
+    """Vectors in doubles, those of no ordinary length scaled."""
+    v = F.col(name)
+    return F.when(vectors.squared_norm(v).between(*vectors.ORDINARY), v.cast("array<double>")).otherwise(vectors.scaled(v))
+
+
 def _without_direction(queries: DataFrame, records: DataFrame, k: int, lost: bool) -> DataFrame:
     """Hits with a NaN distance: at most k keys a query, the smallest ones.
 
@@ -225,16 +261,16 @@ def _without_direction(queries: DataFrame, records: DataFrame, k: int, lost: boo
     direction (``lost``: there are such) is as far from every record.
     """
     toward = F.col("vector")
-    missing = k - records.filter(directed(toward)).select("key").limit(k).count()
+    missing = k - records.filter(vectors.directed(toward)).select("key").limit(k).count()
 
     def least(rows: DataFrame, n: int) -> Column:
         kind = records.schema["key"].dataType
         keys = [r["key"] for r in rows.select("key").orderBy("key").limit(n).collect()] if n > 0 else []
         return F.array(*[F.lit(v).cast(kind) for v in keys]).cast(ArrayType(kind))
 
-    filling = least(records.filter(~directed(toward)), missing)
+    filling = least(records.filter(~vectors.directed(toward)), missing)
     every = least(records, k if lost else 0)
-    keys = F.when(directed(F.col("query_vector")), filling).otherwise(every)
+    keys = F.when(vectors.directed(F.col("query_vector")), filling).otherwise(every)
     return queries.select("query", F.explode(keys).alias("key"), F.lit(float("nan")).alias("distance"))
 
 
@@ -247,15 +283,15 @@ def _small_query_side(queries: DataFrame) -> tuple[list, np.ndarray] | None:
     return (table.column("query").to_pylist(), matrix) if matrix.size <= BROADCAST_VALUES else None
 
 
-def _stream_records(small, records: DataFrame, k: int, schema: str) -> DataFrame:
-    shared = records.sparkSession.sparkContext.broadcast(small)
+def _stream_records(small, lost: list, records: DataFrame, k: int, schema: str) -> DataFrame:
+    shared = records.sparkSession.sparkContext.broadcast((*small, lost))
     fields = records.sparkSession.createDataFrame([], schema).schema
 
     def best_of_partition(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        ids, matrix = shared.value
-        block = QueryBlock(ids, matrix, k)
+        ids, matrix, lost = shared.value
+        block = QueryBlock(ids, matrix, k, lost)
         for batch in batches:
             block.add(batch.column("key").to_pandas(), as_matrix(batch.column("vector")))
         found = block.rows()

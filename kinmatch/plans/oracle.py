@@ -33,11 +33,11 @@ def _ranked(source: str, keys: str, limit: int) -> str:
     ranked AS (SELECT * FROM ordered WHERE rank <= {limit})"""
 
 
-def _places(source: str, key: str) -> str:
+def _places(source: str, key: str, size: int = SIZE) -> str:
     """(key, place, n): hashed token counts of ``source(key, text)``."""
     return f"""
     SELECT {key}, place, count(*)::DOUBLE AS n FROM (
-      SELECT {key}, ('0x' || substr(md5(token), 1, 8))::BIGINT % {SIZE} AS place
+      SELECT {key}, ('0x' || substr(md5(token), 1, 8))::BIGINT % {size} AS place
       FROM (SELECT {key}, unnest({_TOKENS}) AS token FROM {source}))
     GROUP BY {key}, place"""
 
@@ -47,6 +47,11 @@ _DOCS_WITH_VECTORS = (
     "(SELECT d.*, e.embedding FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"
 )
 
+# checksums of the vectors that documents have before a backfill
+_HALF_FILLED = f"""half AS (SELECT doc_id,
+      list_sum(list_transform(embedding, lambda x, i: round(x::DOUBLE * 1000) * i))::BIGINT AS old
+      FROM {_DOCS_WITH_VECTORS})"""
+
 _NEAREST_DOCUMENTS = f"""
     doc_places AS ({_places('documents', 'doc_id')}),
     item_places AS ({_places('benchmark', 'item_id')}),
@@ -97,6 +102,13 @@ _PART_BATCH = r"""
       WHEN NOT known THEN 'inserted' WHEN len(diffs) > 0 AND name = '' THEN 'error'
       WHEN len(diffs) > 0 THEN 'updated' ELSE 'skipped' END AS action FROM compared)"""
 
+# the batch applied to records with vectors, by a model that refuses long texts
+_PART_RUN = f"""{_PART_BATCH},
+    texts AS (SELECT *, action IN ('updated', 'inserted') AS written,
+      concat_ws(' ', nullif(CASE WHEN name IS NULL THEN p_name ELSE name END, ''),
+        CASE WHEN brand IS NULL THEN p_brand ELSE nullif(brand, '') END, kind) AS text FROM judged),
+    run AS (SELECT *, written AND length(text) > 26 AS failed FROM texts)"""
+
 _REPEATED_BATCH = """
     batch AS (SELECT p_partkey * 3 + step + 2 AS row_no,
       p_partkey + CASE WHEN p_size > 45 THEN 100000000000 ELSE 0 END AS key,
@@ -211,9 +223,15 @@ _TOP = """
 _PREFIX = _text(fixed.SUMMARY_PREFIX)
 _BLANK = r"regexp_full_match({}, '\s*')"
 _USER = "conversations WHERE role = 'user'"
-_TOOL_ARGS = """CASE event_type WHEN 'error' THEN 'find ' || props
-      WHEN 'click' THEN '{"query": "click ' || user_id || '", "max_results": ' || (event_id % 20) || '}'
-      WHEN 'view' THEN '{"query": "seen"}' ELSE props END"""
+_TOOL_ARGS = """CASE WHEN event_type = 'error' OR event_id % 7 = 0 THEN 'find ' || props
+      WHEN event_type = 'click' THEN '{"query": ["click", ' || user_id || '], "max_results": "' || (event_id % 20) || '"}'
+      WHEN event_type = 'view' AND event_id % 3 = 0
+        THEN '{"query": ' || user_id || ', "max_results": ' || (event_id % 20) || '.75}'
+      WHEN event_type = 'view' THEN '{"query": "seen", "max_results": "many"}'
+      WHEN event_type = 'purchase' THEN '{"file_path": "/in/' || (event_id % 20) || '.xlsx", "query": null}'
+      ELSE props END"""
+_TOOL_NAME = """CASE event_type WHEN 'purchase' THEN 'update_projects_from_excel'
+      WHEN 'error' THEN 'find' || (event_id % 20) WHEN 'signup' THEN NULL ELSE 'recommend_projects' END"""
 _FILE = "|".join(fixed.FILE_INTENT_PATTERNS)
 _SEARCH = "|".join(fixed.SEARCH_INTENT_PATTERNS)
 
@@ -321,9 +339,14 @@ ORACLE = {
     UNION ALL SELECT 'domain', v, count(doc_id)
       FROM (SELECT unnest(['en', 'fr', 'xx']) AS v) LEFT JOIN documents ON lang = v GROUP BY v""",
     "stats_document": f"""
-    SELECT count(*) AS total, count(embedding) AS filled, count(*) FILTER (source = 'src3') AS src3,
-      count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'xx') AS xx
-    FROM {_DOCS_WITH_VECTORS}""",
+    WITH d AS (SELECT * FROM {_DOCS_WITH_VECTORS}),
+    c AS (SELECT coalesce(source, 'null') AS k, count(*) AS n FROM d GROUP BY k),
+    g AS (SELECT v AS k, count(doc_id) AS n FROM (SELECT unnest(['en', 'fr', 'xx']) AS v) LEFT JOIN d ON lang = v GROUP BY v)
+    SELECT to_json({{'totalProjects': count(*), 'withEmbedding': count(embedding),
+      'withoutEmbedding': count(*) - count(embedding),
+      'industryDistribution': (SELECT map_from_entries(list((k, n) ORDER BY k)) FROM c),
+      'gradeDistribution': (SELECT map_from_entries(list((k, n) ORDER BY k)) FROM g)}})::VARCHAR AS document
+    FROM d""",
     "embed_texts": f"""
     WITH p AS ({_places('documents', 'doc_id')}),
     s AS (SELECT doc_id, sum(n) AS n, sum(n * (place + 1)) AS c, sum(n * n) AS q FROM p GROUP BY doc_id)
@@ -343,16 +366,27 @@ ORACLE = {
     s AS (SELECT doc_id, sum(n * n) AS q FROM p GROUP BY doc_id)
     SELECT sha AS text_sha, coalesce(q, 0)::BIGINT AS squared_norm FROM g LEFT JOIN s USING (doc_id)""",
     "embed_store_lookup": f"""
-    WITH k AS (SELECT doc_id, {_SHA} AS sha FROM documents)
-    SELECT doc_id, sha IN (SELECT sha FROM k WHERE doc_id IN (SELECT doc_id FROM labels)) AS stored
-    FROM k""",
+    WITH k AS (SELECT doc_id, {_SHA} AS sha FROM documents),
+    p AS ({_places('documents', 'doc_id')}),
+    s AS (SELECT doc_id, sum(n * n) AS q FROM p GROUP BY doc_id),
+    t AS (SELECT k.*, sha IN (SELECT sha FROM k WHERE doc_id IN (SELECT doc_id FROM labels)) AS stored FROM k)
+    SELECT doc_id, stored, CASE WHEN stored THEN coalesce(q, 0)::BIGINT END AS squared_norm
+    FROM t LEFT JOIN s USING (doc_id)""",
     "embed_backfill": f"""
-    SELECT 'before' AS phase, count(*) AS total, count(embedding) AS with_embedding,
-      count(*) - count(embedding) AS without_embedding, 0::BIGINT AS failed FROM {_DOCS_WITH_VECTORS}
-    UNION ALL SELECT 'after', count(*), count(*), 0, 0 FROM documents""",
+    WITH {_HALF_FILLED},
+    full_texts AS (SELECT doc_id, concat_ws(' ', nullif({_TRIM.format('text')}, ''), nullif({_TRIM.format('source')}, '')) AS text FROM documents),
+    p AS ({_places('full_texts', 'doc_id', 64)}),
+    s AS (SELECT doc_id, sum(n * (place + 1))::BIGINT AS c FROM p GROUP BY doc_id)
+    SELECT doc_id, 64::BIGINT AS size, CASE WHEN old IS NOT NULL THEN old ELSE coalesce(c, 0) END AS checksum, '' AS error
+    FROM half LEFT JOIN s USING (doc_id)""",
     "attach_vectors": f"""
-    SELECT doc_id, embedding IS NOT NULL OR doc_id IN (SELECT doc_id FROM labels) AS filled,
-      (doc_id IN (SELECT doc_id FROM labels))::BIGINT AS updated_at FROM {_DOCS_WITH_VECTORS}""",
+    WITH {_HALF_FILLED},
+    p AS ({_places('documents', 'doc_id', 64)}),
+    s AS (SELECT doc_id, sum(n * (place + 1))::BIGINT AS c FROM p GROUP BY doc_id),
+    h AS (SELECT *, doc_id IN (SELECT doc_id FROM labels) AS labelled FROM half)
+    SELECT doc_id, old IS NOT NULL OR labelled AS filled, labelled::BIGINT AS updated_at,
+      CASE WHEN labelled THEN coalesce(c, 0) ELSE old END AS checksum
+    FROM h LEFT JOIN s USING (doc_id)""",
     "recommend_vector": f"""
     WITH {_ranked('benchmark', 'item_id', 10)}, {_NEAREST_DOCUMENTS.replace('rank', 'near_rank')},
     k AS (SELECT item_id, list(token ORDER BY rank) AS keywords FROM ranked GROUP BY item_id),
@@ -421,25 +455,27 @@ ORACLE = {
     SELECT key, coalesce(name, ''), nullif(brand, ''), kind, NULL, NULL, 1, 1, true
     FROM u WHERE action = 'inserted'""",
     "upsert_reembedded": f"""
-    WITH {_PART_BATCH},
-    u AS (SELECT *, concat_ws(' ', coalesce(nullif(name, ''), p_name),
-            CASE WHEN brand IS NULL THEN p_brand ELSE nullif(brand, '') END, kind) AS text
-          FROM judged WHERE action IN ('updated', 'inserted')),
-    t AS (SELECT key, len({_TOKENS})::BIGINT AS n FROM u)
-    SELECT p_partkey, coalesce(n, 0) AS n_tokens, '' AS embed_error FROM part LEFT JOIN t ON key = p_partkey
-    UNION ALL SELECT key, n, '' FROM t WHERE key >= 100000000000""",
+    WITH {_PART_RUN},
+    t AS (SELECT key, failed, action, len({_TOKENS})::BIGINT AS n FROM run WHERE written)
+    SELECT p_partkey, CASE WHEN n IS NULL OR failed THEN -1 ELSE n END AS n_tokens,
+      CASE WHEN failed THEN 'text too long' ELSE '' END AS embed_error
+    FROM part LEFT JOIN t ON key = p_partkey
+    UNION ALL SELECT key, CASE WHEN failed THEN 0 ELSE n END, CASE WHEN failed THEN 'text too long' ELSE '' END
+    FROM t WHERE key >= 100000000000""",
     "upsert_summary": f"""
-    WITH {_PART_BATCH},
-    c AS (SELECT count(*) FILTER (action = 'inserted') AS inserted_count,
+    WITH {_PART_RUN},
+    o AS (SELECT row_no, key, CASE WHEN failed THEN 'error' ELSE action END AS action,
+      CASE WHEN failed THEN 'text too long' WHEN key IS NULL THEN 'row ' || row_no || ': key is blank'
+        WHEN len(broken) > 0 THEN array_to_string(broken, '; ') ELSE 'p_name: missing' END AS why FROM run),
+    c AS (SELECT count(*) AS n, count(*) FILTER (action = 'inserted') AS inserted_count,
       count(*) FILTER (action = 'updated') AS updated_count,
       count(*) FILTER (action = 'skipped') AS skipped_count,
-      count(*) FILTER (action = 'error') AS error_count,
-      list(key::VARCHAR ORDER BY row_no) FILTER (action = 'inserted') AS i,
-      list(key::VARCHAR ORDER BY row_no) FILTER (action = 'updated') AS u FROM judged)
-    SELECT inserted_count, updated_count, skipped_count, error_count, {_count_message()} AS message,
-      array_to_string(i[1:10], ' ') AS inserted_ids, array_to_string(u[1:10], ' ') AS updated_ids,
-      greatest(inserted_count - 10, 0)::BIGINT AS inserted_more,
-      greatest(updated_count - 10, 0)::BIGINT AS updated_more FROM c""",
+      count(*) FILTER (action = 'error') AS error_count FROM o)
+    SELECT 'summary' AS section, 0::BIGINT AS row_no, '' AS id, {_count_message()} AS message, n FROM c
+    UNION ALL SELECT 'count', 0, unnest(['inserted', 'updated', 'skipped', 'error']), '',
+      unnest([inserted_count, updated_count, skipped_count, error_count]) FROM c
+    UNION ALL SELECT action, row_no, coalesce(key::VARCHAR, ''), CASE WHEN action = 'error' THEN why ELSE '' END, 1
+    FROM o WHERE action <> 'skipped'""",
     "upsert_repeated_keys": f"""
     WITH {_REPEATED_BATCH}
     SELECT row_no, key::VARCHAR AS p_partkey, action,
@@ -481,16 +517,26 @@ ORACLE = {
       CASE WHEN turn * 5 - 5 >= 0 THEN least(turn * 5 - 5, {fixed.MAX_RESULTS}) END::INT AS result_limit
     FROM {_USER}""",
     "tool_args": f"""
-    WITH r AS (SELECT event_id, {_TOOL_ARGS} AS raw FROM events),
-    j AS (SELECT *, json_valid(raw) AS ok FROM r)
-    SELECT event_id, CASE WHEN ok THEN coalesce(json_extract_string(raw, '$.query'), '') ELSE raw END AS query,
-      CASE WHEN ok THEN coalesce(json_extract(raw, '$.max_results')::INT, {fixed.DEFAULT_RESULTS})
-           ELSE {fixed.DEFAULT_RESULTS} END AS max_results FROM j""",
+    WITH r AS (SELECT event_id, {_TOOL_ARGS} AS raw, coalesce({_TOOL_NAME}, '') AS name FROM events),
+    j AS (SELECT *, json_valid(raw) AS ok, name = 'recommend_projects' AS asks FROM r)
+    SELECT event_id, name,
+      CASE WHEN NOT asks THEN '' WHEN ok THEN coalesce(json_extract_string(raw, '$.query'), '') ELSE raw END AS query,
+      CASE WHEN name = 'update_projects_from_excel' AND ok THEN coalesce(json_extract_string(raw, '$.file_path'), '')
+           ELSE '' END AS file_path,
+      CASE WHEN name IN ('recommend_projects', 'update_projects_from_excel') THEN ''
+           ELSE {_text(fixed.UNKNOWN_TOOL)} || name END AS reply,
+      CASE WHEN NOT asks THEN -1 WHEN ok
+        THEN coalesce(trunc(TRY_CAST(json_extract_string(raw, '$.max_results') AS DOUBLE))::INT, {fixed.DEFAULT_RESULTS})
+        ELSE {fixed.DEFAULT_RESULTS} END AS max_results FROM j""",
     "context_window": _windows(10),
     "context_window_short": _windows(3),
     "json_result": """
     SELECT o_orderkey AS "orderKey", to_json({'orderKey': o_orderkey, 'orderStatus': o_orderstatus,
       'priority': o_orderpriority})::VARCHAR AS json FROM orders""",
     "batch_files": """
-    SELECT p_partkey::VARCHAR AS project_code, p_name AS project_name, p_type AS kind FROM part""",
+    SELECT p_partkey::VARCHAR AS project_code, p_name AS project_name,
+      CASE WHEN p_partkey % 4 = 2 THEN '' ELSE p_type END AS kind,
+      CASE WHEN p_partkey % 4 = 2 THEN 'project_code project_name' ELSE 'kind project_code project_name' END AS present,
+      '' AS problem FROM part WHERE p_partkey % 4 <> 3
+    UNION ALL SELECT '', '', '', '', 'required columns are missing: project_code'""",
 }

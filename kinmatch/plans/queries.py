@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +54,12 @@ def vector_knn_batch(spark, sf):
 
 @query
 def vector_knn_signed(spark, sf):
-    """Nearest neighbours among vectors of which some are turned round, zero or not numbers."""
+    """Nearest neighbours among vectors turned round, zero, not numbers, huge or tiny."""
     factor = (
         F.when(F.col("vec_id") % 11 == 5, F.lit(float("nan")))
-        .when(F.col("vec_id") % 5 == 0, 0.0).when(F.col("vec_id") % 5 == 1, -1.0).otherwise(1.0)
+        .when(F.col("vec_id") % 5 == 0, 0.0).when(F.col("vec_id") % 5 == 1, -1.0)
+        .when(F.col("vec_id") % 13 == 3, 2.0**700).when(F.col("vec_id") % 13 == 4, 2.0**-700)
+        .otherwise(1.0)
     )
     vecs = read_table(spark, sf, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x * factor).alias("embedding")
@@ -307,19 +305,7 @@ def record_stats(spark, sf):
 
 @query
 def stats_document(spark, sf):
-    document = stats.stats_document(_document_stats(spark, sf))
-    return document.select(
-        *[
-            F.get_json_object("document", f"$.{path}").cast("long").alias(name)
-            for path, name in {
-                "totalProjects": "total",
-                "withEmbedding": "filled",
-                "industryDistribution.src3": "src3",
-                "gradeDistribution.en": "en",
-                "gradeDistribution.xx": "xx",
-            }.items()
-        ]
-    )
+    return stats.stats_document(_document_stats(spark, sf))
 
 
 # --- embedding -------------------------------------------------------------------------
@@ -368,7 +354,7 @@ def embed_store_stats(spark, sf):
 def embed_store_extend(spark, sf):
     docs = read_spread(spark, sf, "documents")
     fresh = embedding.new_store_rows(
-        docs, _labelled_store(spark, sf), text_col="text",
+        docs, _labelled_store(spark, sf), text_col="text", key_col="doc_id",
         model=embedding.hashed_terms(SIZE), size=SIZE,
     )
     return fresh.select(
@@ -382,29 +368,43 @@ def embed_store_lookup(spark, sf):
     found = embedding.with_stored_vectors(
         docs.select("doc_id", "text"), _labelled_store(spark, sf), text_col="text"
     )
-    return found.select("doc_id", F.col("embedding").isNotNull().alias("stored"))
+    return found.select(
+        "doc_id", F.col("embedding").isNotNull().alias("stored"),
+        vectors.squared_norm(F.col("embedding")).cast("long").alias("squared_norm"),
+    )
+
+
+def _half_filled(spark, sf) -> DataFrame:
+    """Documents of which those with a vector in ``embeddings`` have it as its rounded multiples."""
+    docs = _documents_with_vectors(spark, sf, read_spread)
+    whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("float"))
+    return docs.withColumn("embedding", whole)
+
+
+def _checksum(vector: Column) -> Column:
+    weighted = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
+    return F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x).cast("long")
 
 
 @query
 def embed_backfill(spark, sf):
-    before = _documents_with_vectors(spark, sf, read_spread)
+    """Vectors of all documents, each missing text embedded once or taken from the store."""
+    model = embedding.hashed_terms(64)
+    docs = _half_filled(spark, sf)
+    labelled = docs.join(read_table(spark, sf, "labels"), "doc_id", "left_semi")
+    empty = spark.createDataFrame([], "text_sha string, embedding array<float>")
+    content = tx.embedding_text(F.col("text"), F.col("source"))
+    store = embedding.new_store_rows(
+        labelled.withColumn("content", content), empty, text_col="content", key_col="doc_id",
+        model=model, size=64,
+    ).select("text_sha", "embedding")
     after = embedding.backfill(
-        before, key_col="doc_id", text_cols=["text", "source"],
-        model=embedding.hashed_terms(64), size=64,
+        docs, key_col="doc_id", text_cols=["text", "source"], model=model, size=64, store=store
+    )
+    return after.select(
+        "doc_id", F.size("embedding").cast("long").alias("size"),
+        _checksum(F.col("embedding")).alias("checksum"), F.coalesce("error", F.lit("")).alias("error"),
     )
-    failed = F.count("error").alias("failed")
-    status = [
-        embedding.embedding_status(before).withColumns(
-            {"phase": F.lit("before"), "failed": F.lit(0).cast("long")}
-        ),
-        after.agg(
-            F.count(F.lit(1)).alias("total"),
-            F.count("embedding").alias("with_embedding"),
-            (F.count(F.lit(1)) - F.count("embedding")).alias("without_embedding"),
-            failed,
-        ).withColumn("phase", F.lit("after")),
-    ]
-    return status[0].unionByName(status[1])
 
 
 @query
@@ -416,11 +416,14 @@ def attach_vectors(spark, sf):
         ),
         key_col="doc_id", text_col="text", model=embedding.hashed_terms(64), size=64,
     )
-    base = _documents_with_vectors(spark, sf).withColumn("updated_at", F.lit(0).cast("long"))
+    base = _half_filled(spark, sf).withColumn("updated_at", F.lit(0).cast("long"))
     after = embedding.attach_vectors(
         base, fresh, key_col="doc_id", updated_col="updated_at", run_time=F.lit(1).cast("long")
     )
-    return after.select("doc_id", F.col("embedding").isNotNull().alias("filled"), "updated_at")
+    return after.select(
+        "doc_id", F.col("embedding").isNotNull().alias("filled"),
+        _checksum(F.col("embedding")).alias("checksum"), "updated_at",
+    )
 
 
 # --- recommendation --------------------------------------------------------------------
@@ -574,15 +577,19 @@ def upsert_merged(spark, sf):
     )
 
 
+def _part_run(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A whole upsert run over parts with old vectors; long texts can't be embedded."""
+    part = read_table(spark, sf, "part")
+    base = part.withColumn("embedding", F.array(F.lit(-1.0).cast("float")))
+    return upsert.upserted(
+        base, part_batch(part), PART_UPSERT, text_cols=["p_name", "p_brand", "p_type"],
+        model=_short_texts_only(embedding.hashed_terms(64), 26), size=64,
+    )
+
+
 @query
 def upsert_reembedded(spark, sf):
-    part, changes = _part_changes(spark, sf)
-    base = part.withColumn("embedding", F.lit(None).cast("array<float>"))
-    merged = upsert.merged_records(base, changes, PART_UPSERT)
-    after = upsert.reembedded(
-        merged, PART_UPSERT, text_cols=["p_name", "p_brand", "p_type"],
-        model=embedding.hashed_terms(64), size=64,
-    )
+    after = _part_run(spark, sf)[0]
     return after.select(
         "p_partkey",
         F.aggregate(
@@ -595,11 +602,10 @@ def upsert_reembedded(spark, sf):
 
 @query
 def upsert_summary(spark, sf):
-    summary = upsert.upsert_summary(_part_changes(spark, sf)[1], PART_UPSERT)
-    return summary.select(
-        "inserted_count", "updated_count", "skipped_count", "error_count", "message",
-        joined("inserted_ids").alias("inserted_ids"), joined("updated_ids").alias("updated_ids"),
-        "inserted_more", "updated_more",
+    """Summary, counts, and every inserted, updated and failed row with its id and errors."""
+    return _part_run(spark, sf)[1].select(
+        "section", F.coalesce("row_no", F.lit(0).cast("long")).alias("row_no"),
+        F.coalesce("id", F.lit("")).alias("id"), F.coalesce("message", F.lit("")).alias("message"), "n",
     )
 
 
@@ -723,20 +729,24 @@ def request_validation(spark, sf):
 
 @query
 def tool_args(spark, sf):
+    """A log of tool calls: known, unknown and missing names, arguments of every shape."""
     events = read_table(spark, sf, "events")
+    kind, user, number = F.col("event_type"), F.col("user_id").cast("string"), (F.col("event_id") % 20).cast("string")
+    name = (
+        F.when(kind == "purchase", "update_projects_from_excel").when(kind == "error", F.concat(F.lit("find"), number))
+        .when(kind != "signup", "recommend_projects")
+    )
     raw = (
-        F.when(F.col("event_type") == "error", F.concat(F.lit("find "), "props"))
-        .when(
-            F.col("event_type") == "click",
-            F.concat(F.lit('{"query": "click '), F.col("user_id").cast("string"),
-                     F.lit('", "max_results": '), (F.col("event_id") % 20).cast("string"), F.lit("}")),
-        )
-        .when(F.col("event_type") == "view", F.lit('{"query": "seen"}'))
+        F.when((kind == "error") | (F.col("event_id") % 7 == 0), F.concat(F.lit("find "), "props"))
+        .when(kind == "click", F.concat(F.lit('{"query": ["click", '), user, F.lit('], "max_results": "'), number, F.lit('"}')))
+        .when((kind == "view") & (F.col("event_id") % 3 == 0), F.concat(F.lit('{"query": '), user, F.lit(', "max_results": '), number, F.lit(".75}")))
+        .when(kind == "view", F.lit('{"query": "seen", "max_results": "many"}'))
+        .when(kind == "purchase", F.concat(F.lit('{"file_path": "/in/'), number, F.lit('.xlsx", "query": null}')))
         .otherwise(F.col("props"))
     )
-    return events.select("event_id", chat.tool_arguments(raw).alias("args")).select(
-        "event_id", "args.query", "args.max_results"
-    )
+    calls = events.select("event_id", chat.tool_call(name, raw).alias("call"))
+    return calls.select("event_id", *[F.coalesce(f"call.{c}", F.lit("")).alias(c) for c in ("name", "query", "file_path", "reply")],
+                        F.coalesce("call.max_results", F.lit(-1)).alias("max_results"))
 
 
 def _windows(spark, sf, size):
@@ -779,14 +789,27 @@ def json_result(spark, sf):
 
 @query
 def batch_files(spark, sf):
-    """Parts written as delimited files with an untidy header and read back as a batch."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder = os.path.join(shared, f"batch-files-{uuid.uuid4().hex}")
-    part = read_table(spark, sf, "part").select(
-        F.col("p_partkey").alias(" Project_Code"), F.col("p_name").alias("PROJECT_NAME "),
-        F.col("p_type").alias("Kind"),
-    )
-    part.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
-        "ignoreTrailingWhiteSpace", False
-    ).csv(folder)
-    return batches.read_batch(spark, folder, ".csv").select("project_code", "project_name", "kind")
+    """Parts in delimited files of three headers and one that can't be used, read as a batch."""
+    folder = tables.new_folder(spark, "batch-files")
+    part = read_table(spark, sf, "part")
+    key, name, kind = F.col("p_partkey"), F.col("p_name"), F.col("p_type")
+    headers = [
+        [key.alias(" Project_Code"), name.alias("PROJECT_NAME "), kind.alias("Kind")],
+        [kind.alias("KIND"), name.alias("project_name"), key.alias("Project_Code ")],
+        [name.alias("Project_Name"), key.alias("project_code")],
+        [kind.alias("kind"), name.alias("project_name")],
+    ]
+    for number, columns in enumerate(headers):
+        rows = part.filter(key % 4 == number).coalesce(1 if number == 3 else 2)
+        rows.select(*columns).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False
+        ).csv(f"{folder}/{number}")
+    rows, problems = batches.read_delimited(spark, f"{folder}/*")
+    return rows.select(
+        "project_code", "project_name", F.coalesce("kind", F.lit("")).alias("kind"),
+        joined(F.array_sort("present")).alias("present"), F.lit("").alias("problem"),
+    ).unionByName(
+        problems.select(
+            *[F.lit("").alias(c) for c in ("project_code", "project_name", "kind", "present")], "problem"
+        )
+    )

@@ -1,20 +1,26 @@
 """Batch files for the upsert: delimited, JSON, Parquet and spreadsheet folders.
 
 All values come as text. Column names are lower-cased and trimmed. ``row_no`` counts the
-rows of a file from 2, the first row below the header, as a spreadsheet shows it.
+rows of a file from 2, the first row below the header, as a spreadsheet shows it. Files of one
+folder may have other columns, in another order: delimited files are read by their own header,
+``present`` says which columns a row's file had, and files that can't be used are told apart.
 """
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 REQUIRED = ("project_code", "project_name")
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".xlsx": "xlsx"}
@@ -38,25 +44,25 @@ def check_required(columns: Sequence[str], required: Sequence[str] = REQUIRED) -
 def read_batch(
     spark: SparkSession, path: str, suffix: str, required: Sequence[str] = REQUIRED
 ) -> DataFrame:
-    """A file or folder of files with one header: text columns plus ``file``, ``row_no``."""
+    """A file or folder of files: text columns plus ``file``, ``row_no``; csv also ``present``.
+
+    Raises BatchError where nothing can be used. Of a csv folder the usable files are read;
+    ``read_delimited`` also tells why others aren't.
+    """
     kind = FORMATS.get(suffix.lower())
     if kind is None:
         raise BatchError(f"unsupported file type: {suffix}")
     _check_exists(spark, path)
     if kind == "xlsx":
-        cells = read_workbooks(spark, path)
-        return cells
-    reader = spark.read
+        return read_workbooks(spark, path)
     if kind == "csv":
-        # a file whose header differs from the first one's is refused, not read by position
-        df = (
-            reader.option("header", True).option("enforceSchema", False)
-            .option("multiLine", True).option("escape", '"').csv(path)
-        )
-    elif kind == "json":
-        df = reader.option("primitivesAsString", True).json(path)
-    else:
-        df = reader.parquet(path)
+        rows, problems = read_delimited(spark, path, required)
+        if rows is None:
+            said = [f"{r.file}: {r.problem}" for r in problems.orderBy("file").limit(10).collect()]
+            raise BatchError("; ".join(said) or f"no files: {path}")
+        return rows
+    reader = spark.read
+    df = reader.option("primitivesAsString", True).json(path) if kind == "json" else reader.parquet(path)
     names = [c.lower().strip() for c in df.columns]
     check_required(names, required)
     texts = df.select(
@@ -66,11 +72,96 @@ def read_batch(
     return with_row_numbers(texts, "file")
 
 
+# --- delimited files ----------------------------------------------------------------
+
+
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header, folded) per file: its first line, and whether a cell holds a line break.
+
+    A line with an odd number of quotes opens a cell that goes on in the next line. Files
+    without a line have a NULL header. One pass over the lines; counts combine before the
+    shuffle, and a file may be cut into any number of splits.
+    """
+    text = spark.read.text(path)
+    # the listing also has files without a byte; it writes a scheme without host as file:///
+    names = [(re.sub(r"^(\w+):///", r"\1:/", f),) for f in text.inputFiles()]
+    files = spark.createDataFrame(names, "file string")
+    lines = text.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("place"),
+        "value",
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    first = lines.groupBy("file").agg(
+        F.min_by("value", "place").alias("header"), F.bool_or(quotes % 2 == 1).alias("folded")
+    )
+    return files.join(first, "file", "left")
+
+
+def _as_path(uri: str) -> str:
+    """What a reader takes for exactly this file."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(uri))
+
+
+def _names_of(header: str | None) -> list[str]:
+    cells = next(csv.reader([(header or "").removeprefix("\ufeff")]), [])
+    return [c.lower().strip() for c in cells]
+
+
+def _header_problem(names: Sequence[str], required: Sequence[str]) -> str | None:
+    named = [n for n in names if n]
+    if not named:
+        return "no header"
+    repeated = sorted({n for n in named if named.count(n) > 1})
+    if repeated:
+        return f"columns are named twice: {', '.join(repeated)}"
+    try:
+        check_required(named, required)
+    except BatchError as problem:
+        return str(problem)
+    return None
+
+
+def read_delimited(
+    spark: SparkSession, path: str, required: Sequence[str] = REQUIRED
+) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of the usable files, (file, problem) of the others); no usable file gives None.
+
+    Files are grouped by their header, and each group is read with the names of its own
+    columns; only groups with line breaks inside cells are read a file a task. The list of
+    files is held on the driver, as Spark's own listing is.
+    """
+    groups: dict[tuple, list[str]] = {}
+    problems = []
+    for row in file_headers(spark, path).collect():
+        names = _names_of(row.header)
+        problem = _header_problem(names, required)
+        if problem:
+            problems.append((row.file, problem))
+        else:
+            groups.setdefault((tuple(names), row.folded), []).append(row.file)
+    rows = None
+    for (names, folded), files in sorted(groups.items()):
+        # a column without a name is read and left out
+        places = [n or f"\0{i}" for i, n in enumerate(names)]
+        schema = StructType([StructField(n, StringType()) for n in places])
+        table = (
+            spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+            .option("multiLine", folded).option("escape", '"').csv([_as_path(f) for f in files])
+        )
+        kept = [n for n in names if n]
+        texts = table.select(*[F.col(f"`{n}`") for n in kept], F.col("_metadata.file_path").alias("file"))
+        part = with_row_numbers(texts, "file").withColumn("present", F.array(*[F.lit(n) for n in kept]))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    return rows, spark.createDataFrame(problems, "file string, problem string")
+
+
 def _check_exists(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    if not hadoop_path.getFileSystem(conf).globStatus(hadoop_path):
+    try:
+        empty = spark.read.format("binaryFile").load(path).select("path").isEmpty()
+    except AnalysisException as problem:
+        raise BatchError(f"file not found: {path}") from problem
+    if empty:
         raise BatchError(f"file not found: {path}")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -52,18 +54,34 @@ def publish(df: DataFrame, root: str) -> str:
     return path
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Written to the cluster's shared checkpoint folder and read back, when it has one.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    For tables used several times: they are not computed again, a lost executor costs
-    nothing, and the planner knows their size. Without such a folder Spark recomputes.
+    A local session without the setting gets a temporary folder; a cluster must name one,
+    since executors don't see what others write to their own disks.
     """
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df
-    path = f"{folder}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="kinmatch-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Written to the shared folder and read back.
+
+    For tables used several times: they are computed once, a lost executor costs nothing,
+    and the planner knows their size.
+    """
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:

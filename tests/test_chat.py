@@ -50,10 +50,35 @@ def test_routes(spark):
 
 
 def test_arguments(spark):
-    raw = ['{"query": "q", "max_results": 3}', '{"query": "q"}', "plain", '{"max_results": 2}', None, "{broken"]
-    rows = spark.createDataFrame([(i, a) for i, a in enumerate(raw)], "i int, a string")
+    cases = {
+        '{"query": "q", "max_results": 3}': ("q", 3, ""), '{"query": "q"}': ("q", 5, ""),
+        "plain": ("plain", 5, ""), '{"max_results": 2}': ("", 2, ""), None: ("", 5, ""),
+        "{broken": ("{broken", 5, ""), '{"query": 7, "max_results": "4"}': ("7", 4, ""),
+        '{"query": ["a", {"b": 1}], "max_results": 2.9}': ('["a",{"b":1}]', 2, ""),
+        '{"query": null, "max_results": null, "file_path": "/x y"}': ("", 5, "/x y"),
+        '{"query": true, "max_results": "many"}': ("true", 5, ""), '{"max_results": 1e20}': ("", 5, ""),
+        '["a"]': ("", 5, ""), "7": ("", 5, ""), "null": ("", 5, ""), "": ("", 5, ""),
+        '{"query": "", "max_results": -3}': ("", -3, ""),
+    }
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(cases)], "i int, a string")
     got = [tuple(r[0]) for r in rows.orderBy("i").select(chat.tool_arguments(F.col("a"))).collect()]
-    assert got == [("q", 3), ("q", 5), ("plain", 5), ("", 2), ("", 5), ("{broken", 5)]
+    assert dict(zip(cases, got)) == cases
+
+
+def test_calls_are_dispatched_by_name(spark):
+    given = [
+        ("recommend_projects", '{"query": "q", "file_path": "/f"}'), ("update_projects_from_excel", '{"file_path": "/f"}'),
+        ("other", '{"query": "q"}'), (None, "text"), ("recommend_projects", None),
+    ]
+    rows = spark.createDataFrame([(i, *g) for i, g in enumerate(given)], "i int, n string, a string").orderBy("i")
+    got = [tuple(r[0]) for r in rows.select(chat.tool_call(F.col("n"), F.col("a"))).collect()]
+    unknown = "알 수 없는 도구: "
+    assert got == [
+        ("recommend_projects", "q", 5, None, None), ("update_projects_from_excel", None, None, "/f", None),
+        ("other", None, None, None, unknown + "other"), ("", None, None, None, unknown), ("recommend_projects", "", 5, None, None),
+    ]
+    own = chat.tool_call(F.col("n"), F.col("a"), {"other": ["query"]})
+    assert [r[0].query for r in rows.select(own).collect()] == [None, None, "q", None, None]
 
 
 def test_request_problems(spark):

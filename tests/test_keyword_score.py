@@ -148,3 +148,34 @@ def test_routing_limits_and_documents(spark, data):
     assert full["totalResults"] == 5 and "message" not in full
     first = full["recommendations"][0]
     assert first["projectCode"].startswith("P") and first["score"] == round(first["score"], 2)
+
+
+def test_a_fickle_model_neither_loses_nor_doubles_a_request(spark):
+    """The model refuses at random whenever it is asked; each request takes one path."""
+    import random
+
+    from kinmatch.operators import embedding, recommend
+
+    def factory():
+        def embed(texts):
+            if random.SystemRandom().random() < 0.5:
+                raise RuntimeError("busy")
+            return [[1.0, len(t)] for t in texts]
+
+        return embed
+
+    records = spark.createDataFrame(
+        [(i, f"solar plant number {i}", [1.0, float(i)]) for i in range(8)], "id long, title string, embedding array<float>"
+    )
+    asked = spark.createDataFrame([(i, f"solar plant {i}") for i in range(60)], "q long, prompt string").repartition(12)
+    requests = recommend.prepared_requests(asked, query_col="q", prompt_col="prompt")
+    requests = embedding.embed(
+        requests, key_col="q", text_col="prompt", model=factory, size=2, rows_per_call=1,
+        keep=["prompt", "extracted", "keywords", "limit", "problem"],
+    )
+    columns = recommend.RecordColumns(key="id", title="title", match=["title"], score=["title"])
+    hits = recommend.recommend(requests, records, columns, query_col="q", prompt_col="prompt")
+    paths = hits.select("q", "path").distinct().groupBy("path").count()
+    found = {r.path: r["count"] for r in paths.collect()}
+    assert sum(found.values()) == 60 and set(found) == {"vector", "keyword"}
+    assert hits.groupBy("q").count().filter("count != 5").count() == 0

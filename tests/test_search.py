@@ -17,13 +17,11 @@ def brute(keyword):
     )
 
 
-@pytest.mark.parametrize("path", ["literal", "scan", "probe", "probe large"])
+@pytest.mark.parametrize("path", ["literal", "words", "probe"])
 def test_all_paths_agree(spark, monkeypatch, path):
     if path != "literal":
         monkeypatch.setattr(search, "LITERAL_KEYWORDS", 0)
-    if path.startswith("probe"):
-        monkeypatch.setattr(search, "SCANNED_KEYWORDS", 0)
-    if path == "probe large":
+    if path == "probe":
         monkeypatch.setattr(search, "BROADCAST_KEYWORDS", 0)
     records = spark.createDataFrame(RECORDS, "id int, a string, b string, t int")
     keywords = spark.createDataFrame([(k,) for k in KEYWORDS], "k string")
@@ -42,10 +40,12 @@ def test_all_paths_agree(spark, monkeypatch, path):
     assert best == [(5, 1), (2, 2)]
 
 
-@pytest.mark.parametrize("probe", [False, True])
-def test_wildcards(spark, monkeypatch, probe):
-    if probe:
-        monkeypatch.setattr(search, "SCANNED_KEYWORDS", 0)
+@pytest.mark.parametrize("path", ["literal", "words", "probe"])
+def test_wildcards(spark, monkeypatch, path):
+    if path != "literal":
+        monkeypatch.setattr(search, "LITERAL_KEYWORDS", 0)
+    if path == "probe":
+        monkeypatch.setattr(search, "BROADCAST_KEYWORDS", 0)
     records = spark.createDataFrame(RECORDS, "id int, a string, b string, t int")
     keywords = spark.createDataFrame([("e_p%mod",), ("%",), ("\\%",)], "k string")
     found = search.search_keywords(
@@ -57,6 +57,23 @@ def test_wildcards(spark, monkeypatch, probe):
     assert got == {"e_p%mod": {1}, "%": {1, 2, 3, 4, 5, 6}, "\\%": {2}}
 
 
+def test_many_keywords_by_brute_force(spark, sf):
+    """Every word and some parts of words of the benchmark, in whole documents, without Python."""
+    records = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    keywords = items.select(F.explode(F.split("text", " ")).alias("k")).distinct()
+    keywords = keywords.unionByName(keywords.select(F.substring("k", 2, 4).alias("k"))).distinct()
+    found = search.search_keywords(
+        keywords, records, keyword_col="k", search_cols=["text", "source"], key_col="doc_id"
+    ).select("k", "doc_id")
+    text = plan(found)
+    assert "Python" not in text and "MapInArrow" not in text
+    rows = [(r.doc_id, [(c or "").lower() for c in (r.text, r.source)]) for r in records.collect()]
+    want = {(k.k, i) for k in keywords.collect() for i, cells in rows if any(k.k.lower() in c for c in cells)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_lookup_and_filter(spark):
     records = spark.createDataFrame(RECORDS, "id int, a string, b string, t int")
     keys = spark.createDataFrame([(2,), (99,), (2,)], "id int")

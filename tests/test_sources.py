@@ -102,11 +102,52 @@ def test_delimited_rows_are_numbered_per_file(spark, tmp_path):
     assert df.count() == 3005
 
 
-def test_another_column_order_is_refused(spark, tmp_path):
+def test_files_are_read_by_their_own_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("project_code,project_name\nP1,One\n")
-    (tmp_path / "b.csv").write_text("project_name,project_code\nTwo,P2\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        batches.read_batch(spark, str(tmp_path), ".csv").collect()
+    (tmp_path / "b.csv").write_text("\ufeffPROJECT_NAME ,Grade_Code, project_code\nTwo,A,P2\n,,\n")
+    (tmp_path / "c.csv").write_text('project_name,project_code\n"Three, ""3""\nlines",P3\nFour,P4\n')
+    (tmp_path / "d.csv").write_text("project_name,grade_code\nFive,B\n")
+    (tmp_path / "e.csv").write_text("project_code,project_name,Project_Code\nP6,Six,P6\n")
+    (tmp_path / "f.csv").write_text("")
+    (tmp_path / "g.csv").write_text("project_code,,project_name\nP7,x,Seven\nP8\n")
+    (tmp_path / "h [1] é%20{x}.csv").write_text("project_code,project_name\nP9,Nine\n")
+    rows, problems = batches.read_delimited(spark, str(tmp_path))
+    got = {(r.file[-5:], r.row_no): (r.project_code, r.project_name, r.grade_code, sorted(r.present)) for r in rows.collect()}
+    two, three = ["project_code", "project_name"], ["grade_code", "project_code", "project_name"]
+    assert got == {
+        ("a.csv", 2): ("P1", "One", None, two), ("b.csv", 2): ("P2", "Two", "A", three),
+        ("b.csv", 3): (None, None, None, three), ("c.csv", 2): ("P3", 'Three, "3"\nlines', None, two),
+        ("c.csv", 3): ("P4", "Four", None, two), ("g.csv", 2): ("P7", "Seven", None, two), ("g.csv", 3): ("P8", None, None, two),
+        ("D.csv", 2): ("P9", "Nine", None, two),
+    }
+    why = {r.file[-5:]: r.problem for r in problems.collect()}
+    assert set(why) == {"d.csv", "e.csv", "f.csv"}
+    assert "project_code" in why["d.csv"] and "twice" in why["e.csv"] and why["f.csv"] == "no header"
+    plans = rows._jdf.queryExecution().executedPlan().toString()
+    assert "multiLine" not in plans or plans.count("FileScan csv") >= 3
+
+
+def test_files_apply_one_after_the_other(spark, tmp_path):
+    """The same key in two files of other headers: later files see what earlier ones wrote."""
+    (tmp_path / "1.csv").write_text("project_code,project_name,grade_code\nP1,One,A\n")
+    (tmp_path / "2.csv").write_text("project_name,project_code\nOne b,P1\nTwo,P2\n")
+    batch = batches.read_batch(spark, str(tmp_path), ".csv")
+    spec = upsert.UpsertSpec(**{**PROJECT_UPSERT.__dict__, "present_col": "present", "file_col": "file"})
+    base = spark.createDataFrame([], PROJECT_SCHEMA)
+    changes = upsert.upsert_changes(base, batch, spec)
+    got = sorted((r.file[-5:], r.row_no, r.action) for r in changes.collect())
+    assert got == [("1.csv", 2, "inserted"), ("2.csv", 2, "updated"), ("2.csv", 3, "inserted")]
+    merged = upsert.merged_records(base, changes, spec, run_time=F.current_timestamp())
+    assert {r.project_code: (r.project_name, r.grade_code) for r in merged.collect()} == {"P1": ("One b", "A"), "P2": ("Two", None)}
+
+
+def test_a_folder_without_a_usable_file_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name\nx\n")
+    with pytest.raises(batches.BatchError, match="required columns"):
+        batches.read_batch(spark, str(tmp_path), ".csv")
+    with pytest.raises(batches.BatchError, match="not found"):
+        batches.read_batch(spark, str(tmp_path / "nothing"), ".csv")
+
 
 
 def test_row_numbers_across_tasks(spark):

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from conftest import plan
 from pyspark.sql import functions as F
 
 from kinmatch.operators import upsert
@@ -215,3 +216,66 @@ def test_keys_and_values_take_the_types_of_the_base(spark):
     }
     merged = upsert.merged_records(base, changes, spec)
     assert sorted((r.id, r.name, r["size"]) for r in merged.collect()) == [(7, "new", 2), (9, "z", 3)]
+
+
+def test_a_hot_key_is_dealt_by_segment(spark, monkeypatch):
+    """A key with a third of the rows: its rows spread, and each sees what came before it."""
+    monkeypatch.setattr(upsert, "SMALL_BATCH", 0)
+    monkeypatch.setattr(upsert, "SEGMENT_ROWS", 10_000)
+    base = spark.createDataFrame([("hot", "n0", None), ("b", "x", None)], "id string, name string, kind string")
+    rows = spark.range(300_000).select(
+        (F.col("id") + 2).alias("row_no"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("id"),
+        F.when((F.col("id") % 3 == 0) & (F.col("id") % 90_000 != 0), None).otherwise(F.concat(F.lit("n"), F.col("id"))).alias("name"),
+        F.lit("z").alias("kind"),
+    )
+    spec = upsert.UpsertSpec(key_col="id", name_col="name", fields=["name", "kind"])
+    changes = upsert.upsert_changes(base, rows, spec)
+    text = plan(changes)
+    for line in text.splitlines():
+        if "hashpartitioning(_group" in line and "_segment" not in line:
+            # only tables with a row per key and segment go by key alone
+            assert "row_no" not in line
+    assert "hashpartitioning(_group" in text.replace("#", " #").replace(" #", "#") and "_segment" in text
+    hot = {r.row_no - 2: r for r in changes.filter("id = 'hot'").select("row_no", "action", "changed_fields").collect()}
+    assert len(hot) == 100_000 and all(r.action == "updated" for r in hot.values())
+    # an empty name keeps what the last named row set, segments earlier
+    for i in (0, 3, 89_997, 90_000, 90_003, 270_003, 299_997):
+        last = "n0" if i == 0 else f"n{(i - 1) // 90_000 * 90_000}"
+        shown = f"n{i}" if i % 90_000 == 0 else "None"
+        wanted = [] if last == shown else [f"name: '{last}' → '{shown}'"]
+        assert [c for c in hot[i].changed_fields if c.startswith("name")] == wanted, i
+    parts = changes.select("id", F.spark_partition_id().alias("p")).filter("id = 'hot'").groupBy("p").count().collect()
+    assert max(r["count"] for r in parts) < 60_000
+
+
+def test_the_complete_result_of_a_run(spark):
+    """Every id and error beside the summary; a failed embedding counts once, at the last row."""
+    base = spark.createDataFrame(
+        [("a", "one", [1.0]), ("b", "two", [2.0])], "project_code string, project_name string, embedding array<float>"
+    )
+    given = [(2, "a", "one!"), (3, "c", "bad"), (4, "b", "two"), (5, None, "x"), (6, "b", "bad"), (7, "b", "bad two")]
+    given += [(10 + i, f"n{i}", f"name {i}") for i in range(30)]
+    batch = spark.createDataFrame(given, "row_no long, project_code string, project_name string")
+    def factory():
+        def embed(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("refused")
+            return [[len(t)] for t in texts]
+
+        return embed
+
+    records, result = upsert.upserted(base, batch, SPEC, text_cols=["project_name"], model=factory, size=1)
+    rows = [tuple(r) for r in result.select("section", "row_no", "id", "message", "n").collect()]
+    counts = {r[2]: r[4] for r in rows if r[0] == "count"}
+    assert counts == {"inserted": 30, "updated": 2, "skipped": 1, "error": 3}
+    (summary,) = [r for r in rows if r[0] == "summary"]
+    assert summary[4] == 36 and "30" in summary[3]
+    assert sorted(r[1:3] for r in rows if r[0] == "inserted") == sorted((10 + i, f"n{i}") for i in range(30))
+    assert sorted(r[1:3] for r in rows if r[0] == "updated") == [(2, "a"), (6, "b")]
+    assert sorted(r[1:4] for r in rows if r[0] == "error") == [
+        (3, "c", "refused"), (5, None, "row 5: key is blank"), (7, "b", "refused"),
+    ]
+    kept = {r.project_code: (r.project_name, r.embedding, r.embed_error) for r in records.collect()}
+    assert kept["b"] == ("bad two", [2.0], "refused") and kept["c"] == ("bad", None, "refused")
+    assert kept["a"] == ("one!", [4.0], None) and len(kept) == 33

@@ -172,3 +172,59 @@ def test_vectors_without_direction_rank_last_in_every_path(spark, monkeypatch, b
         monkeypatch.setattr(vector_search, "BROADCAST_QUERIES", 1)
     asked = vecs.withColumnRenamed("id", "q")
     assert ranked(nearest_batch(asked, vecs, query_col="q", key_col="id", k=k)) == want
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_huge_and_tiny_vectors_have_the_distance_of_their_direction(spark, monkeypatch, blocks):
+    rows = [(1, [1e200, 1e200]), (2, [1.0, 0.9]), (3, [-1.0, 0.0]), (4, [3e-200, 3e-200]), (5, [1e308, -1e308]), (6, [5e-324, 0.0])]
+    vecs = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(0, [1.0, 1.0]), (7, [2e200, 1e200])], "q long, embedding array<double>")
+    if blocks:
+        monkeypatch.setattr(vector_search, "BROADCAST_QUERIES", 1)
+    found = nearest_batch(asked, vecs, query_col="q", key_col="id", k=6)
+    assert ranked(found) == {0: [1, 4, 2, 6, 5, 3], 7: [2, 1, 4, 6, 5, 3]}
+    one = [(r.id, r.distance) for r in nearest(vecs, [1.0, 1.0], key_col="id", k=6).collect()]
+    assert one == [(r.id, r.distance) for r in found.filter("q = 0").orderBy("rank").collect()]
+    assert one[0][1] == pytest.approx(0, abs=1e-15) and one[2][1] == pytest.approx(1 - 1.9 / math.sqrt(2 * 1.81))
+
+
+def test_batch_search_starts_no_job_over_the_records(spark, vecs):
+    started = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    asked = spark.createDataFrame([(1, [1.0] * 6)], "q long, embedding array<float>")
+    nearest_batch(asked, vecs, query_col="q", key_col="id", k=3)
+    # the queries are fetched, and no more
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - started <= 2
+
+
+def test_a_bad_text_costs_few_calls():
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        if any(t == "bad" for t in texts):
+            raise RuntimeError("refused")
+        return [[len(t)] for t in texts]
+
+    for at in (0, 511, 1023):
+        calls.clear()
+        texts = [f"t{i}" for i in range(1024)]
+        texts[at] = "bad"
+        got, errors = embedding._embed_texts(model, texts, 1)
+        assert [i for i, e in enumerate(errors) if e] == [at] and got[at] is None
+        assert len(calls) <= 21 and [len(t) for i, t in enumerate(texts) if i != at] == [int(v[0]) for v in got if v is not None]
+
+
+def test_only_keys_and_hashes_meet_the_store(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    store = docs.filter("doc_id % 5 = 0").select(embedding.content_key(F.col("text")).alias("text_sha")).distinct()
+    settled = []
+    original = embedding.settled
+    try:
+        embedding.settled = lambda df, name: settled.append(plan(df)) or original(df, name)
+        missing = embedding.texts_not_stored(docs, store, text_col="text", key_col="doc_id")
+    finally:
+        embedding.settled = original
+    exchanges = [line for line in settled[0].splitlines() if "Exchange" in line]
+    assert exchanges and "text#" not in settled[0].split("Exchange")[0].split("HashAggregate")[0]
+    old = embedding.texts_not_stored(docs, store, text_col="text")
+    assert sorted(map(tuple, missing.collect())) == sorted(map(tuple, old.collect()))
