@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 from kinmatch.llm import text as tx
 from kinmatch.llm.shared import fresh
 
-#: Units whose lattices a task remembers.
-REMEMBERED = 60_000
+#: Edges and units of the lattices that a task remembers (some 12 and 200 bytes each).
+REMEMBERED_EDGES = 2_000_000
+REMEMBERED_UNITS = 40_000
 #: Bytes of text that are cut at once.
 CHUNK_BYTES = 1 << 20
 #: Pieces that are decoded at once.
@@ -276,19 +277,29 @@ def with_bytes(pieces: np.ndarray, counts: np.ndarray, words: Vocabulary) -> tup
     return out, np.bincount(owner, width, minlength=len(counts)).astype(np.int64)
 
 
-def encoded(documents: DataFrame, words: Vocabulary, key_col="doc_id", text_col="text", pieces_col="pieces", seed=0) -> DataFrame:
-    """The table with a column of sampled piece ids; a column of that name is replaced."""
+def encoded(
+    documents: DataFrame, words: Vocabulary, key_col="doc_id", text_col="text", pieces_col="pieces", seed=0,
+    lossless_col: str | None = None,
+) -> DataFrame:
+    """The table with a column of sampled piece ids; a column of that name is replaced.
+
+    With ``lossless_col`` the pieces are decoded again in the same task, and that column says
+    whether they give back the text byte by byte.
+    """
     hash_col = fresh(documents, "_seed")
-    names = [c for c in documents.columns if c.lower() != pieces_col.lower()]
+    added = {pieces_col: T.ArrayType(T.IntegerType(), False)} | ({lossless_col: T.BooleanType()} if lossless_col else {})
+    names = [c for c in documents.columns if c.lower() not in {n.lower() for n in added}]
     at = names.index(text_col)
     rows = documents.select(*names, F.xxhash64(F.lit(seed), key_col).alias(hash_col))
-    schema = T.StructType([*documents.select(names).schema, T.StructField(pieces_col, T.ArrayType(T.IntegerType(), False))])
+    schema = T.StructType([*documents.select(names).schema, *(T.StructField(n, t) for n, t in added.items())])
+    shared = documents.sparkSession.sparkContext.broadcast(words)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         lattices = Lattices(words)
         for batch in batches:
             for part in tx.chunks(batch, at, CHUNK_BYTES):
-                if len(lattices.known) > REMEMBERED:
+                if len(lattices.known) > REMEMBERED_UNITS or lattices.piece.size > REMEMBERED_EDGES:
                     lattices.clear()
                 units = pc.split_pattern(pc.fill_null(part.column(at), ""), " ")
                 sizes = units.value_lengths().to_numpy()
@@ -302,8 +313,10 @@ def encoded(documents: DataFrame, words: Vocabulary, key_col="doc_id", text_col=
                 pieces, counts = with_bytes(pieces, counts, words)
                 stops = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
                 null = part.column(at).is_null()
-                column = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(pieces), mask=null)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], column], [*names, pieces_col])
+                columns = [pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(pieces), mask=null)]
+                if lossless_col:
+                    columns.append(same_texts(part.column(at), texts_in_parts(columns[0], words)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *columns], [*names, *added])
 
     return rows.mapInArrow(encode, schema)
 
@@ -321,18 +334,30 @@ def decoded_texts(pieces: pa.Array, words: Vocabulary) -> pa.Array:
     return pa.array([data[a + 1 : b].decode() if ok else None for a, b, ok in zip(bounds, bounds[1:], valid)], pa.string())
 
 
+def texts_in_parts(pieces: pa.Array, words: Vocabulary) -> pa.Array:
+    """``decoded_texts`` of so many rows at once as stay within ``DECODED_PIECES``."""
+    stops = np.cumsum(pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, at = [pa.array([], pa.string())], 0
+    while at < len(pieces):
+        before = stops[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(stops, before + DECODED_PIECES, "right")))
+        out.append(decoded_texts(pieces.slice(at, to - at), words))
+        at = to
+    return pa.concat_arrays(out)
+
+
+def same_texts(given: pa.Array, back: pa.Array) -> pa.Array:
+    """Whether two columns hold the same texts, null as null."""
+    both_null = pc.and_(given.is_null(), back.is_null())
+    return pc.or_(both_null, pc.fill_null(pc.equal(given, back.cast(given.type)), False))
+
+
 def decoded(rows: DataFrame, words: Vocabulary, pieces_col="pieces", text_col="text") -> DataFrame:
     """The table with the texts that its piece ids stand for."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
 
     @F.arrow_udf("string")
     def text_of(pieces: pa.Array) -> pa.Array:
-        stops = np.cumsum(pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        out, at = [pa.array([], pa.string())], 0
-        while at < len(pieces):
-            before = stops[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(stops, before + DECODED_PIECES, "right")))
-            out.append(decoded_texts(pieces.slice(at, to - at), words))
-            at = to
-        return pa.concat_arrays(out)
+        return texts_in_parts(pieces, shared.value)
 
     return rows.withColumn(text_col, text_of(pieces_col))
