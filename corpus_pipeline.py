@@ -40,12 +40,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids in place of texts, each checked to decode to its text."""
     words = pieces.Vocabulary(MODEL_FILE)
-    coded = pieces.encoded(docs.select("doc_id", "source", "lang", "text"), words)
-    coded = coded.withColumnRenamed("text", "given")
-    back = pieces.decoded(coded, words)
-    return back.select(
-        "doc_id", "source", "lang", F.size("pieces").cast("long").alias("n_pieces"), "pieces",
-        F.col("text").eqNullSafe(F.col("given")).alias("lossless"),
+    coded = pieces.encoded(docs.select("doc_id", "source", "lang", "text"), words, lossless_col="lossless")
+    return coded.select(
+        "doc_id", "source", "lang", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "lossless"
     )
 
 
