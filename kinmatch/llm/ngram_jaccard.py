@@ -41,8 +41,9 @@ from kinmatch.llm.shared import components, fresh, settled, small
 
 WORDS = 5
 #: Dimensions of the points of sets up to COARSE shingles, and of larger ones, whose counts say
-#: too little in few groups. Sets that can link with either kind have both points.
-GROUPS, FINE_GROUPS = 128, 2048
+#: too little in few groups. Sets that can link with either kind have both points. Coarse counts
+#: take a byte: with at most 1500 hashes in 256 groups none reaches 256 (as unlikely as a clash).
+GROUPS, FINE_GROUPS = 256, 2048
 COARSE = 1200
 #: Buckets of the corpus sketch that orders shingles, one byte each once it is broadcast.
 SKETCH_BITS = 22
@@ -130,7 +131,7 @@ def profiles(documents: DataFrame, order: np.ndarray, id_col: str, text_col: str
                     s2[i] = tx.mixed(own).sum().astype(signed)
                     counts = np.bincount((own >> np.uint64(53)).astype(np.int64), minlength=FINE_GROUPS)
                     coarse = counts.reshape(GROUPS, -1).sum(axis=1)
-                    points.append(coarse.astype(np.uint16).tobytes() if 4 * k <= 5 * COARSE else b"")
+                    points.append(np.minimum(coarse, 255).astype(np.uint8).tobytes() if 4 * k <= 5 * COARSE else b"")
                     fine.append(counts.astype(np.uint16).tobytes() if k > COARSE else b"")
                     first = k - (4 * k + 4) // 5 + 1 if k else 0
                     weight = order[own & mask].astype(np.uint64) << np.uint64(56) | own >> np.uint64(8)
@@ -362,10 +363,12 @@ def candidates(members: DataFrame, first: bool) -> DataFrame:
     ``members`` has the rows of ``blocks`` with ``point`` and ``label``. With ``first``, only
     the best partner of each class in a block; else all pairs whose labels differ.
     """
-    kind = members.schema["id"].dataType.simpleString()
+    id_kind = members.schema["id"].dataType.simpleString()
+    seen: set[int] = set()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
+        seen.clear()
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([rest, t]) if rest is not None else t
@@ -389,7 +392,8 @@ def candidates(members: DataFrame, first: bool) -> DataFrame:
             if len(rows) < 2:
                 continue
             kept = t.column(column).take(pa.array(rows)).combine_chunks()
-            points = np.frombuffer(b"".join(kept.to_pylist()), np.uint16).reshape(len(rows), -1)
+            kind = np.uint8 if column == "point" else np.uint16
+            points = np.frombuffer(b"".join(kept.to_pylist()), kind).reshape(len(rows), -1)
             # Pairs of two large sets are left to the fine points.
             most = COARSE if column == "point" else np.inf
             cuts = np.searchsorted(rows, starts)
@@ -433,15 +437,23 @@ def candidates(members: DataFrame, first: bool) -> DataFrame:
             yield from pairs(t, ids, s1, np.concatenate(out_i), np.concatenate(out_j))
 
     def pairs(t, ids, s1, i, j) -> Iterator[pa.RecordBatch]:
-        if len(i):
-            swap = (s1[i] > s1[j])
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
+        """Pairs that the task hasn't given out yet, told by a hash of both classes."""
+        swap = s1[i] > s1[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        names = tx.mixed(s1[i].astype(np.uint64) ^ tx.mixed(s1[j].astype(np.uint64) + np.uint64(1)))
+        _, at = np.unique(names, return_index=True)
+        at = at[np.fromiter((x not in seen for x in names[at].tolist()), bool, len(at))]
+        if len(at):
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.update(names[at].tolist())
+            i, j = i[at], j[at]
             yield pa.record_batch([ids.take(pa.array(i)), pa.array(s1[i]), ids.take(pa.array(j)), pa.array(s1[j])], ["a", "a1", "b", "b1"])
 
     return (
         members.repartition("block")
         .sortWithinPartitions("block", "side", "n", "s1")
-        .mapInArrow(join, f"a {kind}, a1 long, b {kind}, b1 long")
+        .mapInArrow(join, f"a {id_kind}, a1 long, b {id_kind}, b1 long")
         .distinct()
     )
 
