@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.llm import text as tx
@@ -77,12 +77,18 @@ def has_letters(texts: pa.Array) -> np.ndarray:
 
 
 def training_rows(documents: DataFrame, usable: Column, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """``(lang, draw, bits)`` of about so many texts of each language."""
+    """``(lang, draw, bits)`` of about so many texts of each language, at most twice as many.
+
+    Texts are drawn by id; where one id stands on many rows, those beyond the bound are cut by
+    the order of their draws.
+    """
     rows = documents.where(usable).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(7), id_col), 11) / F.lit(float(1 << 53))
     rows = rows.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
     rows = rows.join(small(counts, counts.count()), F.col("lang") == F.col("_lang")).where(F.col("draw") * F.col("_n") < per_language)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))
+    rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= 2 * per_language)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

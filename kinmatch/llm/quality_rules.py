@@ -3,19 +3,21 @@
 Two multinomials over hashed byte n-grams are counted on whole tables: one on the trusted
 target (documents labelled good), one on the raw corpus (every document). A document's score
 is the mean over its n-grams of log p_target - log p_raw, and a fixed threshold decides, so
-the same document with the same model always gets the same verdict.
+the same document with the same model always gets the same verdict. It is taken for n-grams of
+``order`` bytes and for single bytes, each with its own pair of multinomials and threshold.
 
 How often a language is labelled says nothing of its documents. So raw counts are weighted to
-the trusted mix: all documents of a language, and within it of each source of ``source_rows``
-rows or more, weigh as many bytes as the trusted ones among them. What is left in the score is
-how n-grams differ within such a group.
+the trusted mix: a language's documents weigh as many bytes as the trusted ones among them, and
+within it each source by its own share, which a small source shares with its language. What is
+left in the score is how n-grams differ within such a group. A language without trusted text
+weighs nothing among n-grams, where nothing is known of it, but as much as the corpus among
+single bytes: text in the letters of other languages stays, junk doesn't.
 
 Defined cases: a null or empty text has no words, fails the base rules and scores 0; a text
-shorter than one n-gram scores 0; a null id is an ordinary value; repeated rows are judged one
+shorter than one n-gram scores by its bytes; a null id is an ordinary value; repeated rows are judged one
 by one; without labels or documents every score is 0 (nothing is known, nothing is rejected);
-a document with contradicting labels isn't trusted; a group without trusted documents weighs
-nothing, so its own n-grams score 0 and those it shares count as elsewhere; a null language or
-source is a group like any other. Where a table has no language or source column, its rows are
+a document with contradicting labels isn't trusted; a null language or source is a group like
+any other. Where a table has no language or source column, its rows are
 not told apart by it. Other columns are never looked at.
 """
 
@@ -36,7 +38,7 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 SHAPE = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "llr double, base_failed boolean, kept boolean"
+    "llr double, byte_llr double, base_failed boolean, kept boolean"
 )
 
 
@@ -46,16 +48,24 @@ class Rules:
 
     ``order`` bytes make an n-gram, hashed to ``2 ** bits`` buckets. A mean log ratio under
     ``threshold`` (nats per n-gram) rejects: ordinary text scores around +0.1, text whose
-    n-grams the target lacks falls to -1 and far below.
+    n-grams the target lacks falls to -1 and far below. So does a mean over bytes under
+    ``byte_threshold``: text with a few letters the target lacks scores -0.7 to 0, junk -2.
     """
 
     order: int = 3
     bits: int = 16
     threshold: float = -0.25
+    byte_threshold: float = -1.0
     min_words: int = 20
     repeat_words: int = 8
     max_repeat_percent: int = 30
-    source_rows: int = 1000
+    source_bytes: int = 1 << 20
+    trust_bytes: int = 4096
+
+    @property
+    def width(self) -> int:
+        """Places of a model: buckets of n-grams, then bytes."""
+        return (1 << self.bits) + 256
 
 
 def ngrams(data: np.ndarray, bounds: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
@@ -93,19 +103,40 @@ def trusted_documents(documents: DataFrame, labels: DataFrame, id_col: str, text
 
 
 def weighted(rows: DataFrame, rules: Rules) -> DataFrame:
-    """Add ``weight``: the trusted share of the bytes of a row's group, in parts of ``UNIT``."""
+    """Add ``weight`` and ``plain``, what a row's n-grams and bytes count in the raw corpus.
+
+    Both in parts of ``UNIT``. For n-grams a language weighs by its share of trusted bytes, and a
+    source by its own, as if ``source_bytes`` more with the language's share belonged to it. For
+    bytes a language's share counts half at ``trust_bytes`` trusted bytes, the rest is the corpus's.
+    """
     size = F.octet_length(F.coalesce("text", F.lit("")))
     cells = rows.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.sum(F.when(F.col("good"), size).otherwise(0)).alias("trusted")
+        F.sum(size).alias("bytes"), F.sum(F.when(F.col("good"), size).otherwise(0)).alias("trusted")
     )
     cells = settled(cells, "cells")
-    share = F.round(F.col("trusted") / F.greatest("bytes", F.lit(1)) * UNIT).cast("long")
-    large = cells.where(F.col("n") >= rules.source_rows).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), share.alias("_own"))
-    rest = cells.where(F.col("n") < rules.source_rows).groupBy("lang").agg(F.sum("bytes").alias("bytes"), F.sum("trusted").alias("trusted"))
-    rest = rest.select(F.col("lang").alias("_lang"), share.alias("_rest"))
-    rows = rows.join(small(large, large.count()), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    rows = rows.join(small(rest, rest.count()), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    return rows.select("text", "good", F.coalesce("_own", "_rest").alias("weight"))
+    everything = cells.agg(F.coalesce(F.sum("trusted") / F.greatest(F.sum("bytes"), F.lit(1)), F.lit(0.0))).first()[0]
+
+    langs = cells.groupBy("lang").agg(F.sum("bytes").alias("_bytes"), F.sum("trusted").alias("_trusted"))
+    own = F.col("_trusted") / F.greatest("_bytes", F.lit(1))
+    known = F.col("_trusted") / (F.col("_trusted") + rules.trust_bytes)
+    langs = langs.select(
+        F.col("lang").alias("_lang"), "_bytes", F.round(own * UNIT).cast("long").alias("_of_lang"),
+        F.round((known * own + (1 - known) * everything) * UNIT).cast("long").alias("plain"),
+    )
+    cells = cells.join(small(langs, langs.count()), F.col("lang").eqNullSafe(F.col("_lang")))
+    prior = F.col("_of_lang") * F.lit(float(rules.source_bytes))
+    share = F.round((F.col("trusted") * F.lit(float(UNIT)) + prior) / (F.col("bytes") + rules.source_bytes)).cast("long")
+    cells = settled(cells.withColumn("_of_cell", share), "weights")
+    # Sources are scaled together, so that a language's bytes weigh what they should in all.
+    exact = F.sum(F.col("_of_cell").cast("decimal(19,0)") * F.col("bytes").cast("decimal(19,0)"))
+    mass = cells.groupBy(F.col("lang").alias("_in")).agg(exact.cast("double").alias("_mass"))
+    cells = cells.join(small(mass, mass.count()), F.col("lang").eqNullSafe(F.col("_in")))
+    scale = F.when(F.col("_mass") > 0, F.col("_of_lang") * F.col("_bytes").cast("double") / F.col("_mass")).otherwise(1.0)
+    weight = F.least(F.round(F.col("_of_cell") * scale), F.lit(float(UNIT))).cast("long")
+    cells = cells.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), weight.alias("weight"), "plain")
+    cells = settled(cells, "cell-weights")
+    rows = rows.join(small(cells, cells.count()), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    return rows.select("text", "good", "weight", "plain")
 
 
 def corpus_counts(
@@ -119,20 +150,30 @@ def corpus_counts(
     rows = weighted(rows, rules)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = np.zeros((2, 1 << rules.bits), np.int64)
-        target = np.zeros(1 << rules.bits, np.int64)
+        width = rules.width
+        raw, target = np.zeros((2, width), np.int64), np.zeros(width, np.int64)
+
+        def add(bucket, weight, good):
+            # Halves, so that sums of doubles stay exact.
+            for k, half in enumerate((weight >> 15, weight & 0x7FFF)):
+                raw[k] += np.bincount(bucket, half, width).astype(np.int64)
+            target[:] += np.bincount(bucket[good], minlength=width)
+
         for batch in batches:
             for part in tx.chunks(batch, 0):
-                bucket, row = ngrams(*tx.flat(part.column(0)), rules)
+                data, bounds = tx.flat(part.column(0))
                 good = part.column(1).to_numpy(zero_copy_only=False)
-                weight = part.column(2).to_numpy()[row]
-                # Halves of 15 bits, so that sums of doubles stay exact.
-                for k, half in enumerate((weight >> 15, weight & 0x7FFF)):
-                    raw[k] += np.bincount(bucket, half, len(target)).astype(np.int64)
-                target += np.bincount(bucket[good[row]], minlength=len(target))
-        raw = (raw[0] << 15) + raw[1]
-        some = np.flatnonzero(raw | target)
-        yield pa.record_batch({"bucket": some.astype(np.int32), "raw": raw[some], "target": target[some]})
+                weight, plain = part.column(2).to_numpy(), part.column(3).to_numpy()
+                bucket, row = ngrams(data, bounds, rules)
+                add(bucket, weight[row], good[row])
+                for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    seen = np.bincount(data[a:b], minlength=256)
+                    raw[0, -256:] += seen * (plain[i] >> 15)
+                    raw[1, -256:] += seen * (plain[i] & 0x7FFF)
+                    target[-256:] += seen * good[i]
+        whole = (raw[0] << 15) + raw[1]
+        some = np.flatnonzero(whole | target)
+        yield pa.record_batch({"bucket": some.astype(np.int32), "raw": whole[some], "target": target[some]})
 
     return (
         rows.mapInArrow(count, "bucket int, raw long, target long")
@@ -142,14 +183,18 @@ def corpus_counts(
 
 
 def log_ratios(documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), **columns) -> np.ndarray:
-    """The model: a log ratio for each bucket, add-one smoothed. Its size is fixed by ``bits``."""
+    """The model: a log ratio for each bucket and then for each byte, add-one smoothed."""
     counts = corpus_counts(documents, labels, rules, **columns).toPandas()
-    raw, target = np.zeros(1 << rules.bits), np.zeros(1 << rules.bits)
+    raw, target = np.zeros(rules.width), np.zeros(rules.width)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"] / UNIT, counts["target"]
     if not target.sum():
-        return np.zeros(1 << rules.bits)
-    share = [np.log(x + 1) - np.log(x.sum() + len(x)) for x in (target, raw)]
-    return share[0] - share[1]
+        return np.zeros(rules.width)
+
+    def ratios(which: slice) -> np.ndarray:
+        share = [np.log(x[which] + 1) - np.log(x[which].sum() + len(x[which])) for x in (target, raw)]
+        return share[0] - share[1]
+
+    return np.concatenate([ratios(slice(0, 1 << rules.bits)), ratios(slice(1 << rules.bits, None))])
 
 
 def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,10 +253,12 @@ def verdict(text: Column, ratios: np.ndarray, rules: Rules = Rules()) -> Column:
             n = len(bounds) - 1
             total = np.bincount(row, table[bucket], minlength=n)
             out["llr"] = total / np.maximum(np.bincount(row, minlength=n), 1)
+            sums = np.concatenate([[0.0], np.cumsum(table[-256:][data])])
+            out["byte_llr"] = np.diff(sums[bounds]) / np.maximum(np.diff(bounds), 1)
             out["base_failed"] = (out["n_words"] < rules.min_words) | (
                 100 * out["n_repeat_words"] > rules.max_repeat_percent * out["n_words"]
             )
-            out["kept"] = ~out["base_failed"] & (out["llr"] >= rules.threshold)
+            out["kept"] = ~out["base_failed"] & (out["llr"] >= rules.threshold) & (out["byte_llr"] >= rules.byte_threshold)
             parts.append(pa.StructArray.from_arrays([pa.array(x) for x in out.values()], list(out)))
         kind = pa.struct([(k, {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[t]) for k, t in (x.split() for x in SHAPE.split(", "))])
         return pa.concat_arrays(parts) if parts else pa.array([], kind)

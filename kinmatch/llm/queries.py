@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm import (
@@ -46,9 +46,14 @@ def op2_sampled_pieces(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def held_out(id_col: str) -> Column:
+    """The fold that nothing is learned from; a null id is not in it."""
+    return F.coalesce(crc32_of(id_col) % 5 == 0, F.lit(False))
+
+
 def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     documents = read_table(spark, sf, "documents")
-    return language_id.identified(documents, crc32_of("doc_id") % 5 == 0)
+    return language_id.identified(documents, held_out("doc_id"))
 
 
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +86,7 @@ def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_quality_ranker(spark: SparkSession, sf: str) -> DataFrame:
     documents, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
-    rows = quality_ranker.ranked(documents, labels, crc32_of("doc_id") % 5 == 0)
+    rows = quality_ranker.ranked(documents, labels, held_out("doc_id"))
     return rows.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 

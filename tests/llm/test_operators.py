@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from kinmatch.llm import chat_format, exact_dedup, language_id, mixing, ngram_jaccard, pieces, quality_ranker, quality_rules, sharding
 from kinmatch.llm.queries import MODEL_FILE, ORACLE, QUERIES
@@ -162,6 +163,23 @@ def test_quality_counts_by_brute_force(spark, documents, empty):
     assert quality_rules.judged_documents(empty, labels).count() == 0
 
 
+@pytest.mark.parametrize("lang", ["en", "xx", None])
+def test_junk_goes_in_whatever_language_it_is_said_to_be(spark, lang):
+    """Junk of a labelled and of an unlabelled language; and a row more changes no verdict."""
+    import random
+
+    chance = random.Random(1)
+    syllables = ["ba", "ri", "ton", "el", "mi", "sa", "ver", "do"]
+    clean = [(k, " ".join("".join(chance.choices(syllables, k=3)) for _ in range(60)), "en", "a") for k in range(60)]
+    junk = [(k, " ".join("".join(chance.choices("#$%&|<>*{}[]~^", k=6)) for _ in range(40)), lang, "b") for k in range(100, 130)]
+    labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
+    more = [(k, f"{clean[0][1]} {k}", "en", "a") for k in range(1000, 1940)]
+    for rows in (clean + junk, clean + junk + more[:-1], clean + junk + more):
+        table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        found = {r.doc_id: r for r in quality_rules.judged_documents(table, labels).collect()}
+        assert all(found[k].kept for k in range(60)) and not any(found[k].kept for k in range(100, 130))
+
+
 def test_a_rarely_labelled_language_or_large_source_keeps_its_clean_documents(spark, sf):
     documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     of = {r.doc_id: r.lang for r in documents.collect()}
@@ -185,7 +203,7 @@ def test_a_rarely_labelled_language_or_large_source_keeps_its_clean_documents(sp
     rows += [(200 + k, "#$%& |<>* " * 3 + text(k, ["xx%", "$$$#", "&&|", "<*>"]), "en", "a") for k in range(20)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(k, 1) for k in range(50)] + [(100, 1), (101, 1), (200, 0)], "doc_id long, quality int")
-    found = {r.doc_id: r.kept for r in quality_rules.judged_documents(table, labels, quality_rules.Rules(source_rows=50, max_repeat_percent=100)).collect()}
+    found = {r.doc_id: r.kept for r in quality_rules.judged_documents(table, labels, quality_rules.Rules(source_bytes=64, max_repeat_percent=100)).collect()}
     assert found == {k: k < 200 for k, *_ in rows}
 
 
@@ -312,6 +330,25 @@ def test_language_and_quality_handle_edges(spark, documents, empty):
     assert language_id.identified(empty, held).count() == quality_ranker.ranked(empty, labels, held).count() == 0
 
 
+def test_samples_stay_bounded_where_one_id_has_a_third_of_all_rows(spark):
+    """One id on many rows is drawn as one; the sample is cut at its bound, null ids are not held out."""
+    rows = [(7, f"palabra numero {i} de la fila", "es") for i in range(3000)]
+    rows += [(100 + i, f"the words of row {i} are these", "en") for i in range(6000)] + [(None, "no id here", "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    for name in ("doc_id", "lang"):
+        assert name in table.columns
+    for seed in range(3):
+        moved = table.withColumn("doc_id", F.when(F.col("doc_id") == 7, 7 + seed).otherwise(F.col("doc_id")))
+        sample = language_id.training_rows(moved, F.lit(True), 200, "doc_id", "text", "lang").groupBy("lang").count().collect()
+        assert all(r["count"] <= 400 for r in sample)
+        labels = moved.select("doc_id", F.when(F.col("lang") == "es", 1).otherwise(0).alias("quality")).distinct()
+        sample = quality_ranker.labelled(moved, labels, F.lit(True), 200, "doc_id", "text", "quality").groupBy("label").count().collect()
+        assert all(r["count"] <= 400 for r in sample)
+    held = F.coalesce(crc32_of("doc_id") % 5 == 0, F.lit(False))
+    found = language_id.identified(table, held).where("doc_id IS NULL").first()
+    assert found.held_out is False and found.lang_pred == "en"
+
+
 def test_shards_fit(documents, empty):
     found = sharded_rows(documents, 100)
     assert len(found) == len(ROWS)
@@ -326,7 +363,7 @@ def sharded_rows(documents, limit):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, sf, name):
     duck = duckdb.connect()
-    for table in ("documents", "conversations", "labels"):
+    for table in ("documents", "conversations", "labels", "embeddings", "pages"):
         duck.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     result = QUERIES[name](spark, sf)
     columns = sorted(result.columns)
