@@ -221,6 +221,91 @@ FROM positives JOIN scored n USING (anchor_id)
 WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
 WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
 QUALIFY row_number() OVER best <= 5
+""",
+    "op12_structure_repair": r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                   lambda c: ascii(c)::BIGINT) AS bytes
+  FROM conversations
+), dealt AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, bytes), lambda crc, b:
+      list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, k:
+        CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS kind
+  FROM given
+), turns AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM dealt WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM turns
+), judged AS (
+  SELECT *, left(role, 1) AS first,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), codes AS (
+  SELECT conv_id, i, first, fault IN ('blank', 'duplicate') AS forced, (fault = 'truncated')::INTEGER AS cut FROM judged
+), ends AS (
+  SELECT conv_id, max(i) AS n FROM codes GROUP BY conv_id
+), -- cheapest (cost, audit) from a turn on: at the start, after a system turn, after pairs, within a pair
+best AS (
+  SELECT conv_id, n + 1 AS i, {'c': 0, 'a': ''} AS s, {'c': 4, 'a': 'II'} AS d, {'c': 0, 'a': ''} AS p, {'c': 2, 'a': 'I'} AS o
+  FROM ends
+  UNION ALL
+  SELECT conv_id, i, least(bs, {'c': bo.c + 2, 'a': 'I' || bo.a}, {'c': bp.c + 4, 'a': 'II' || bp.a}),
+    least(bd, {'c': bo.c + 2, 'a': 'I' || bo.a}, {'c': bp.c + 4, 'a': 'II' || bp.a}),
+    least(bp, {'c': bo.c + 2, 'a': 'I' || bo.a}), least(bo, {'c': bp.c + 2, 'a': 'I' || bp.a})
+  FROM (
+    SELECT c.conv_id, c.i,
+      least({'c': s.c + 3, 'a': 'D' || s.a}, CASE WHEN forced THEN never ELSE {'c': o.c + cut + 2, 'a': 'R' || o.a} END,
+            CASE WHEN NOT forced AND first = 'u' THEN {'c': o.c + cut, 'a': 'K' || o.a} ELSE never END,
+            CASE WHEN NOT forced AND first = 's' THEN {'c': d.c + cut, 'a': 'K' || d.a} ELSE never END) AS bs,
+      least({'c': d.c + 3, 'a': 'D' || d.a}, CASE WHEN forced THEN never ELSE {'c': o.c + cut + 2, 'a': 'R' || o.a} END,
+            CASE WHEN NOT forced AND first = 'u' THEN {'c': o.c + cut, 'a': 'K' || o.a} ELSE never END) AS bd,
+      least({'c': p.c + 3, 'a': 'D' || p.a}, CASE WHEN forced THEN never ELSE {'c': o.c + cut + 2, 'a': 'R' || o.a} END,
+            CASE WHEN NOT forced AND first = 'u' THEN {'c': o.c + cut, 'a': 'K' || o.a} ELSE never END) AS bp,
+      least({'c': o.c + 3, 'a': 'D' || o.a}, CASE WHEN forced THEN never ELSE {'c': p.c + cut + 2, 'a': 'R' || p.a} END,
+            CASE WHEN NOT forced AND first = 'a' THEN {'c': p.c + cut, 'a': 'K' || p.a} ELSE never END) AS bo
+    FROM best b JOIN codes c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.i = b.i - 1,
+      (SELECT {'c': 1000000, 'a': ''} AS never)
+  )
+), chosen AS (
+  SELECT conv_id, s.c::BIGINT AS cost, s.a AS audit FROM best WHERE i = 1
+), letters AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(1, length(audit) + 1)) AS k FROM chosen WHERE audit <> ''
+), edits AS (
+  SELECT *, sum((letter <> 'I')::INTEGER) OVER (PARTITION BY conv_id ORDER BY k) AS i FROM letters
+), written AS (
+  SELECT e.*, j.role, j.text, letter = 'K' AND first = 's' AS opens
+  FROM edits e LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM e.conv_id AND j.i = e.i AND letter <> 'I'
+), numbered AS (
+  SELECT *, sum((letter <> 'D' AND NOT coalesce(opens, false))::INTEGER) OVER (PARTITION BY conv_id ORDER BY k) AS m FROM written
+), said AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN m % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS lines
+  FROM numbered WHERE letter <> 'D' GROUP BY conv_id
+), pairs AS (
+  SELECT conv_id, first, lead(first) OVER (PARTITION BY conv_id ORDER BY i) AS next FROM judged
+), broken AS (
+  SELECT conv_id, count(*) FILTER (NOT ((first, next) IN (('s', 'u'), ('u', 'a'), ('a', 'u')))) AS illegal
+  FROM pairs WHERE next IS NOT NULL GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated
+  FROM judged GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN broken b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN chosen h ON h.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN said s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
 """,
     "op13_warc": """
 WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),

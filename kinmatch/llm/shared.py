@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Row numbers up to which a table of ids travels to every executor (some 24 bytes a row).
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is missing (local tests), a temporary folder takes its place.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="kinmatch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from kinmatch.sources.tables import new_folder, read_table, settled, shared_folder
 
+__all__ = ["components", "crc32_of", "fresh", "new_folder", "read_table", "settled", "shared_folder", "small"]
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, outlives executors."""
-    spark = df.sparkSession
-    folder = new_folder(spark, name)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+#: Row numbers up to which a table of ids travels to every executor (some 24 bytes a row).
+BROADCAST_ROWS = 1_000_000
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -49,10 +26,6 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def crc32_of(column: str | Column) -> Column:
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"))
 
