@@ -2,9 +2,10 @@
 
 Documents become a log of digests (id, digest of the normalised text, length, locator). A
 Structured Streaming query reads the log and keeps, for each digest and without expiry, the
-row that stays and a count, in RocksDB state with its checkpoint in the shared folder. New
-log files extend the same state. Digest hits are then checked on full bytes: the text that a
-state's locator names is compared with each text that hit it.
+row that stays and a count, in RocksDB state with its checkpoint in the shared folder. A caller
+that names the folder adds a table to the same log and state, run by run. Digest hits are then
+checked on full bytes: the text that a state's locator names is compared with each text that
+hit it.
 
 Texts are equal when identical after deleting ASCII white space. Of equal texts the row with
 the most code points stays, then the one with the smallest id.
@@ -17,7 +18,8 @@ empty table gives an empty result. Only id and text are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,16 +36,25 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
 
 
-def digest_log(documents: DataFrame, folder: str, id_col: str, text_col: str) -> None:
-    """Append a table's digests to the log; the row number is fixed by being written."""
+def digest_log(documents: DataFrame, folder: str, id_col: str, text_col: str, run: int = 0) -> None:
+    """Append a table's digests to the log; a row's run and place are fixed by being written."""
     documents.select(
         F.col(id_col).alias("id"),
         F.sha2(normalised(F.col(text_col)), 256).alias("digest"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("points"),
-        F.monotonically_increasing_id().alias("row"),
+        F.struct(F.lit(run).alias("run"), F.monotonically_increasing_id().alias("place")).alias("row"),
     ).write.mode("append").parquet(folder)
 
 
+def runs_so_far(spark: SparkSession, log: str) -> int:
+    """How many tables a log holds; none where there is no log yet."""
+    try:
+        last = spark.read.parquet(log).agg(F.max("row.run")).first()[0]
+    except AnalysisException:
+        return 0
+    return 0 if last is None else last + 1
+
+
 def rank() -> Column:
     """Orders equal texts; the smallest stays. It also locates the content: id, length, row."""
     return F.struct(
@@ -85,15 +96,20 @@ def keyed_state(log: str, checkpoint: str, changes: str, documents: DataFrame) -
     )
 
 
-def groups(documents: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def groups(
+    documents: DataFrame, id_col="doc_id", text_col="text", home: str | None = None, new: DataFrame | None = None
+) -> DataFrame:
     """``(id, digest, points, row, keep, keep_row, group_size, part)`` for every row.
 
     ``part`` is null unless a digest stands for several texts; then it is the text's own
-    longer digest and the group is cut by it.
+    longer digest and the group is cut by it. With ``home``, a folder of the caller, its log and
+    state go on: ``new`` holds the rows to add, ``documents`` all rows so far, whose bytes are
+    compared; the result covers all rows of the log.
     """
     spark = documents.sparkSession
-    home = new_folder(spark, "exact-dedup")
-    digest_log(documents, f"{home}/log", id_col, text_col)
+    home = home or new_folder(spark, "exact-dedup")
+    run = runs_so_far(spark, f"{home}/log")
+    digest_log(documents if new is None else new, f"{home}/log", id_col, text_col, run)
     state = keyed_state(f"{home}/log", f"{home}/state", f"{home}/changes", documents)
     state = settled(
         state.select("digest", F.col("best.id").alias("keep"), F.col("best.row").alias("keep_row"), "group_size"),
@@ -130,15 +146,18 @@ def split_collisions(documents: DataFrame, rows: DataFrame, clashes: DataFrame,
         texts, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest")), "left"
     ).drop("_id", "_digest")
     best = parts.where("part IS NOT NULL").groupBy("part").agg(F.min(rank()).alias("best"), F.count(F.lit(1)).alias("n"))
+    own = F.col("best").isNotNull()  # whose id can be null
     return parts.join(best, "part", "left").select(
-        "id", "digest", "points", "row", F.coalesce("best.id", "keep").alias("keep"),
+        "id", "digest", "points", "row", F.when(own, F.col("best.id")).otherwise(F.col("keep")).alias("keep"),
         F.coalesce("best.row", "keep_row").alias("keep_row"), F.coalesce("n", "group_size").alias("group_size"), "part",
     )
 
 
-def exact_groups(documents: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256."""
-    return groups(documents, id_col, text_col).select(
+def exact_groups(
+    documents: DataFrame, id_col="doc_id", text_col="text", home: str | None = None, new: DataFrame | None = None
+) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256. See ``groups``."""
+    return groups(documents, id_col, text_col, home, new).select(
         F.col("id").alias(id_col),
         F.col("keep").alias("keep_id"),
         "group_size",

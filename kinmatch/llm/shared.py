@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinmatch.sources.tables import new_folder, read_table, settled, shared_folder
 
 __all__ = ["components", "crc32_of", "fresh", "new_folder", "read_table", "settled", "shared_folder", "small"]
 
-#: Row numbers up to which a table of ids travels to every executor (some 24 bytes a row).
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table of ids and digests travels to every executor.
+BROADCAST_BYTES = 32 << 20
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -21,9 +22,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def width(kind: T.DataType) -> int:
+    """Bytes that a value of a type takes, a digest in hex digits for every text."""
+    if isinstance(kind, T.StructType):
+        return sum(width(field.dataType) for field in kind)
+    return 80 if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark a table for broadcast if its counted rows stay within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Mark a table for broadcast if its counted rows, by their width, stay within the bound."""
+    return F.broadcast(df) if rows * (24 + width(df.schema)) <= BROADCAST_BYTES else df
 
 
 def crc32_of(column: str | Column) -> Column:

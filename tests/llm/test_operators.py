@@ -219,6 +219,40 @@ def test_exact_copies(documents, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_exact_dedup_goes_on_with_a_second_table(spark, tmp_path):
+    """State and log of a folder go on: counts add up, a better copy takes over, one row is kept."""
+    schema = "doc_id long, text string"
+    one = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "x"), (9, None)], schema).coalesce(1)
+    two = spark.createDataFrame([(1, "a b"), (4, "a   b"), (5, "x"), (6, " "), (7, "y")], schema).coalesce(1)
+    home = str(tmp_path / "home")
+    first = exact_dedup.exact_groups(one, home=home)
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in first.collect()} == {
+        (1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True), (9, 9, 1, True)
+    }
+    both = one.unionByName(two)
+    found = exact_dedup.exact_groups(both, home=home, new=two).collect()
+    wanted = exact_dedup.exact_groups(both).collect()
+    pick = lambda rows: sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows)
+    assert pick(found) == pick(wanted) and len(found) == 9
+    kept = {}
+    for r in found:
+        kept[r.text_sha256] = kept.get(r.text_sha256, 0) + r.kept
+    assert set(kept.values()) == {1} and {r.keep_id for r in found} == {4, 3, 6, 7}
+
+
+def test_texts_of_one_digest_that_differ_form_groups_of_their_own(spark):
+    """A collision can't be made, so one is told of: all texts are given one digest."""
+    rows = [(1, "aa", 2), (2, "a a", 3), (3, "bb", 2), (4, None, 0), (5, "", 0), (None, "b b", 3)]
+    documents = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    digests = documents.select("doc_id", "text", F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("digest"))
+    of = {r.text or "": r.digest for r in digests.collect()}
+    same = [(i, of[t or ""], n, {"run": 0, "place": k}, 2, {"run": 0, "place": 1}, 6) for k, (i, t, n) in enumerate(rows)]
+    state = spark.createDataFrame(same, "id long, digest string, points long, row struct<run:int,place:long>, keep long, keep_row struct<run:int,place:long>, group_size long")
+    clashes = spark.createDataFrame([(d,) for d in set(of.values())], "digest string")
+    found = exact_dedup.split_collisions(documents, state, clashes, "doc_id", "text").collect()
+    assert {(r.id, r.keep, r.group_size) for r in found} == {(1, 2, 2), (2, 2, 2), (3, None, 2), (None, None, 2), (4, 4, 2), (5, 4, 2)}
+
+
 def test_mixing_adds_up(spark, documents, empty, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet")
     found = mixing.mixed_documents(rows).toPandas()
