@@ -196,11 +196,14 @@ def blocks(classes: DataFrame) -> DataFrame:
     kind = classes.schema["id"].dataType.simpleString()
 
     def emit(tile, other=None):
-        """Rows of one block; its name is drawn from its members, so equal blocks agree."""
+        """Rows of one block; its name is drawn from its members, so equal blocks agree.
+
+        They come together with their members' leads joined, which gives the same pairs.
+        """
         sides = [(0, tile)] if other is None else [(1, other), (2, tile)]
         name = np.uint64(len(sides))
         for side, (n, ids, s1, lead) in sides:
-            own = tx.mixed(s1.astype(np.uint64) ^ tx.mixed(n.astype(np.uint64) * np.uint64(2) + lead.astype(np.uint64)))
+            own = tx.mixed(s1.astype(np.uint64) ^ tx.mixed(n.astype(np.uint64)))
             name = tx.mixed(np.array([name ^ own.sum() ^ np.uint64(side)], np.uint64))[0]
         block = np.array([name], np.uint64).astype(np.int64)[0]
         return [(np.full(len(t[0]), block), np.full(len(t[0]), side, np.int8), t[1], t[2], t[0], t[3]) for side, t in sides]
@@ -217,7 +220,8 @@ def blocks(classes: DataFrame) -> DataFrame:
             return pa.record_batch(cols, ["block", "side", "id", "s1", "n", "lead"])
 
         def add(rows):
-            if (name := int(rows[0][0][0])) not in seen:
+            leads = tx.mixed(np.concatenate([r[3].astype(np.uint64) * r[5] for r in rows])).sum()
+            if (name := int(rows[0][0][0]) ^ int(leads)) not in seen:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(name)
