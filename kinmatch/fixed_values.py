@@ -44,6 +44,7 @@ FILE_INTENT_PATTERNS = [
 # Texts and numbers that appear in results.
 SUMMARY_PREFIX = "프로젝트 배경 및 요약: "
 NO_RESULT_MESSAGE = "검색 조건과 일치하는 프로젝트가 없습니다. 다른 키워드로 다시 검색해보세요."
+NOT_FOUND_MESSAGE = "ID '{}'에 해당하는 프로젝트를 찾을 수 없습니다."
 DONE_PREFIX = "처리 완료: "
 COUNT_LABELS = {
     "inserted": "신규 등록",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmatch import fixed_values as fixed
+from kinmatch.functions import text as tx
 from kinmatch.functions.text import let
 from kinmatch.operators.blocks import rows_within
 from kinmatch.sources.tables import settled
@@ -40,6 +42,28 @@ def lookup(keys: DataFrame, records: DataFrame, *, key_col: str) -> DataFrame:
     )
 
 
+def detail_documents(
+    keys: DataFrame, records: DataFrame, *, key_col: str, shown: Mapping[str, str], summary_col: str | None = None
+) -> DataFrame:
+    """(key, found, document): each requested record as JSON, or the text that there is none.
+
+    ``shown`` names the columns and their labels; the fixed prefix is dropped from the summary.
+    """
+    def value(name):
+        if name == summary_col:
+            return tx.without_prefix(F.coalesce(name, F.lit("")))
+        return F.col(name)
+
+    document = F.to_json(
+        F.struct(*[value(name).alias(label) for name, label in shown.items()]), {"ignoreNullFields": "false"}
+    )
+    before, after = fixed.NOT_FOUND_MESSAGE.split("{}")
+    missing = F.concat(F.lit(before), F.coalesce(F.col(key_col).cast("string"), F.lit("None")), F.lit(after))
+    return lookup(keys.select(key_col), records, key_col=key_col).select(
+        key_col, "found", F.when(F.col("found"), document).otherwise(missing).alias("document")
+    )
+
+
 def filter_equal(
     records: DataFrame, column: str, value, *, order_col: str, key_col: str
 ) -> DataFrame:

@@ -298,6 +298,12 @@ ORACLE = {
     "lookup_keys": """
     SELECT d.doc_id, quality, toxic, l.doc_id IS NOT NULL AS found
     FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+    "detail_documents": f"""
+    SELECT k.doc_id * 2 AS doc_id, d.doc_id IS NOT NULL AS found, CASE WHEN d.doc_id IS NULL
+      THEN replace({_text(fixed.NOT_FOUND_MESSAGE)}, '{{}}', (k.doc_id * 2)::VARCHAR)
+      ELSE to_json({{'docId': d.doc_id, 'lang': d.lang, 'nChars': d.n_chars, 'overview': coalesce(d.source, '')}})::VARCHAR
+      END AS document
+    FROM documents k LEFT JOIN documents d ON d.doc_id = k.doc_id * 2""",
     "keyword_search_one": """
     SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')
       OR contains(lower(p_brand), 'ring') OR contains(lower(p_type), 'ring')""",

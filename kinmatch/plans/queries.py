@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmatch import fixed_values as fixed
 from kinmatch.functions import text as tx
 from kinmatch.functions import vectors
 from kinmatch.operators import chat, embedding, recommend, search, stats, upsert, vector_search
@@ -218,6 +219,17 @@ def lookup_keys(spark, sf):
     return search.lookup(keys, read_table(spark, sf, "labels"), key_col="doc_id")
 
 
+@query
+def detail_documents(spark, sf):
+    """Details of twice every document's id, so that half of them aren't there."""
+    docs = read_table(spark, sf, "documents")
+    records = docs.select("doc_id", "lang", "n_chars", F.concat(F.lit(fixed.SUMMARY_PREFIX), "source").alias("overview"))
+    shown = {"doc_id": "docId", "lang": "lang", "n_chars": "nChars", "overview": "overview"}
+    return search.detail_documents(
+        docs.select((F.col("doc_id") * 2).alias("doc_id")), records, key_col="doc_id", shown=shown, summary_col="overview"
+    )
+
+
 @query
 def keyword_search_one(spark, sf):
     found = search.search_keyword(

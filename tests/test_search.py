@@ -83,6 +83,18 @@ def test_lookup_and_filter(spark):
     assert [r.id for r in newest.collect()] == [2, 3]
 
 
+def test_details_of_found_and_missing_records(spark):
+    prefix = "프로젝트 배경 및 요약: "
+    records = spark.createDataFrame([("k1", f"{prefix}One 'é'", 3), ("k2", None, None)], "id string, s string, n int")
+    keys = spark.createDataFrame([("k1",), ("k2",), ("k3",), (None,)], "id string")
+    found = search.detail_documents(keys, records, key_col="id", shown={"id": "code", "s": "summary", "n": "n"}, summary_col="s")
+    assert {r.id: (r.found, r.document) for r in found.collect()} == {
+        "k1": (True, '{"code":"k1","summary":"One \'é\'","n":3}'), "k2": (True, '{"code":"k2","summary":"","n":null}'),
+        "k3": (False, "ID 'k3'에 해당하는 프로젝트를 찾을 수 없습니다."),
+        None: (False, "ID 'None'에 해당하는 프로젝트를 찾을 수 없습니다."),
+    }
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     found = search.filter_equal(
