@@ -1,21 +1,26 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every source gets a target of words; a document's expected copies are target over source size.
-Whole copies are certain, the fractions are rounded together: two documents meet, mass moves
-between their fractions in a random direction until one is 0 or 1, and the other goes on.
-Each document keeps its expected number of copies, and a source's copies add up.
-
-Leaves of the reduction are groups of one source and one class of sizes, salted to about
-``LEAF_ROWS`` rows, worked through from the largest document down so that mass moves between
-like sizes. Each leaf ends with one open fraction at most; these meet again in a tree, ``FAN``
-leaves at a time, then across the size classes of a source. Rounding keeps the number of copies,
-not of words; so some ``RESERVE`` documents of each source, drawn by hash, wait for the root of
-the tree and land last, their chances scaled to the words that are still missing. Draws are
-hashes of the id, and where an id stands on several rows of the text and a number among equal
-rows too, so reruns agree however the rows are laid out and no id fills a leaf or a reserve.
+Whole copies are certain, the fractions are rounded together: two documents meet, words move
+between their fractions in a random direction until one fraction is 0 or 1, and the other goes
+on. The direction is drawn so that each document keeps its expected number of copies, and what
+one loses in words the other gains, so the words of a source stay at their target throughout.
+
+Leaves of the reduction are groups of one source, salted to about ``LEAF_ROWS`` rows, worked
+through from the largest document down. A document far larger than the next one meets all that
+follow as one partner, so large documents are settled while small ones can still make up for
+them. Each leaf ends with one open fraction at most, mostly a small one; these meet again in a
+tree, ``FAN`` leaves at a time. The last fraction of a source goes to the nearer whole, which is
+all that keeps the source off its target. Draws are hashes of the id, and where an id stands on
+several rows of the text and a number among equal rows too, so reruns agree however the rows are
+laid out and no id fills a leaf.
+
+Chances are kept while either way can be made up for. A document of more than ``WEIGHTY`` of its
+leaf's words that can only be made up for in one way goes that way, as in sources of a handful
+of documents; a smaller one is paired.
 
 Defined cases: null texts have no words; a null source is a source of its own and comes last;
-documents without words are mixed among themselves and take nothing; if no document has words
+documents without words are drawn one by one and take nothing; if no document has words
 all targets are 0; a null id is drawn like any other; repeated rows are rows of their own. An
 empty table gives an empty result. Other columns are left alone.
 """
@@ -39,7 +44,10 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 LEAF_ROWS = 4096
 FAN = 64
-RESERVE = 64
+#: A row so many times larger than the next one is settled against all that follow.
+LARGER = 1.5
+#: Share of a leaf's words from which on a row's chance yields to the target.
+WEIGHTY = 0.01
 
 
 @F.arrow_udf(T.LongType())
@@ -48,6 +56,7 @@ def word_count(texts: pa.Array) -> pa.Array:
     out = [np.empty(0, np.int64)]
     for part in tx.chunks(batch, 0):
         out.append(np.bincount(tx.words(*tx.flat(part.column(0)))[2], minlength=part.num_rows))
+    tx.tidy()
     return pa.array(np.concatenate(out))
 
 
@@ -77,62 +86,70 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def rounded(group: pd.DataFrame, last: bool) -> pd.DataFrame:
     """Pivotal rounding of the fractions of a group; one row may keep a fraction.
 
-    ``last`` also settles that one. Settled rows have ``part`` 0.
+    From the largest row down, pairs exchange words, so the sum of fractions by size stays what
+    it was. A row far larger than the next meets all that follow at once, which take or give the
+    words by their fractions; if they can only take or only give, a weighty row goes that way.
+    ``last`` also settles the row that is left. Settled rows have ``part`` 0.
     """
-    group = group.sort_values(["size", "draw", "row"], ascending=[False, True, True])
-    part, draw = group["part"].to_numpy(copy=True), group["draw"].to_numpy()
-    bit = np.zeros(len(group), np.int32)
-    held = -1
+    # Equal sizes stand in an order that says nothing of their draws.
+    group = group.assign(_place=group["draw"] * 104_729 % 1).sort_values(["size", "_place", "row"], ascending=[False, True, True])
+    group = group.drop(columns="_place")
+    part, bit = group["part"].to_numpy(copy=True), group["bit"].to_numpy(copy=True)
+    size, draw = group["size"].to_numpy(float), group["draw"].to_numpy()
+
+    total, held = size.sum(), -1
     for k in range(len(part)):
         if part[k] <= 0:
             continue
+        if held >= 0 and size[held] > LARGER * size[k]:
+            give = part[k:] * size[k:]
+            take = np.where(part[k:] > 0, size[k:], 0.0) - give
+            a, s, chance = part[held], size[held], draw[held] * 7919 % 1
+            rise, fall = give.sum() >= (1 - a) * s, take.sum() >= a * s
+            # The same weights for both ways keep every chance, where they reach for both.
+            even = np.minimum(give, take)
+            if even.sum() >= s:
+                give = take = even
+            if give is take or (rise or fall) and s > WEIGHTY * total:
+                rises = rise and (not fall or chance < a)
+                moved = -(1 - a) * s * give / give.sum() if rises else a * s * take / take.sum()
+                part[k:] = np.clip(part[k:] + moved / np.maximum(size[k:], 1), 0, 1)
+                part[held], bit[held], held = 0, int(rises), -1
+                full = np.flatnonzero(part[k:] > 1 - 1e-9) + k
+                part[full], bit[full] = 0, 1
+                part[k:][part[k:] < 1e-9] = 0
+                if part[k] <= 0:
+                    continue
         if held < 0:
             held = k
             continue
-        a, b = part[held], part[k]
-        both = a + b
-        if both < 1:
-            gone, stays, rest = (held, k, both) if draw[k] * both < b else (k, held, both)
+        a, b, s, t = part[held], part[k], size[held], size[k]
+        # Words that can go from k to the held one, and back.
+        up, down = min((1 - a) * s, b * t), min(a * s, (1 - b) * t)
+        if draw[k] * (up + down) < down:
+            first = (1 - a) * s <= b * t
+            a, b = (1.0, b - up / t) if first else (a + up / s, 0.0)
         else:
-            gone, stays = (held, k) if draw[k] * (2 - both) < 1 - b else (k, held)
-            bit[gone], rest = 1, both - 1
-        part[gone], part[stays] = 0, rest
-        held = stays if rest > 1e-9 else -1
-        if held < 0:
-            part[stays] = 0
-        elif rest > 1 - 1e-9:
-            part[stays], bit[stays], held = 0, 1, -1
+            first = a * s <= (1 - b) * t
+            a, b = (0.0, b + down / t) if first else (a - down / s, 1.0)
+        left = -1
+        for row, value in ((held, a), (k, b)):
+            if value < 1e-9 or value > 1 - 1e-9:
+                part[row], bit[row] = 0, round(value)
+            else:
+                part[row], left = value, row
+        held = left
     if last and held >= 0:
-        bit[held] = draw[held] * 7919 % 1 < part[held]
-        part[held] = 0
+        part[held], bit[held] = 0, part[held] >= 0.5
     return group.assign(part=part, bit=bit)
 
 
-def landed(group: pd.DataFrame, missing: float) -> pd.DataFrame:
-    """Round the reserve: each chance is scaled to the missing words, errors are passed on."""
-    group = group.sort_values(["size", "draw", "row"], ascending=[False, True, True])
-    size, part = group["size"].to_numpy(float), group["part"].to_numpy()
-    for _ in range(8):  # a chance stops at 1; the others make up for it
-        words = (part * size).sum()
-        if words <= 0 or abs(words - missing) < 0.5:
-            break
-        part = np.clip(part * max(missing, 0.0) / words, 0, 1)
-    bit, due = np.zeros(len(group), np.int32), missing - (part * size).sum()
-    for k in range(len(group)):
-        due += part[k] * size[k]
-        bit[k] = size[k] > 0 and due >= size[k] / 2
-        due -= bit[k] * size[k]
-    return group.assign(part=0.0, bit=bit)
-
-
 def settle_pairs(group: pd.DataFrame) -> pd.DataFrame:
     return rounded(group, False)
 
 
 def settle_all(group: pd.DataFrame) -> pd.DataFrame:
-    first = rounded(group[~group["reserve"]], True)
-    missing = float(group["missing"].iloc[0]) - float((first["bit"] * first["size"]).sum())
-    return pd.concat([first, landed(group[group["reserve"]], missing)])
+    return rounded(group, True)
 
 
 def told_apart(sizes: DataFrame) -> DataFrame:
@@ -161,17 +178,12 @@ def told_apart(sizes: DataFrame) -> DataFrame:
 
 
 def placed(sizes: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, Callable[[int], Column]]:
-    """Each row with its whole copies and fraction, its leaf and draw, and whether it waits for
-    the root; the number of leaves per source and class; and the draw of any level."""
-    classes = F.floor(2 * F.log2(F.col("size") + F.lit(1.0))).cast("int")
-    salts = sizes.groupBy(F.col("source").alias("_source"), classes.alias("_class")).agg(F.ceil(F.count(F.lit(1)) / LEAF_ROWS).cast("int").alias("salts"))
+    """Each row with its whole copies and fraction, its leaf and draw; the number of leaves per
+    source; and the draw of any level. Rows without words are settled here."""
+    salts = sizes.groupBy(F.col("source").alias("_source")).agg(F.ceil(F.count(F.lit(1)) / LEAF_ROWS).cast("int").alias("salts"))
     salts = settled(salts, "salts")
-    targets = targets.withColumnRenamed("source", "_source")
-    rows = told_apart(sizes).withColumn("class", classes)
-    rows = rows.join(small(targets, targets.count()), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    rows = rows.join(
-        small(salts, salts.count()), F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")), "left"
-    ).drop("_source", "_class")
+    facts = targets.join(small(salts, salts.count()), F.col("source").eqNullSafe(F.col("_source"))).drop("source")
+    rows = told_apart(sizes).join(small(facts, targets.count()), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
     def draw(level: int) -> Column:
         return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), "id", "size", "mark"), 11) / F.lit(float(1 << 53))
@@ -180,9 +192,10 @@ def placed(sizes: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame,
     whole = F.floor(expected + F.lit(1e-9))
     rows = rows.withColumn("copies", whole.cast("int")).withColumn("part", F.greatest(expected - whole, F.lit(0.0)))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "mark"), F.col("salts")).cast("int"))
-    rows = rows.withColumn("draw", draw(0)).withColumn("bit", F.lit(0))
-    rows = rows.withColumn("part", F.when(F.col("part") > 1e-9, F.col("part")).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("reserve", draw(-1) < F.least(F.lit(0.5), F.lit(RESERVE) / F.col("rows"))).withColumn("missing", F.lit(0.0))
+    rows = rows.withColumn("draw", draw(0)).withColumn("part", F.when(F.col("part") > 1e-9, F.col("part")).otherwise(F.lit(0.0)))
+    wordless = F.col("size") == 0
+    rows = rows.withColumn("bit", (wordless & (F.col("draw") < F.col("part"))).cast("int"))
+    rows = rows.withColumn("part", F.when(wordless, F.lit(0.0)).otherwise(F.col("part")))
     return rows, salts, draw
 
 
@@ -197,30 +210,23 @@ def mixed_rows(documents: DataFrame, id_col: str, source_col: str, text_col: str
     targets = settled(source_targets(sizes), "targets")
     rows, salts, draw = placed(sizes, targets, seed)
 
-    leaves = rows.where("NOT reserve").groupBy("source", "class", "salt").applyInPandas(settle_pairs, rows.schema)
-    leaves = settled(leaves.unionByName(rows.where("reserve")), "leaves")
-    open_rows = leaves.where("part > 0 AND NOT reserve")
-    levels = [leaves.where("part = 0").select("row", "source", "size", "bit")]
+    leaves = settled(rows.groupBy("source", "salt").applyInPandas(settle_pairs, rows.schema), "leaves")
+    open_rows = leaves.where("part > 0")
+    levels = [leaves.where("part = 0").select("row", "bit")]
     most = salts.agg(F.max("salts")).first()[0] or 1
     level = 1
     while most > 1:
         most = -(-most // FAN)
         open_rows = open_rows.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")).withColumn("draw", draw(level))
-        met = open_rows.groupBy("source", "class", "salt").applyInPandas(settle_pairs, rows.schema)
+        met = open_rows.groupBy("source", "salt").applyInPandas(settle_pairs, rows.schema)
         met = settled(met, "level")
-        levels.append(met.where("part = 0").select("row", "source", "size", "bit"))
+        levels.append(met.where("part = 0").select("row", "bit"))
         open_rows = met.where("part > 0")
         level += 1
-    # The root of each source, with what its target still misses.
-    words = leaves.select("source", (F.col("copies") * F.col("size")).alias("words"))
-    for x in levels:
-        words = words.union(x.select("source", F.col("bit") * F.col("size")))
-    words = words.groupBy(F.col("source").alias("_source")).agg(F.sum("words").alias("_words"))
-    roots = open_rows.unionByName(leaves.where("part > 0 AND reserve")).withColumn("draw", draw(level))
-    roots = roots.join(words, F.col("source").eqNullSafe(F.col("_source")))
-    roots = roots.withColumn("missing", F.col("target") - F.col("_words")).select(rows.columns)
-    roots = settled(roots.groupBy("source").applyInPandas(settle_all, rows.schema), "level")
-    levels = [x.select("row", "bit") for x in [*levels, roots]]
+    # The root of each source.
+    roots = open_rows.withColumn("draw", draw(level)).groupBy("source").applyInPandas(settle_all, rows.schema)
+    roots = settled(roots, "level")
+    levels.append(roots.select("row", "bit"))
     later = levels[1]
     for x in levels[2:]:
         later = later.union(x)
