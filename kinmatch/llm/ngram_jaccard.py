@@ -103,7 +103,7 @@ def sketch(documents: DataFrame, text_col: str) -> np.ndarray:
             yield pa.record_batch({"slot": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     kind = "slot int, counts binary"
-    sums = documents.select(text_col).mapInArrow(count, kind).repartition("slot").mapInArrow(add, kind)
+    sums = documents.select(text_col).mapInArrow(lambda batches: tx.tidied(count(batches)), kind).repartition("slot").mapInArrow(lambda batches: tx.tidied(add(batches)), kind)
     total = np.zeros(size, np.int64)
     for slot, piece in sums.collect():  # one byte string for each of 64 slots
         total[slot * (size // slots) : (slot + 1) * (size // slots)] = np.frombuffer(piece, np.int64)
@@ -156,7 +156,7 @@ def profiles(documents: DataFrame, order: np.ndarray, id_col: str, text_col: str
 
     kind = documents.schema[id_col].dataType.simpleString()
     return documents.select(id_col, text_col).mapInArrow(
-        profile, f"id {kind}, n long, s1 long, s2 long, point binary, fine binary, prefix array<long>"
+        lambda batches: tx.tidied(profile(batches)), f"id {kind}, n long, s1 long, s2 long, point binary, fine binary, prefix array<long>"
     )
 
 
@@ -179,7 +179,7 @@ def set_rows(documents: DataFrame) -> DataFrame:
                 )
 
     kind = documents.schema["id"].dataType.simpleString()
-    return documents.mapInArrow(sets, f"id {kind}, s1 long, shingles array<long>")
+    return documents.mapInArrow(lambda batches: tx.tidied(sets(batches)), f"id {kind}, s1 long, shingles array<long>")
 
 
 def blocks(classes: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def blocks(classes: DataFrame) -> DataFrame:
     return (
         rows.repartition("hash")
         .sortWithinPartitions("hash", "n", "id", "s1")
-        .mapInArrow(cut, f"block long, side byte, id {kind}, s1 long, n long, lead boolean")
+        .mapInArrow(lambda batches: tx.tidied(cut(batches)), f"block long, side byte, id {kind}, s1 long, n long, lead boolean")
         .groupBy("block", "side", "id", "s1", "n")
         .agg(F.max("lead").alias("lead"))
     )
@@ -457,7 +457,7 @@ def candidates(members: DataFrame, first: bool) -> DataFrame:
     return (
         members.repartition("block")
         .sortWithinPartitions("block", "side", "n", "s1")
-        .mapInArrow(join, f"a {id_kind}, a1 long, b {id_kind}, b1 long")
+        .mapInArrow(lambda batches: tx.tidied(join(batches)), f"a {id_kind}, a1 long, b {id_kind}, b1 long")
         .distinct()
     )
 

@@ -318,7 +318,7 @@ def encoded(
                     columns.append(same_texts(part.column(at), texts_in_parts(columns[0], words)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *columns], [*names, *added])
 
-    return rows.mapInArrow(encode, schema)
+    return rows.mapInArrow(lambda batches: tx.tidied(encode(batches)), schema)
 
 
 def decoded_texts(pieces: pa.Array, words: Vocabulary) -> pa.Array:

@@ -176,7 +176,7 @@ def corpus_counts(
         yield pa.record_batch({"bucket": some.astype(np.int32), "raw": whole[some], "target": target[some]})
 
     return (
-        rows.mapInArrow(count, "bucket int, raw long, target long")
+        rows.mapInArrow(lambda batches: tx.tidied(count(batches)), "bucket int, raw long, target long")
         .groupBy("bucket")
         .agg(F.sum(F.col("raw").cast("decimal(28,0)")).cast("double").alias("raw"), F.sum("target").alias("target"))
     )
@@ -261,7 +261,10 @@ def verdict(text: Column, ratios: np.ndarray, rules: Rules = Rules()) -> Column:
             out["kept"] = ~out["base_failed"] & (out["llr"] >= rules.threshold) & (out["byte_llr"] >= rules.byte_threshold)
             parts.append(pa.StructArray.from_arrays([pa.array(x) for x in out.values()], list(out)))
         kind = pa.struct([(k, {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[t]) for k, t in (x.split() for x in SHAPE.split(", "))])
-        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+        out = pa.concat_arrays(parts) if parts else pa.array([], kind)
+        del parts
+        tx.tidy()
+        return out
 
     return judged(text)
 

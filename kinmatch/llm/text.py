@@ -7,6 +7,7 @@ with the length; equal spans always agree, and different spans collide with odds
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,23 @@ LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
+def tidy() -> None:
+    """Give freed memory back; a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library can
+        pass
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; memory goes back when they end."""
+    try:
+        yield from batches
+    finally:
+        tidy()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of each 64-bit number (a bijection)."""
     x = x ^ (x >> np.uint64(30))
