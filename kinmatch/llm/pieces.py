@@ -35,7 +35,7 @@ from kinmatch.llm.shared import fresh
 REMEMBERED_EDGES = 2_000_000
 REMEMBERED_UNITS = 40_000
 #: Bytes of text that are cut at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Pieces that are decoded at once.
 DECODED_PIECES = 1 << 18
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
