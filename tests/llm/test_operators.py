@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -461,3 +462,24 @@ def test_licences_are_found_and_clean_paragraphs_left_alone(spark, documents, em
     found = [(r.doc_id, r.paragraph, r.family) for r in license_scan.scanned(rows, scanner).collect() if r.confirmed]
     assert sorted(found, key=str) == sorted([(1, 40, "MIT"), (5, 0, "CC-BY-4.0"), (5, 0, "CC-BY-4.0"), (None, 0, "GPL-3.0")], key=str)
     assert license_scan.scanned(empty, scanner).count() == 0
+
+
+def test_quality_is_learned_from_every_labelled_row(spark):
+    """What tells the labels apart stands only in rows that a draw of 2000 a label would leave out."""
+    n = 2600
+    ids = spark.range(2 * n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11) / F.lit(float(1 << 53))
+    telling = F.when(F.col("quality") == 1, "a calm clear river").otherwise("zap zap zap zap")
+    text = F.when(draw * n < 2000, "some words here").otherwise(telling)
+    table = ids.select("doc_id", text.alias("text")).repartition(4)
+    model = quality_ranker.fitted(table, ids, F.lit(True))
+    asked = spark.createDataFrame([("a calm clear river",), ("zap zap zap zap",)], "text string")
+    good, bad = (r[0] for r in asked.select(quality_ranker.scored(F.col("text"), model)["score"]).collect())
+    assert good > 0.9 and bad < 0.1
+
+
+def test_the_cut_of_quality_is_numpys_quantile(spark):
+    values = [float(k * k % 97) for k in range(301)] + [-1000.0, 5.0]
+    rows = spark.createDataFrame([(v,) for v in values], "strength double").repartition(3)
+    for share in (0.0, 0.2, 0.31, 0.5, 0.997, 1.0):
+        assert quality_ranker.quantile(rows, len(values), share) == pytest.approx(np.quantile(values, share), abs=1e-12)
