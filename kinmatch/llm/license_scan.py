@@ -2,10 +2,12 @@
 
 Paragraphs are split into words; word n-grams (one and two words) are sparse features of a
 multinomial logistic regression with an L1 penalty, whose classes are licence families and
-``unknown``. It learns from the templates below and, as ``unknown``, from paragraphs of a
-bounded, hash-drawn sample of the corpus and sentences that speak of licences without naming
-one. A family is predicted only over a probability that (nearly) no unknown paragraph reached,
-and a prediction is confirmed if enough of the paragraph's n-grams stand in one template.
+``unknown``. It learns from the templates below and, as ``unknown``, from all distinct paragraphs
+of the corpus that have no word of licences in them and sentences that speak of licences without
+naming one. Only n-grams of the templates are features, so paragraphs with the same ones become
+one row, weighted by their number. A family is predicted only over a probability that (nearly) no
+unknown paragraph reached, and a prediction is confirmed if enough of the paragraph's n-grams
+stand in one template.
 
 Most paragraphs hold no word that could lift them over that threshold. Such anchor words are
 derived from the weights: without one of them, the sum of everything else stays below the
@@ -19,20 +21,27 @@ results; without documents the result is empty; other columns are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import log
+from math import ceil, log
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, StringIndexer
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm.shared import fresh, settled
 
 UNKNOWN = "unknown"
-#: Tasks that the bounded training rows are dealt to.
-TRAINING_TASKS = 2
+#: Tasks that train at least, and training rows of a task.
+TRAINING_TASKS, TRAINING_ROWS = 2, 20_000
+#: Words in a larger share of the corpus paragraphs are common.
+COMMON = 0.001
+#: Words of licences; paragraphs that hold one teach nothing about ``unknown``.
+NAMED = ("licen", "copyright", "spdx", "redistribut")
+#: Share of the unknown paragraphs under the threshold, and bins of a probability to find it.
+UNDER, BINS = 0.999, 100_000
 # Phrases of public licence notices, by family.
 TEMPLATES = {
     "MIT": [
@@ -134,37 +143,56 @@ def template_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, phrase string")
 
 
-def fitted(documents: DataFrame, sample_documents=300, penalty=2e-4, id_col="doc_id", text_col="text") -> Scanner:
+def unknown_groups(documents: DataFrame, vocabulary, text_col: str) -> DataFrame:
+    """``(features, n)``: the distinct corpus paragraphs without a word of licences, by features."""
+    corpus = documents.select(F.explode(paragraphs(F.col(text_col))).alias("phrase")).where("phrase != ''")
+    lowered = F.lower("phrase")
+    for part in NAMED:
+        corpus = corpus.where(~F.contains(lowered, F.lit(part)))
+    told = vocabulary.transform(corpus.select(F.xxhash64("phrase").alias("hash"), terms(F.col("phrase")).alias("terms")))
+    # paragraphs are told apart by a hash, so texts are not shuffled
+    return told.select("hash", "features").distinct().groupBy("features").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reached(scored: DataFrame, total: int) -> float:
+    """The probability under which all but few of the weighted rows lie; 0 if it is below 0.5."""
+    bins = scored.where("value >= 0.5").groupBy(F.floor(F.col("value") * BINS).alias("bin"))
+    tail = sorted(tuple(r) for r in bins.agg(F.max("value"), F.sum("n")).select("max(value)", "sum(n)").collect())
+    passed, needed = total - sum(n for _, n in tail), ceil(UNDER * total)
+    for value, n in tail:
+        if passed >= needed:
+            break
+        passed += n
+        if passed >= needed:
+            return value
+    return 0.0
+
+
+def fitted(documents: DataFrame, penalty=2e-4, text_col="text") -> Scanner:
     spark = documents.sparkSession
-    count = documents.count()
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(5), id_col), 11) / F.lit(float(1 << 53))
-    drawn = documents.select(draw.alias("draw"), F.col(text_col).alias("text")).where(F.col("draw") * count < sample_documents)
-    # one id can stand on many rows: at most twice as many documents as asked for
-    drawn = drawn.orderBy("draw", F.xxhash64("text")).limit(2 * sample_documents)
-    corpus = drawn.select(F.explode(paragraphs(F.col(text_col))).alias("phrase"))
-    named = "|".join(("licen", "copyright", "spdx", "redistribut"))
-    corpus = corpus.where(~F.col("phrase").rlike(f"(?i){named}")).select(F.lit(UNKNOWN).alias("family"), "phrase")
-    corpus = corpus.where("phrase != ''").dropDuplicates()
     unnamed = spark.createDataFrame([(UNKNOWN, x) for x in UNNAMED], "family string, phrase string")
-    known = template_table(spark).unionByName(unnamed)
-    rows = known.unionByName(corpus).select("family", terms(F.col("phrase")).alias("terms"))
-    # The sample is bounded, so a few tasks an iteration are enough.
-    rows = settled(rows.coalesce(TRAINING_TASKS), "licence-rows").coalesce(TRAINING_TASKS).cache()
+    known = template_table(spark).unionByName(unnamed).select("family", terms(F.col("phrase")).alias("terms"))
     # The vocabulary is that of the templates; corpus paragraphs can only have fewer features.
-    vocabulary = CountVectorizer(inputCol="terms", outputCol="features", binary=True, minDF=1.0).fit(known.select(terms(F.col("phrase")).alias("terms")))
-    index = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
+    vocabulary = CountVectorizer(inputCol="terms", outputCol="features", binary=True, minDF=1.0).fit(known)
+    groups = settled(unknown_groups(documents, vocabulary, text_col), "licence-groups")
+    rows, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    unknown = total + len(UNNAMED)
+    families = sorted({UNKNOWN, *TEMPLATES})
+    at = families.index(UNKNOWN)
+    label = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
+    worth = F.when(F.col("family") == UNKNOWN, 1.0).otherwise(max(1.0, unknown / 200))
+    training = vocabulary.transform(known).select(label.cast("double").alias("label"), "features", worth.alias("worth"))
+    training = training.unionByName(groups.select(F.lit(float(at)).alias("label"), "features", F.col("n").cast("double").alias("worth")))
+    training = training.coalesce(max(TRAINING_TASKS, ceil(rows / TRAINING_ROWS)))
     regression = LogisticRegression(regParam=penalty, elasticNetParam=1.0, maxIter=60, family="multinomial", standardization=False, weightCol="worth")
-    unknown = rows.where(F.col("family") == UNKNOWN).count()
-    worth = F.when(F.col("family") == UNKNOWN, F.lit(1.0)).otherwise(F.lit(max(1.0, unknown / 200)))
-    trained = regression.fit(index.transform(vocabulary.transform(rows)).withColumn("worth", worth))
+    trained = regression.fit(training)
     model = PipelineModel([vocabulary, trained])
-    families = index.labels
-    at = families.index(UNKNOWN)
-    scored = likeliest(model.transform(rows.where(F.col("family") == UNKNOWN)), families, "p")
-    reached = scored.select(F.percentile_approx("p.value", 0.999, 10_000)).first()[0]
-    threshold = min(0.95, max(0.5, float(reached or 0)))
-    common = {r[0] for r in rows.where(F.col("family") == UNKNOWN).select(F.explode("terms")).distinct().collect() if " " not in r[0]}
-    rows.unpersist()
+    others = groups.unionByName(vocabulary.transform(known.where(F.col("family") == UNKNOWN)).select("features", F.lit(1).cast("long").alias("n")))
+    scored = likeliest(trained.transform(others), families, "p").select("p.value", "n")
+    threshold = min(0.95, max(0.5, reached(scored, unknown)))
+    shares = groups.select(Summarizer.mean(F.col("features"), F.col("n").cast("double"))).first()[0].toArray() if rows else []
+    common = {w for w, share in zip(vocabulary.vocabulary, shares) if " " not in w and share > COMMON}
+    common |= {w for text in UNNAMED for w in text.lower().rstrip(".").split()}
     return Scanner(model, families, threshold, anchor_words(trained, vocabulary.vocabulary, at, threshold, common))
 
 
@@ -225,4 +253,4 @@ def scanned(documents: DataFrame, scanner: Scanner, similarity=0.6, id_col="doc_
 
 
 def licences(documents: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    return scanned(documents, fitted(documents, id_col=id_col, text_col=text_col), id_col=id_col, text_col=text_col)
+    return scanned(documents, fitted(documents, text_col=text_col), id_col=id_col, text_col=text_col)

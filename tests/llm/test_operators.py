@@ -483,3 +483,20 @@ def test_the_cut_of_quality_is_numpys_quantile(spark):
     rows = spark.createDataFrame([(v,) for v in values], "strength double").repartition(3)
     for share in (0.0, 0.2, 0.31, 0.5, 0.997, 1.0):
         assert quality_ranker.quantile(rows, len(values), share) == pytest.approx(np.quantile(values, share), abs=1e-12)
+
+
+def test_licence_threshold_comes_from_every_paragraph(spark):
+    """Distinct paragraphs of all documents are counted, repeated ones once; none is left out."""
+    from pyspark.ml.feature import CountVectorizer
+
+    from kinmatch.llm import license_scan
+
+    texts = [(k, f"the work number{k} is free\nthe work number{k} is free\nsame words everywhere\nNo Licence here") for k in range(900)]
+    rows = spark.createDataFrame([*texts, (None, None), (None, "")], "doc_id long, text string").repartition(5)
+    known = license_scan.template_table(spark).select(license_scan.terms(F.col("phrase")).alias("terms"))
+    vocabulary = CountVectorizer(inputCol="terms", outputCol="features", binary=True, minDF=1.0).fit(known)
+    groups = license_scan.unknown_groups(rows, vocabulary, "text").collect()
+    assert sorted(r["n"] for r in groups) == [1, 900]
+    scored = spark.createDataFrame([(0.1, 9_980), (0.6, 10), (0.7, 5), (0.8, 5)], "value double, n long")
+    assert license_scan.reached(scored, 10_000) == 0.6
+    assert license_scan.reached(scored.withColumn("value", F.col("value") / 2), 10_000) == 0
