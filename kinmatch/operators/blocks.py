@@ -8,9 +8,11 @@ only what survives. No group grows with the data.
 
 from __future__ import annotations
 
+import ctypes
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,23 @@ def _each_block(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
 
+def tidy() -> None:
+    """Give freed memory back; a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library can
+        pass
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; memory goes back when they end."""
+    try:
+        yield from batches
+    finally:
+        tidy()
+
+
 def rows_within(df: DataFrame, limit: int) -> list | None:
     """The rows of ``df`` when there are at most ``limit`` of them, else None."""
     rows = df.limit(limit + 1).collect()

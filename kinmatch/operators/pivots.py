@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmatch.operators.blocks import tidied
 from kinmatch.sources.tables import settled
 
 # Bounds are compared with this slack, far above their rounding error.
@@ -22,6 +23,8 @@ SLACK = 1e-6
 MIN_PIVOTS, MAX_PIVOTS = 16, 1024
 # Records without length have no direction and form a cell of their own.
 NO_DIRECTION = -1
+# Rows whose distances to all pivots are held at once.
+ASSIGNED_ROWS = 1024
 
 
 def as_matrix(column) -> np.ndarray:
@@ -115,9 +118,7 @@ def _assigned(records: DataFrame, shared) -> DataFrame:
 
     def assign(batches):
         pivots = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, ASSIGNED_ROWS) for b in batches for at in range(0, b.num_rows, ASSIGNED_ROWS)):
             rows, has_length = unit(as_matrix(batch.column("vector")))
             cell = np.full(len(rows), NO_DIRECTION, dtype=np.int32)
             radius = np.zeros(len(rows))
@@ -132,7 +133,7 @@ def _assigned(records: DataFrame, shared) -> DataFrame:
             )
 
     return records.select("key", "vector").mapInArrow(
-        assign, f"key {key_type}, vector {vector_type}, cell int, radius double"
+        lambda batches: tidied(assign(batches)), f"key {key_type}, vector {vector_type}, cell int, radius double"
     )
 
 
@@ -199,5 +200,5 @@ def _met_cells(queries: DataFrame, shared) -> DataFrame:
                 )
 
     return queries.select("query", "query_vector").mapInArrow(
-        meet, f"query {query_type}, query_vector {vector_type}, cell int"
+        lambda batches: tidied(meet(batches)), f"query {query_type}, query_vector {vector_type}, cell int"
     )

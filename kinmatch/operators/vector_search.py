@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from kinmatch.functions import vectors
+from kinmatch.operators.blocks import tidied
 from kinmatch.operators.pivots import as_matrix, join_by_cells
 
 # Query side limits for broadcasting: 2^24 doubles are 128 MB.
@@ -28,6 +29,11 @@ BROADCAST_QUERIES = 4096
 # Block sizes beyond the limits.
 QUERY_BLOCK = 2048
 RECORD_BLOCK = 32768
+# Scores a task holds at once (2^21 doubles are 16 MB), and the most records for them.
+TILE_VALUES = 1 << 21
+TILE_RECORDS = 2048
+# Values of vectors that are gathered at once for the exact distances of pairs.
+PAIR_VALUES = 1 << 18
 
 
 def nearest(
@@ -112,18 +118,21 @@ class QueryBlock:
         # Matrix products add in another order, so keep all within the rounding error
         # of the k-th best and rank those by the exact distance.
         slack = 1e-15 * matrix.shape[1] + 1e-12
-        if len(keys) > self.k:
+        limit = self.floor - slack
+        near = rough >= limit[:, None]
+        if len(keys) > self.k and near.sum() > self.k * len(self.ids):
             kth = np.partition(rough, len(keys) - self.k, axis=1)[:, len(keys) - self.k]
-            limit = np.maximum(self.floor, kth) - slack
-        else:
-            limit = self.floor - slack
-        q, r = np.nonzero(rough >= limit[:, None])
+            near = rough >= np.maximum(limit, kth - slack)[:, None]
+        q, r = np.nonzero(near)
         for part in range(0, len(q), 1 << 16):
             self._merge(q[part : part + (1 << 16)], r[part : part + (1 << 16)], keys, matrix, norms)
 
     def _merge(self, q, r, keys, matrix, norms):
         scale = np.sqrt(self.norms[q] * norms[r])
-        cosine = np.clip(_in_order_sum(self.matrix[q], matrix[r]) / scale, -1.0, 1.0)
+        # the vectors of a few pairs at a time: a pair takes two whole vectors
+        step = max(64, PAIR_VALUES // matrix.shape[1])
+        sums = [_in_order_sum(self.matrix[q[a : a + step]], matrix[r[a : a + step]]) for a in range(0, len(q), step)]
+        cosine = np.clip(np.concatenate(sums) / scale, -1.0, 1.0)
         rows = pd.DataFrame({"q": q, "key": keys.to_numpy()[r], "distance": 1.0 - cosine})
         if self.found is not None:
             rows = pd.concat([self.found, rows], ignore_index=True)
@@ -158,6 +167,12 @@ class QueryBlock:
         return pd.DataFrame({"query": pd.Series([query] * len(keys), dtype=object), "key": keys, "distance": np.nan})
 
 
+def tile_starts(records: int, queries: int) -> tuple[range, int]:
+    """Where the tiles of so many records begin, and how many records one has."""
+    size = max(64, min(TILE_RECORDS, TILE_VALUES // max(queries, 1)))
+    return range(0, records, size), size
+
+
 def _unit(matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
     """Rows scaled to length one."""
     return matrix / np.sqrt(norms)[:, None]
@@ -293,7 +308,9 @@ def _stream_records(small, lost: list, records: DataFrame, k: int, schema: str)
         ids, matrix, lost = shared.value
         block = QueryBlock(ids, matrix, k, lost)
         for batch in batches:
-            block.add(batch.column("key").to_pandas(), as_matrix(batch.column("vector")))
+            starts, size = tile_starts(batch.num_rows, len(ids))
+            for part in (batch.slice(start, size) for start in starts):
+                block.add(part.column("key").to_pandas(), as_matrix(part.column("vector")))
         found = block.rows()
         if len(found):
             table = pa.Table.from_pandas(
@@ -301,7 +318,7 @@ def _stream_records(small, lost: list, records: DataFrame, k: int, schema: str)
             )
             yield from table.to_batches()
 
-    return records.mapInArrow(best_of_partition, schema)
+    return records.mapInArrow(lambda batches: tidied(best_of_partition(batches)), schema)
 
 
 def _block_kernel(k: int):
@@ -311,8 +328,9 @@ def _block_kernel(k: int):
         block = QueryBlock(
             queries["query"].tolist(), np.stack(queries["query_vector"]).astype(np.float64), k
         )
-        for start in range(0, len(records), 8192):
-            part = records.iloc[start : start + 8192]
+        starts, size = tile_starts(len(records), len(queries))
+        for start in starts:
+            part = records.iloc[start : start + size]
             block.add(part["key"], np.stack(part["vector"]).astype(np.float64))
         return block.rows()
 

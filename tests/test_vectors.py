@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import plan
 from pyspark.sql import functions as F
@@ -228,3 +229,25 @@ def test_only_keys_and_hashes_meet_the_store(spark, sf):
     assert exchanges and "text#" not in settled[0].split("Exchange")[0].split("HashAggregate")[0]
     old = embedding.texts_not_stored(docs, store, text_col="text")
     assert sorted(map(tuple, missing.collect())) == sorted(map(tuple, old.collect()))
+
+
+def test_a_block_of_the_join_holds_few_scores_at_once():
+    """What a task holds doesn't grow with the block: 2048 queries and 16384 records took 270 MB."""
+    import tracemalloc
+
+    dice = np.random.default_rng(1)
+    asked = pd.DataFrame({"query": range(2048), "query_vector": list(dice.normal(size=(2048, 4)))})
+    held = pd.DataFrame({"key": range(16384), "vector": list(dice.normal(size=(16384, 4)))})
+    kernel = vector_search._block_kernel(3)
+    tracemalloc.start()
+    found = kernel(asked, held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 3 * 2048 and peak < 80e6
+
+
+def test_tiles_cover_a_batch_and_bound_its_scores():
+    for records, queries in ((0, 5), (10, 0), (10_000, 1), (10_000, 4096)):
+        starts, size = vector_search.tile_starts(records, queries)
+        assert [*range(records)] == [i for a in starts for i in range(a, min(a + size, records))]
+        assert size * queries <= max(vector_search.TILE_VALUES, 64 * queries)
