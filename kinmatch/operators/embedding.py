@@ -17,9 +17,14 @@ from pyspark.sql import functions as F
 
 from kinmatch import fixed_values as fixed
 from kinmatch.functions import text as tx
+from kinmatch.operators.blocks import tidied
 from kinmatch.sources.tables import settled
 
 Model = Callable[[list[str]], Sequence]
+# Places of tokens that a task remembers: about 10 MB.
+PLACES = 1 << 16
+# Keys of missing texts, with their hashes, that are broadcast: about 20 MB.
+BROADCAST_KEYS = 1 << 17
 
 
 def hashed_terms(size: int = fixed.EMBEDDING_SIZE) -> Callable[[], Model]:
@@ -42,7 +47,7 @@ def hashed_terms(size: int = fixed.EMBEDDING_SIZE) -> Callable[[], Model]:
 
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), size), dtype=np.float32)
-            if len(places) > 500_000:
+            if len(places) > PLACES:
                 places.clear()
             for row, content in zip(out, texts):
                 found = [places[token] for token in pattern.findall(content.lower())]
@@ -129,7 +134,7 @@ def embed(
 
     text = tx.strip(F.coalesce(text_col, F.lit(""))).alias("_content")
     trimmed = df.select(key_col, text, *keep)
-    return trimmed.mapInArrow(embed_batches, schema)
+    return trimmed.mapInArrow(lambda batches: tidied(embed_batches(batches)), schema)
 
 
 # --- content-addressed store: (text_sha, embedding) -------------------------------
@@ -167,6 +172,9 @@ def texts_not_stored(
     # stored, so that its size is known when the join to the texts is planned
     missing = settled(missing, "missing-texts")
     texts = df.select(F.col(key_col).alias("_key"), tx.strip(content).alias("text"))
+    if missing.count() <= BROADCAST_KEYS:
+        # what is missing may lie in a few files; the model is the costly part
+        return texts.join(F.broadcast(missing), "_key").select("text_sha", "text").hint("rebalance")
     return texts.join(missing, "_key").select("text_sha", "text")
 
 
@@ -176,9 +184,6 @@ def new_store_rows(
 ) -> DataFrame:
     """Vectors for the texts the store lacks: (text_sha, embedding, error)."""
     missing = texts_not_stored(df, store, text_col=text_col, key_col=key_col)
-    if key_col is not None:
-        # what is missing may lie in a few files; the model is the costly part
-        missing = missing.hint("rebalance")
     return embed(missing, key_col="text_sha", text_col="text", model=model, size=size)
 
 
@@ -274,14 +279,15 @@ def backfill(
         vectors = known.unionByName(fresh).select(
             "text_sha", F.col("embedding").alias(vector_col), "error"
         )
+        # the join moves keys and hashes; texts are not needed after it
         is_blank = tx.is_blank(F.col("_text"))
-        blank = F.when(is_blank, "blank text cannot be embedded")
         # blank texts meet nothing; their keys spread them
         own = F.concat(F.lit("\0"), F.col(key_col).cast("string"))
         filled = (
             missing.withColumn("text_sha", F.when(is_blank, own).otherwise(content_key(F.col("_text"))))
+            .drop("_text")
             .join(vectors, "text_sha", "left")
-            .withColumn("error", F.coalesce(blank, "error"))
+            .withColumn("error", F.when(F.startswith("text_sha", F.lit("\0")), "blank text cannot be embedded").otherwise(F.col("error")))
         )
     present = df.filter(F.col(vector_col).isNotNull())
     return present.withColumn("error", F.lit(None).cast("string")).unionByName(

@@ -11,7 +11,7 @@ from kinmatch.functions import vectors
 from kinmatch.operators import chat, embedding, recommend, search, stats, upsert, vector_search
 from kinmatch.plans.presets import DOCUMENT_COLUMNS, PART_COLUMNS, PART_UPSERT
 from kinmatch.sources import batches, tables
-from kinmatch.sources.tables import read_spread, read_table
+from kinmatch.sources.tables import read_spread, read_table, settled
 
 # Vector size of the hashed-term model in these queries.
 SIZE = 256
@@ -402,14 +402,18 @@ def _checksum(vector: Column) -> Column:
 def embed_backfill(spark, sf):
     """Vectors of all documents, each missing text embedded once or taken from the store."""
     model = embedding.hashed_terms(64)
-    docs = _half_filled(spark, sf)
-    labelled = docs.join(read_table(spark, sf, "labels"), "doc_id", "left_semi")
+    labels = read_table(spark, sf, "labels").select("doc_id").distinct().withColumn("labelled", F.lit(True))
+    # all joins by document at once, stored: what follows moves no texts for them
+    docs = settled(_half_filled(spark, sf).join(labels, "doc_id", "left"), "half-filled")
+    labelled = docs.filter("labelled").drop("labelled")
+    docs = docs.drop("labelled")
     empty = spark.createDataFrame([], "text_sha string, embedding array<float>")
     content = tx.embedding_text(F.col("text"), F.col("source"))
     store = embedding.new_store_rows(
         labelled.withColumn("content", content), empty, text_col="content", key_col="doc_id",
         model=model, size=64,
     ).select("text_sha", "embedding")
+    store = settled(store, "store")
     after = embedding.backfill(
         docs, key_col="doc_id", text_cols=["text", "source"], model=model, size=64, store=store
     )

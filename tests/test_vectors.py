@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -251,3 +252,36 @@ def test_tiles_cover_a_batch_and_bound_its_scores():
         starts, size = vector_search.tile_starts(records, queries)
         assert [*range(records)] == [i for a in starts for i in range(a, min(a + size, records))]
         assert size * queries <= max(vector_search.TILE_VALUES, 64 * queries)
+
+
+def test_backfill_moves_no_texts_to_meet_the_store(spark):
+    rows = [(1, "river mill", None), (2, " ", None), (3, "river mill", None), (4, "kept", [1.0, 0.0]), (5, "stored text", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, embedding array<float>")
+    model = embedding.hashed_terms(2)
+    store = spark.createDataFrame([("stored text",)], "text string").select(
+        embedding.content_key(F.col("text")).alias("text_sha"), F.array(F.lit(7.0), F.lit(8.0)).cast("array<float>").alias("embedding")
+    )
+    after = embedding.backfill(table, key_col="doc_id", text_cols=["text"], model=model, size=2, store=store)
+    found = {r.doc_id: r for r in after.collect()}
+    assert found[5].embedding == [7.0, 8.0] and found[4].embedding == [1.0, 0.0]
+    assert found[1].embedding == found[3].embedding and sum(found[1].embedding) == 2
+    assert found[2].embedding is None and found[2].error == "blank text cannot be embedded"
+    assert [r.error for r in found.values() if r.doc_id != 2] == [None] * 4
+    # what is moved by its hash has no column for the text that was put together
+    lines = plan(after.select("doc_id", "embedding", "error")).splitlines()
+    moved = [below for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning(text_sha" in line]
+    assert moved and not any(re.search(r"(, |\[)_text#\d+(,|\])", line) for line in moved)
+
+
+def test_tokens_remembered_by_a_task_are_bounded():
+    """The places of 200 000 tokens took about 30 MB and were kept; values don't depend on it."""
+    import tracemalloc
+
+    run = embedding.hashed_terms(16)()
+    tracemalloc.start()
+    for start in range(0, 200_000, 1000):
+        run([f"token{k}" for k in range(start, start + 1000)])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 16e6
+    assert (run(["token5 token7"]) == embedding.hashed_terms(16)()(["token5 token7"])).all()
