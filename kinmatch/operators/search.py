@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinmatch import fixed_values as fixed
 from kinmatch.functions import text as tx
@@ -15,6 +16,8 @@ from kinmatch.sources.tables import settled
 
 # Up to so many keywords become expressions tested in every row.
 LITERAL_KEYWORDS = 16
+# Up to so many, once the rows that rank first have settled the others.
+LITERAL_LEFT = 128
 # Up to so many are met with the vocabulary of the records.
 BROADCAST_KEYWORDS = 1 << 16
 # Bytes of words with their keywords that are broadcast.
@@ -27,6 +30,8 @@ COUNTED_CHARS = 64
 BETWEEN_WORDS = r"\s+"
 # Up to so many ranked (keyword, key) rows are broadcast to fetch their records.
 BROADCAST_HITS = 1 << 18
+# Records that rank first and are searched first, and how much larger each further band is.
+BAND_ROWS, BAND_GROWTH = 1 << 12, 16
 
 
 def newest_first(order_col: str | None, key_col: str) -> list[Column]:
@@ -137,7 +142,8 @@ def search_keywords(
     in that vocabulary; then a row's distinct words find the keywords they hold. A keyword with
     white space is looked for by its longest word and verified in the record. Beyond
     ``BROADCAST_KEYWORDS`` both sides are joined on the first run. ``limit`` keeps the newest
-    per keyword. ``key_col`` names a record.
+    per keyword; the newest records are searched first, older ones only for keywords that have
+    fewer hits so far. ``key_col`` names a record.
     """
     wanted = keywords.select(F.col(keyword_col).alias("_keyword")).filter(
         F.col("_keyword").isNotNull()
@@ -146,6 +152,8 @@ def search_keywords(
     order_cols = [order_col] if order_col and order_col != key_col else []
     if rows is not None and len(rows) <= LITERAL_KEYWORDS:
         found = _test_each(records, sorted(r[0] for r in rows), search_cols, wildcards)
+    elif rows is not None and limit is not None and order_cols:
+        found = _first_hits(sorted(r[0] for r in rows), records, search_cols, key_col, order_col, limit, wildcards)
     elif rows is not None:
         found = _meet_words(sorted(r[0] for r in rows), records, search_cols, key_col, order_cols, wildcards)
         if limit is None:
@@ -195,6 +203,63 @@ def _content(search_cols: Sequence[str]) -> Column:
     return F.concat_ws("\n", *[F.lower(c) for c in search_cols])
 
 
+def _bands(records: DataFrame, order_col: str) -> list[Column]:
+    """Conditions that part the records, the ones that rank first in the first and smallest band."""
+    rows, size, shares = records.count(), BAND_ROWS, []
+    while 2 * size <= rows:
+        shares.append(1 - size / rows)
+        size *= BAND_GROWTH
+    if not shares or not isinstance(records.schema[order_col].dataType, (T.NumericType, T.DateType, T.TimestampType)):
+        return [F.lit(True)]
+    cuts = records.agg(F.percentile_approx(order_col, shares)).first()[0] or []
+    value, bands, rest = F.col(order_col), [], F.lit(True)
+    for cut in cuts:  # NaN is above every number
+        bands.append(rest & (value >= F.lit(cut)))
+        rest = (value < F.lit(cut)) | value.isNull()
+    return [*bands, rest]
+
+
+def _first_hits(
+    keywords: list[str], records: DataFrame, search_cols, key_col: str, order_col: str, limit: int, wildcards: bool
+) -> DataFrame:
+    """(keyword, key, order) of hits that hold the first ``limit`` of every keyword.
+
+    No record of a later band ranks before one of an earlier band, so a keyword with enough hits
+    is left out of the bands that follow.
+    """
+    names = ["_keyword", key_col, order_col]
+    asked = _asked(records, keywords, wildcards)
+    left = sorted(r[0] for r in asked.filter("_part = _lowered AND _part != ''").select("_keyword").collect())
+    others = sorted(set(keywords).difference(left))
+    found = _meet_words(others, records, search_cols, key_col, [order_col], wildcards).select(names) if others else None
+    order = Window.partitionBy("_keyword").orderBy(*newest_first(order_col, key_col))
+    counts = dict.fromkeys(left, 0)
+    for i, band in enumerate(_bands(records, order_col) if left else []):
+        rows = records.filter(band)
+        if i and len(left) <= LITERAL_LEFT:
+            met = _test_each(rows, left, search_cols, wildcards).select(names).distinct()
+        else:
+            met = _meet_words(left, rows, search_cols, key_col, [order_col], wildcards).select(names)
+        first = met.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit).drop("_place")
+        first = settled(first, "first-hits")
+        found = first if found is None else found.unionByName(first)
+        for keyword, n in first.groupBy("_keyword").count().collect():
+            counts[keyword] += n
+        left = [k for k in left if counts[k] < limit]
+        if not left:
+            break
+    return found
+
+
+def _asked(records: DataFrame, keywords: list[str], wildcards: bool) -> DataFrame:
+    """(keyword, lowered, part): each keyword with its longest word."""
+    lowered = F.lower("_keyword")
+    breaks = rf"[%_\\]|{BETWEEN_WORDS}" if wildcards else BETWEEN_WORDS
+    return records.sparkSession.createDataFrame([(k,) for k in keywords], "_keyword string").select(
+        "_keyword", lowered.alias("_lowered"), _longest(F.split(lowered, breaks)).alias("_part")
+    )
+
+
 def _meet_words(
     keywords: list[str], records: DataFrame, search_cols, key_col: str, order_cols: list[str], wildcards: bool
 ) -> DataFrame:
@@ -203,11 +268,7 @@ def _meet_words(
     Only words and keys are joined. A keyword that is more than one word is verified against the
     contents of the records its longest word finds; one without any word is tested in each.
     """
-    lowered = F.lower("_keyword")
-    breaks = rf"[%_\\]|{BETWEEN_WORDS}" if wildcards else BETWEEN_WORDS
-    asked = records.sparkSession.createDataFrame([(k,) for k in keywords], "_keyword string").select(
-        "_keyword", lowered.alias("_lowered"), _longest(F.split(lowered, breaks)).alias("_part")
-    )
+    asked = _asked(records, keywords, wildcards)
     wordless = sorted(r[0] for r in asked.filter("_part = ''").select("_keyword").collect())
     asked = asked.filter("_part != ''")
     names = ["_keyword", key_col, *order_cols]

@@ -109,3 +109,28 @@ def test_grams_cover_every_size(spark):
     row = spark.createDataFrame([("가a가a",), ("",)], "t string")
     got = [set(r[0]) for r in row.select(search.char_grams(F.col("t"), (0, 1, 2, 3))).collect()]
     assert got[0] == {"", "가", "a", "가a", "a가", "가a가", "a가a"} and got[1] == {""}
+
+
+def test_newest_records_are_searched_first(spark, monkeypatch):
+    """Bands give the hits of a whole search, and keywords with enough hits leave it early."""
+    rows = [(i, "common word%d" % (i % 40) if i != 7 else "common rare", None if i % 50 == 0 else i // 3) for i in range(400)]
+    rows += [(None, "common rare", 5), (3, "common word3", 1), (3, "common word3", 1)]
+    records = spark.createDataFrame(rows, "id long, body string, size long")
+    words = ["word%d" % i for i in range(40)] + ["common", "rare", "common rare", "nowhere", "or"]
+    keywords = spark.createDataFrame([(w,) for w in words], "k string")
+
+    def found():
+        hits = search.search_keywords(
+            keywords, records, keyword_col="k", search_cols=["body"], key_col="id", order_col="size", limit=5
+        )
+        return sorted(map(str, hits.collect()))
+
+    whole = found()
+    asked, one_by_one = [], search._test_each
+    monkeypatch.setattr(search, "BAND_ROWS", 32)
+    monkeypatch.setattr(search, "BAND_GROWTH", 4)
+    monkeypatch.setattr(search, "_test_each", lambda r, words, *rest: asked.append(words) or one_by_one(r, words, *rest))
+    assert found() == whole
+    assert asked and "rare" in asked[-1] and not any("common" in words or "or" in words for words in asked)
+    monkeypatch.setattr(search, "LITERAL_LEFT", 0)
+    assert found() == whole
