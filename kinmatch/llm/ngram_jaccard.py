@@ -100,15 +100,21 @@ def sketch(documents: DataFrame, text_col: str) -> np.ndarray:
                 values = np.frombuffer(zlib.decompress(piece.as_py()), np.uint32).astype(np.int64)
                 sums[slot] = sums[slot] + values if slot in sums else values
         if sums:
-            yield pa.record_batch({"slot": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+            yield pa.record_batch({"slot": pa.array(list(sums), pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())})
 
     kind = "slot int, counts binary"
     sums = documents.select(text_col).mapInArrow(lambda batches: tx.tidied(count(batches)), kind).repartition("slot").mapInArrow(lambda batches: tx.tidied(add(batches)), kind)
-    total = np.zeros(size, np.int64)
-    for slot, piece in sums.collect():  # one byte string for each of 64 slots
-        total[slot * (size // slots) : (slot + 1) * (size // slots)] = np.frombuffer(piece, np.int64)
-    mean = max(1.0, total.mean())
-    return np.clip(STEPS * np.log2(np.maximum(total / mean, 1e-9)) + MEAN_STEP, 0, 255).astype(np.uint8)
+    pieces = {row[0]: row[1] for row in sums.collect()}  # one packed byte string for each of 64 slots
+
+    def counts(slot: int) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(pieces[slot]), np.int64)
+
+    mean = max(1.0, sum(int(counts(slot).sum()) for slot in pieces) / size)
+    order = np.zeros(size, np.uint8)
+    for slot in pieces:  # unpacked one at a time, as the driver is small
+        steps = STEPS * np.log2(np.maximum(counts(slot) / mean, 1e-9)) + MEAN_STEP
+        order[slot * (size // slots) : (slot + 1) * (size // slots)] = np.clip(steps, 0, 255).astype(np.uint8)
+    return order
 
 
 def profiles(documents: DataFrame, order: np.ndarray, id_col: str, text_col: str) -> DataFrame:

@@ -38,10 +38,19 @@ def crc32_of(column: str | Column) -> Column:
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v`` that is no ``u`` itself: further steps change nothing."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components: ``(node, component)`` with the smallest node of each component.
 
-    Large-star and small-star steps alternate until no edge changes. A step groups the edges
+    Large-star and small-star steps alternate until every edge leads to a root. A step groups the edges
     of one node; what leaves it are links to the smallest neighbour, so hubs shrink at once
     (``min`` combines before the shuffle). Every step is written to the shared folder.
     Null nodes and self links are ignored; an empty table gives an empty result.
@@ -52,7 +61,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         .distinct(),
         "edges",
     )
-    while True:
+    while not _are_stars(current):
         both = current.union(current.select("v", "u").toDF("u", "v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
@@ -60,16 +69,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         )
         large = large.where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        following = settled(
+        current = settled(
             large.join(low, "u")
             .select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
             .where("u != v")
             .distinct(),
             "edges",
         )
-        if following.exceptAll(current).isEmpty() and current.exceptAll(following).isEmpty():
-            break
-        current = following
     nodes = current.groupBy("u").agg(F.min("v").alias("component"))
     roots = nodes.select(F.col("component").alias("node")).distinct()
     return nodes.withColumnRenamed("u", "node").union(

@@ -2,15 +2,17 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinmatch.llm import chat_format, exact_dedup, language_id, mixing, ngram_jaccard, pieces, quality_ranker, quality_rules, sharding
+from kinmatch.llm import chat_format, exact_dedup, language_id, mixing, ngram_jaccard, pieces, quality_ranker, quality_rules, sharding, shared
 from kinmatch.llm.queries import MODEL_FILE, ORACLE, QUERIES
-from kinmatch.llm.shared import components, crc32_of
+from kinmatch.llm.shared import components, crc32_of, settled
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = "one two three four five six seven eight nine ten eleven twelve"
@@ -141,6 +143,32 @@ def test_components_of_a_chain(spark):
     assert found == {i: 0 for i in range(21)} | {50: 50, 51: 50}
 
 
+def test_components_of_stars_take_no_further_step(spark, monkeypatch):
+    """Each step is planned in the driver, whose memory grows with every plan."""
+    written = []
+    monkeypatch.setattr(shared, "settled", lambda df, name: written.append(name) or settled(df, name))
+    edges = spark.createDataFrame([(1, 5), (6, 1), (2, 9), (3, None), (4, 4)], "a long, b long")
+    found = {r.node: r.component for r in components(edges, "a", "b").collect()}
+    assert found == {1: 1, 5: 1, 6: 1, 2: 2, 9: 2} and len(written) == 1
+    edges = spark.createDataFrame([(2, 1), (3, 1), (3, 0), (8, 7), (9, 8)], "a long, b long")
+    found = {r.node: r.component for r in components(edges, "a", "b").collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 0, 7: 7, 8: 7, 9: 7}
+
+
+def test_sketch_keeps_the_driver_small(spark):
+    texts = spark.createDataFrame([(f"a b c d e f g w{i} x{i} y{i}",) for i in range(50)], "text string")
+    ngram_jaccard.sketch(texts.limit(1), "text")
+    tracemalloc.start()
+    found = ngram_jaccard.sketch(texts, "text")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # all counts together, as numbers
+    hashes, _ = ngram_jaccard.shingles(pa.record_batch([pa.array([r.text for r in texts.collect()])], ["text"]), 0)
+    total = np.bincount((hashes & np.uint64(len(found) - 1)).astype(np.int64), minlength=len(found))
+    steps = ngram_jaccard.STEPS * np.log2(np.maximum(total / max(1.0, total.mean()), 1e-9)) + ngram_jaccard.MEAN_STEP
+    assert (found == np.clip(steps, 0, 255).astype(np.uint8)).all()
+
+
 def test_quality_counts_by_brute_force(spark, documents, empty):
     labels = spark.createDataFrame([(1, 1), (7, 0)], "doc_id long, quality int")
     found = quality_rules.judged_documents(documents, labels).collect()
